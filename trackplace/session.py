@@ -15,6 +15,7 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings results depend on (UTC) and the ones plans are written for."""
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
