@@ -32,8 +32,8 @@ def locate(
     ``segment_no``. A column as tolerance is one of ``photos``.
     """
     shots = photos.select("subject_id", "photo_id", "t_us")
-    inside = _inside(shots, fixes, limit)
-    ends = _ends(shots, fixes, limit)
+    inside, fits = _inside(shots, fixes, limit)
+    ends = _ends(shots, fixes, limit, fits)
     found = photos.join(inside, ["subject_id", "photo_id"], "left").join(
         ends, ["subject_id", "photo_id"], "left"
     )
@@ -75,8 +75,9 @@ def _takes_no_time(a: Column, b: Column) -> Column:
     return b["t_us"] - a["t_us"] < 1000
 
 
-def _inside(shots: DataFrame, fixes: DataFrame, limit: int | None) -> DataFrame:
-    """The shortest pair of neighbouring fixes around each photo that has one."""
+def _inside(shots: DataFrame, fixes: DataFrame, limit: int | None) -> tuple[DataFrame, bool]:
+    """The shortest pair of neighbouring fixes around each photo that has one,
+    and whether every subject's photos and fixes together fit a task."""
     none = F.lit(None)
     events = fixes.select(
         "subject_id", "track_id", "segment_no", "seq", "t_us", "lat", "lon", "ele",
@@ -88,8 +89,9 @@ def _inside(shots: DataFrame, fixes: DataFrame, limit: int | None) -> DataFrame:
     # Photos go before fixes of the same moment: a pair covers a < t <= b.
     order = ["t_us", "_kind", "track_id", "segment_no", "seq", "photo_id"]
     is_photo = F.when(F.col("_kind") == 0, 1).otherwise(0).cast("long")
+    subjects = Keyed(events, ["subject_id"], limit)
     ranked = (
-        Keyed(events, ["subject_id"], limit)
+        subjects
         .running(order, rank=Sum(is_photo))
         .totals(shots=F.sum(is_photo))
     )
@@ -133,11 +135,12 @@ def _inside(shots: DataFrame, fixes: DataFrame, limit: int | None) -> DataFrame:
             )
         ).alias("block"),
     )
-    return (
+    best = (
         lookups.join(blocks, ["subject_id", "block"])
         .groupBy("subject_id", "photo_id")
         .agg(F.min_by("pair", _closeness(F.col("pair"))).alias("_pair"))
     )
+    return best, subjects.long is None
 
 
 def _closeness(pair: Column) -> Column:
@@ -178,7 +181,7 @@ def _range(first: Column, end: Column) -> Column:
     )
 
 
-def _ends(shots: DataFrame, fixes: DataFrame, limit: int | None) -> DataFrame:
+def _ends(shots: DataFrame, fixes: DataFrame, limit: int | None, fits: bool) -> DataFrame:
     """The next segment start at or after each photo and the last segment end
     before it. No other end of a segment can be nearer."""
     fix = F.struct("t_us", "lat", "lon", "ele")
@@ -201,8 +204,9 @@ def _ends(shots: DataFrame, fixes: DataFrame, limit: int | None) -> DataFrame:
         .unionByName(boundary("e", "e").withColumn("_kind", F.lit(3)), allowMissingColumns=True)
     )
     order = ["t_us", "_kind", "photo_id"]
+    keyed = Keyed.fitting(events, ["subject_id"]) if fits else Keyed(events, ["subject_id"], limit)
     return (
-        Keyed(events, ["subject_id"], limit)
+        keyed
         .running(order, descending=True, _start=Last(F.col("s")))
         .running(order, _end=Last(F.col("e")))
         .rows()

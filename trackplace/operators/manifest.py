@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackplace.functions.names import is_syncable
 from trackplace.operators.ordered import Keyed, Sum, row_count
+from trackplace.session import checkpoint
 
 KEEP_BOTH = "keep_both"
 MERGE = "merge"
@@ -75,18 +76,18 @@ def free_names(
 # --- remote files that share a name ------------------------------------------
 
 
-def dedupe_remote(
+def renamed_remote(
     remote: DataFrame, local: DataFrame, index: DataFrame, deleted: DataFrame, by: list[str],
     limit: int | None = None,
 ) -> DataFrame:
-    """Remote files with the name each goes by: the oldest keeps it, later ones
-    get one of their own. ``follows`` is the unchanged local file that was
-    uploaded as a renamed one, and moves along with it.
+    """Remote files whose name an older one holds, with the name each gets.
 
     ``remote(by.., name, remote_id, digest, created)``; ``local(by.., name,
     digest)``; ``index(by.., name, remote_id, digest)``; ``deleted(by.., name)``.
+    ``follows`` is the unchanged local file that was uploaded as the renamed one,
+    and moves along with it.
     """
-    syncable = remote.filter(is_syncable(F.col("name")))
+    syncable = remote.filter(is_syncable(F.col("name"))).select(*by, "name", "remote_id", "created")
     ranked = Keyed(syncable, [*by, "name"], limit).running(
         ["created", "remote_id"], _place=row_count()
     ).rows()
@@ -96,24 +97,36 @@ def dedupe_remote(
         .unionByName(index.select(*by, "name"))
         .unionByName(deleted.select(*by, "name"))
     )
-    renamed = free_names(
-        ranked.filter("_place > 1").select(*by, "name", "created", "remote_id"),
-        taken, by, ["created", "remote_id"], limit=limit,
-    )
+    # Read by several joins below, and few beside the files themselves.
+    later = checkpoint(ranked.filter("_place > 1").drop("_place"))
+    renamed = free_names(later, taken, by, ["created", "remote_id"], limit=limit)
     own = local.select(*by, F.col("name").alias("follows"), F.col("digest").alias("_now"))
     mine = index.select(
         *by, "remote_id", F.col("name").alias("follows"), F.col("digest").alias("_then")
     ).join(own, [*by, "follows"]).filter(F.col("_now") == F.col("_then"))
     mine = mine.groupBy(*by, "remote_id").agg(F.min("follows").alias("follows"))
-    renamed = renamed.join(mine, [*by, "remote_id"], "left").select(
-        *by, "remote_id", "free_name", "follows"
-    )
-    return ranked.join(renamed, [*by, "remote_id"], "left").select(
-        *by, "name", "remote_id", "digest", "created",
-        F.coalesce("free_name", "name").alias("goes_by"), "follows",
+    return checkpoint(
+        renamed.join(mine, [*by, "remote_id"], "left").select(
+            *by, "remote_id", "name", F.col("free_name").alias("goes_by"), "follows"
+        )
     )
 
 
+def dedupe_remote(
+    remote: DataFrame, local: DataFrame, index: DataFrame, deleted: DataFrame, by: list[str],
+    limit: int | None = None,
+) -> DataFrame:
+    """Remote files with the name each goes by: the oldest keeps it, later ones
+    get one of their own (inputs as in ``renamed_remote``)."""
+    return _named(remote, renamed_remote(remote, local, index, deleted, by, limit), by)
+
+
+def _named(remote: DataFrame, renamed: DataFrame, by: list[str]) -> DataFrame:
+    return remote.filter(is_syncable(F.col("name"))).join(
+        renamed.select(*by, "remote_id", "goes_by", "follows"), [*by, "remote_id"], "left"
+    ).withColumn("goes_by", F.coalesce("goes_by", "name"))
+
+
 # --- the plan ----------------------------------------------------------------
 
 
@@ -125,10 +138,9 @@ def sync_plan(
 
     Columns: ``by``, ``phase`` (0: names are sorted out, 1: files move), ``name``,
     ``action_no``, ``action``, ``target`` (new name), ``remote_id``, ``digest``.
-    Inputs are those of ``dedupe_remote``; ``skip(by.., name)`` are left alone.
+    Inputs are those of ``renamed_remote``; ``skip(by.., name)`` are left alone.
     """
-    files = dedupe_remote(remote, local, index, deleted, by, limit)
-    moved = files.filter(F.col("goes_by") != F.col("name"))
+    moved = renamed_remote(remote, local, index, deleted, by, limit)
     follow = moved.filter(F.col("follows").isNotNull()).select(
         *by, F.col("follows").alias("name"), F.col("goes_by").alias("_to")
     )
@@ -138,31 +150,36 @@ def sync_plan(
             "name", F.coalesce("_to", "name")
         ).drop("_to")
 
-    here = after_moves(local.filter(is_syncable(F.col("name"))).select(*by, "name", "digest"))
-    then = after_moves(index.select(*by, "name", "remote_id", "digest"))
-    there = files.select(*by, F.col("goes_by").alias("name"), "remote_id", "digest")
-    gone = deleted.select(*by, "name").distinct().withColumn("_deleted", F.lit(True))
-
     keys = [*by, "name"]
-    joined = (
-        here.withColumnRenamed("digest", "_l")
-        .join(there.withColumnsRenamed({"remote_id": "_rid", "digest": "_r"}), keys, "full_outer")
-        .join(then.withColumnsRenamed({"remote_id": "_sid", "digest": "_s"}), keys, "full_outer")
-        .join(gone, keys, "full_outer")
+    here = after_moves(local.filter(is_syncable(F.col("name"))).select(*keys, "digest"))
+    then = after_moves(index.select(*keys, "remote_id", "digest"))
+    there = _named(remote, moved, by).select(*by, F.col("goes_by").alias("name"), "remote_id", "digest")
+
+    # The four sides of a name meet in one aggregate: one shuffle, and no chain
+    # of outer joins. After the renaming each side has a name once.
+    def side(df: DataFrame, **values: Column) -> DataFrame:
+        return df.select(*keys, *[v.alias(n) for n, v in values.items()])
+
+    sides = (
+        side(here, _l=F.col("digest"))
+        .unionByName(side(there, _rid=F.col("remote_id"), _r=F.col("digest")), allowMissingColumns=True)
+        .unionByName(side(then, _sid=F.col("remote_id"), _s=F.col("digest")), allowMissingColumns=True)
+        .unionByName(side(deleted, _deleted=F.lit(True)), allowMissingColumns=True)
+    )
+    joined = sides.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("_l", "_rid", "_r", "_sid", "_s", "_deleted")]
     )
     if skip is not None:
         joined = joined.join(skip.select(*keys), keys, "left_anti")
     state = _decide(joined, policy)
     # Files set aside get names nobody has, after those given to remote files.
+    asked = checkpoint(state.filter(F.col("case").isin("aside", "conflict")).select(*keys))
     taken = (
-        here.select(*keys).unionByName(remote.select(*keys)).unionByName(there.select(*keys))
-        .unionByName(then.select(*keys)).unionByName(index.select(*keys))
-        .unionByName(local.filter(is_syncable(F.col("name"))).select(*keys))
-        .unionByName(gone.select(*keys))
-    )
-    aside = free_names(
-        state.filter(F.col("case").isin("aside", "conflict")).select(*keys), taken, by, [], limit=limit
+        local.filter(is_syncable(F.col("name"))).select(*keys).unionByName(remote.select(*keys))
+        .unionByName(index.select(*keys)).unionByName(deleted.select(*keys))
+        .unionByName(moved.select(*by, F.col("goes_by").alias("name")))
     )
+    aside = free_names(asked, taken, by, [], limit=limit)
     actions = state.join(aside, keys, "left").select(
         *keys, F.lit(1).alias("phase"), F.posexplode(_actions(policy)).alias("action_no", "a")
     ).select(*by, "phase", "name", "action_no", "a.*")

@@ -63,6 +63,13 @@ class Keyed:
         self._tasks = 0
         self._split(df)
 
+    @classmethod
+    def fitting(cls, df: DataFrame, keys: list[str]) -> Keyed:
+        """Rows whose keys are known to fit a task, taken without counting them."""
+        known = object.__new__(cls)
+        known.keys, known.limit, known.plain, known.long, known._tasks = list(keys), 0, df, None, 0
+        return known
+
     def _split(self, df: DataFrame) -> None:
         heavy = (
             df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))

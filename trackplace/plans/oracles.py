@@ -14,7 +14,11 @@ def _with(*parts: str) -> str:
 
 
 def _view(name: str) -> str:
-    return f"{name} as ({duckdb_text(VIEWS[name])})"
+    sql = duckdb_text(VIEWS[name])
+    if name == "fixes":
+        # Sums come out wider than the column is.
+        sql = f"select * replace (cast(segment_no as bigint) as segment_no) from ({sql})"
+    return f"{name} as ({sql})"
 
 
 def _distance(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> str:
@@ -336,6 +340,11 @@ def _dms(v: str) -> str:
     )
 
 
+def _half_up(v: str, digits: int) -> str:
+    """Rounded by its decimal digits, as a decimal formatter does it."""
+    return f"cast(round(cast({v} as decimal(24, 12)), {digits}) as double)"
+
+
 def _xmp(v: str, pos: str, neg: str) -> str:
     return (
         f"concat(cast(floor(abs({v})) as bigint), ',', printf('%.6f', (abs({v}) - floor(abs({v}))) * 60),"
@@ -364,7 +373,10 @@ STATES = f"""states as (select s.camera_id as state_order, last_file, import_no,
     case when s.camera_id <> 11 then make end as make, case when s.camera_id <> 11 then model end as model,
     case when s.camera_id <> 11 then serial end as serial
   from import_states s join cameras c on c.camera_id = s.camera_id where device = 0),
-known as (select *, {_key('make', 'model', 'serial')} as k from states),
+keyed as (select *, {_key('make', 'model', 'serial')} as k from states),
+known as (select k, max(state_order) as state_order, arg_max(last_file, state_order) as last_file,
+    arg_max(make, state_order) as make, arg_max(model, state_order) as model,
+    arg_max(serial, state_order) as serial, min(state_order) as place from keyed group by k),
 cards as (select camera_id as card_id,
     case when camera_id % 50 <> 0 then case when camera_id % 7 = 0 then lower(make) else make end end as make,
     case when camera_id % 50 <> 0 then model end as model,
@@ -490,8 +502,8 @@ select subject_id, count(*) filter (where o = 'embedded') as embedded, count(*)
   case when ele < 0 then '1' when ele is not null then '0' end as alt_ref,
   cast(floor(abs(ele) * 1000 + 0.5) as bigint) || '/1000' as alt_rational,
   strftime(make_timestamp(fix_us), '%Y:%m:%d') as gps_date, strftime(make_timestamp(fix_us), '%H:%M:%S') as gps_time,
-  concat(printf('%+08.4f', lat), printf('%+09.4f', lon), case when ele is not null then printf('%+08.3f', ele) else '' end,
-    '/') as iso6709, {_xmp('lat', 'N', 'S')} as xmp_lat, {_xmp('lon', 'E', 'W')} as xmp_lon
+  concat(printf('%+08.4f', {_half_up('lat', 4)}), printf('%+09.4f', {_half_up('lon', 4)}),
+    case when ele is not null then printf('%+08.3f', {_half_up('ele', 3)}) else '' end, '/') as iso6709, {_xmp('lat', 'N', 'S')} as xmp_lat, {_xmp('lon', 'E', 'W')} as xmp_lon
 from placed where placed is not null"""
     o["sidecars"] = _with(*LOCATED) + f"""select subject_id as folder, concat({_stem('name')}, '.xmp') as file,
   {_sidecar()} as document from placed where placed is not null
@@ -502,7 +514,7 @@ from placed where placed is not null"""
 
     file_us = "(least(created_us, modified_us) // 1000) * 1000"
     o["capture_instant"] = _with(photos) + f"""select photo_id,
-  coalesce(epoch_us(exif_local) - exif_offset_s * 1000000, epoch_us(exif_local) - 3600000000, {file_us}) - 1500000
+  coalesce(epoch_us(exif_local) - cast(exif_offset_s as bigint) * 1000000, epoch_us(exif_local) - 3600000000, {file_us}) - 1500000
     as instant_us,
   coalesce(epoch_us(exif_local), {file_us} + 3600000000) as local_us from photos"""
     o["merge_settings"] = _with(_view("settings")) + (
@@ -561,7 +573,7 @@ union all select card_id, file_id, name, null, false from n1 join points using (
     o["state_for_camera"] = _with(_view("import_states"), _view("cameras"), STATES) + f"""
 select card_id, state_order as state_state_order, last_file as state_last_file from (
   select m.card_id, s.state_order, s.last_file, row_number() over (partition by m.card_id
-      order by case when m.k = s.k then 0 else 1 end, s.state_order) as nth
+      order by case when m.k = s.k then 0 else 1 end, s.place) as nth
   from mine m join known s on (m.k is null and s.k is null)
     or (m.k is not null and s.k is not null and (m.k = s.k or ({_same('m', 's')}))))
 where nth = 1"""
@@ -575,8 +587,8 @@ from last l join mine m using (place) left join found f using (place, import_no)
 where f.camera_key is null or ({_same('f', 'm')})
 qualify row_number() over (partition by l.place order by import_no desc) = 1"""
     o["resume_point"] = _with(
-        cards, "some as (select * from card_files where file_id % 3 = 0 and card_id % 5 <> 0)",
-        *_ordered("some", "card_id"),
+        cards, "picked as (select * from card_files where file_id % 3 = 0 and card_id % 5 <> 0)",
+        *_ordered("picked", "card_id"),
         "local as (select card_id, arg_max(name, rank) as local_file from ordered group by 1)",
         """state as (select card_id, case when card_id % 6 = 0 then 'DSCF9000.RAF' else lower(arg_min(name, file_id)) end
     as f from card_files where file_id % 4 = 1 group by 1)""",
@@ -596,7 +608,7 @@ select place, max(n) + 1 as next_no from (
   select card_id % 7 as place, case when card_id % 5 = 0 then 0 else card_id end as n from card_files
   union all select camera_id % 7, import_no from import_states) group by 1"""
     o["last_import_of"] = _with(
-        cards, "some as (select * from card_files where file_id % 3 = 0)", *_ordered("some", "card_id")) + (
+        cards, "picked as (select * from card_files where file_id % 3 = 0)", *_ordered("picked", "card_id")) + (
         "select card_id, arg_max(name, rank) as last_file from ordered group by 1")
     o["pair_copies"] = _with(cards) + (
         "select card_id % 3 as place, file_id as entry_id, row_number() over (partition by card_id % 3, name"

@@ -10,6 +10,7 @@ from trackplace.functions.names import extension
 from trackplace.operators import cleanup
 from trackplace.operators.locate import locate
 from trackplace.operators.select import choose_tracks, photo_range, track_spans, used_fixes
+from trackplace.session import checkpoint
 
 # Metres between two fixes that are worth a warning; defaults of settings.
 WIDE_GAP_M = 500.0
@@ -61,7 +62,8 @@ def photo_plan(
     """
     choice = choose_tracks(track_spans(fixes), photo_range(photos), tolerance_ms)
     chosen = used_fixes(fixes, choice)
-    cleaned = cleanup.clean(cleanup.judge(chosen, options, limit))
+    # Placement reads the cleaned track more than once; cleaning runs once.
+    cleaned = checkpoint(cleanup.clean(cleanup.judge(chosen, options, limit)))
     return finish_plan(locate(photos, cleaned, tolerance_ms, limit), excluded_types, built_in_only)
 
 
