@@ -92,6 +92,10 @@ class Keyed:
         other.plain, other.long = plain, long
         return other
 
+    def long_only(self) -> Keyed:
+        """Just the keys that do not fit a task."""
+        return self._like(self.plain.limit(0), self.long)
+
     def transform(self, change: Callable[[DataFrame], DataFrame]) -> Keyed:
         """The same row-wise change on both parts."""
         return self._like(change(self.plain), None if self.long is None else change(self.long))

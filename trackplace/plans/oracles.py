@@ -21,6 +21,15 @@ def _view(name: str) -> str:
     return f"{name} as ({sql})"
 
 
+def _dated(name: str) -> str:
+    """The same with real dates, but for some recordings."""
+    real = "t_us + 1704067200000000"
+    if name == "fixes":
+        real = f"case when track_id % 10 = 3 then t_us else {real} end"
+    inner = _view(name).split(" as (", 1)[1][:-1]
+    return f"{name} as (select * replace ({real} as t_us) from ({inner}))"
+
+
 def _distance(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> str:
     return (
         f"2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin((radians({b_lat}) - radians({a_lat})) / 2), 2)"
@@ -167,11 +176,9 @@ BY_SEGMENT = """spans as (select subject_id, track_id * 1000 + segment_no as tra
   max(t_us) as end_us from fixes group by 1, 2)"""
 BY_TRACK = """spans as (select subject_id, track_id, min(t_us) as start_us, max(t_us) as end_us from fixes group by 1, 2)"""
 CHOICE = f"""choice as (select s.*, r.first_us, r.last_us,
-  case when end_us < 631152000000000 and false then 'undated'
+  case when end_us < 631152000000000 then 'undated'
     when end_us >= first_us - {MS} and start_us <= last_us + {MS} then 'used' else 'skipped' end as status
   from spans s left join ranges r using (subject_id))"""
-# The compressed clock starts at zero, before times count as real.
-DATED = CHOICE.replace(" and false", "")
 
 NEAREST = """nearest as (select subject_id, track_id, away_us from (
   select *, row_number() over (partition by subject_id order by away_us, track_id) as nth from (
@@ -183,7 +190,7 @@ NEAREST = """nearest as (select subject_id, track_id, away_us from (
 
 USED = "used as (select f.* from fixes f join choice c using (subject_id, track_id) where c.status = 'used')"
 PLANNED = [
-    _view("fixes"), _view("photos"), BY_TRACK, _ranges("photos"), DATED, USED,
+    _dated("fixes"), _dated("photos"), BY_TRACK, _ranges("photos"), CHOICE, USED,
     *_cleaning("used"), *_locate("cleaned"),
     f"""plan as (select *, {TYPE} as type, {TYPE} <> 'mov' as selected, {WRITER} as writer,
       {TYPE} <> 'mov' and coalesce(gap_m, 0) >= 500 as wide_gap from placed)""",
@@ -462,12 +469,12 @@ def build() -> dict[str, str]:
         " union all select track_id, segment_no, seq, 'SPEED_CONTRADICTION' from contradicted")
 
     o["photo_range"] = _with(photos, _ranges("photos")) + "select * from ranges"
-    o["choose_tracks"] = _with(fixes, photos, BY_SEGMENT, _ranges("photos"), DATED) + (
+    o["choose_tracks"] = _with(_dated("fixes"), _dated("photos"), BY_SEGMENT, _ranges("photos"), CHOICE) + (
         "select subject_id, track_id, status from choice")
-    o["nearest_track"] = _with(fixes, photos, LATE, BY_SEGMENT, _ranges("late"), DATED, NEAREST) + (
+    o["nearest_track"] = _with(_dated("fixes"), _dated("photos"), LATE, BY_SEGMENT, _ranges("late"), CHOICE, NEAREST) + (
         "select * from nearest")
     o["selection_report"] = _with(
-        fixes, photos, LATE, BY_TRACK, _ranges("late"), DATED, NEAREST, *COUNTED) + """
+        _dated("fixes"), _dated("photos"), LATE, BY_TRACK, _ranges("late"), CHOICE, NEAREST, *COUNTED) + """
 select subject_id, count(*) filter (where status = 'used') as used,
   count(*) filter (where status = 'skipped') as skipped, count(*) filter (where status = 'undated') as undated,
   cast(coalesce(sum(position_excursions) filter (where status = 'used'), 0) as bigint) as removed_fixes,

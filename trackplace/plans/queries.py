@@ -11,9 +11,8 @@ from trackplace.functions import names, times
 from trackplace.functions.geo import in_box, step_speed
 from trackplace.operators import catalog, cleanup, declutter, manifest, select, stats
 from trackplace.operators.locate import locate
-from trackplace.operators.stats import SEGMENT
 from trackplace.plans import placement
-from trackplace.plans.fixtures import fixes, table, view
+from trackplace.plans.fixtures import ORIGIN_US, fixes, table, view
 from trackplace.sinks import documents
 from trackplace.sources.tracks import fixes_of, parse_tracks
 from trackplace.streaming import recorder
@@ -125,9 +124,8 @@ def speed_contradictions(spark, sf):
 
 @query
 def suspects(spark, sf):
-    shaped = cleanup.geometry(fixes(spark, sf), SEGMENT, cleanup.DEFAULTS).filter("suspect")
-    out = shaped.select(
-        "track_id", "segment_no", "seq", "out_m", F.col("_n.out_m").alias("back_m"), "across_m"
+    out = cleanup.shapes(fixes(spark, sf)).filter("suspect").select(
+        "track_id", "segment_no", "seq", "out_m", "back_m", "across_m"
     )
     return rounded(out, 3, "out_m", "back_m", "across_m")
 
@@ -182,17 +180,28 @@ def _shots(spark, sf):
     return view(spark, sf, "photos").select("photo_id", "subject_id", "t_us", "name")
 
 
+def _dated(df, placeholder=None):
+    """Back from the compressed clock's origin to a real date; recordings that
+    match ``placeholder`` keep times no recorder could have had."""
+    real = F.col("t_us") + ORIGIN_US
+    return df.withColumn("t_us", real if placeholder is None else F.when(placeholder, F.col("t_us")).otherwise(real))
+
+
+def _dated_fixes(spark, sf):
+    return _dated(fixes(spark, sf), F.col("track_id") % 10 == 3)
+
+
 def _spans_by_segment(spark, sf):
     """Short recordings: each segment stands for a track."""
     return select.track_spans(
-        fixes(spark, sf).withColumn("track_id", F.col("track_id") * 1000 + F.col("segment_no"))
+        _dated_fixes(spark, sf).withColumn("track_id", F.col("track_id") * 1000 + F.col("segment_no"))
     )
 
 
 def _late_shots(spark, sf):
     """Photos of every second subject are two hours off."""
     off = (F.col("subject_id") % 2) * 7_200_000_000
-    return _shots(spark, sf).withColumn("t_us", F.col("t_us") + off)
+    return _dated(_shots(spark, sf)).withColumn("t_us", F.col("t_us") + off)
 
 
 @query
@@ -203,7 +212,7 @@ def photo_range(spark, sf):
 @query
 def choose_tracks(spark, sf):
     choice = select.choose_tracks(
-        _spans_by_segment(spark, sf), select.photo_range(_shots(spark, sf)), PLACE_MS
+        _spans_by_segment(spark, sf), select.photo_range(_dated(_shots(spark, sf))), PLACE_MS
     )
     return choice.select("subject_id", "track_id", "status")
 
@@ -216,7 +225,7 @@ def nearest_track(spark, sf):
 
 @query
 def selection_report(spark, sf):
-    points = fixes(spark, sf)
+    points = _dated_fixes(spark, sf)
     choice = select.choose_tracks(
         select.track_spans(points), select.photo_range(_late_shots(spark, sf)), PLACE_MS
     )
@@ -241,7 +250,7 @@ def locate_photos(spark, sf):
 
 
 def _plan(spark, sf):
-    return placement.photo_plan(_shots(spark, sf), fixes(spark, sf), PLACE_MS, ["mov"])
+    return placement.photo_plan(_dated(_shots(spark, sf)), _dated_fixes(spark, sf), PLACE_MS, ["mov"])
 
 
 @query
