@@ -18,6 +18,22 @@ def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def distance_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """``distance_m`` as SQL text, for plans built out of many expressions."""
+    half_lat = f"sin((radians({lat2}) - radians({lat1})) / 2)"
+    half_lon = f"sin(radians({lon2} - {lon1}) / 2)"
+    return (
+        f"{2 * EARTH_RADIUS_M}D * asin(least(1.0D, sqrt({half_lat} * {half_lat}"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * {half_lon} * {half_lon})))"
+    )
+
+
+def speed_sql(start_us: str, end_us: str, metres: str) -> str:
+    """``step_speed`` as SQL text."""
+    ms = f"(({end_us} - {start_us}) div 1000)"
+    return f"case when {ms} > 0 then {metres} / ({ms} / 1000.0D) end"
+
+
 def elapsed_ms(start_us: Column, end_us: Column) -> Column:
     """Whole milliseconds between two micro times, cut towards zero."""
     d = end_us - start_us
