@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackplace.functions.geo import between, between_known, distance_m, fraction
-from trackplace.operators.ordered import Keyed, Last, Prev, Sum
+from trackplace.operators.ordered import Keyed, Last, Prev, Sum, row_count
 
 # Ranks per block grow by this factor from level to level.
 FANOUT_BITS = 4
@@ -90,14 +90,11 @@ def _inside(shots: DataFrame, fixes: DataFrame, limit: int | None) -> tuple[Data
     order = ["t_us", "_kind", "track_id", "segment_no", "seq", "photo_id"]
     is_photo = F.when(F.col("_kind") == 0, 1).otherwise(0).cast("long")
     subjects = Keyed(events, ["subject_id"], limit)
-    ranked = (
-        subjects
-        .running(order, rank=Sum(is_photo))
-        .totals(shots=F.sum(is_photo))
-    )
-    photos = ranked.transform(
-        lambda d: d.filter("_kind = 0").select("subject_id", "photo_id", "t_us", "rank", "shots")
-    ).rows()
+    fits = subjects.long is None
+    ranked = subjects.running(order, rank=Sum(is_photo))
+    # Photos rank the same among themselves, without the fixes.
+    photos = _keyed(shots, limit, fits).running(["t_us", "photo_id"], rank=row_count())
+    photos = photos.totals(shots=F.count(F.lit(1))).rows()
     here = F.struct("t_us", "lat", "lon", "ele", "rank")
     pairs = (
         ranked.transform(lambda d: d.filter("_kind = 1"))
@@ -140,7 +137,12 @@ def _inside(shots: DataFrame, fixes: DataFrame, limit: int | None) -> tuple[Data
         .groupBy("subject_id", "photo_id")
         .agg(F.min_by("pair", _closeness(F.col("pair"))).alias("_pair"))
     )
-    return best, subjects.long is None
+    return best, fits
+
+
+def _keyed(df: DataFrame, limit: int | None, fits: bool) -> Keyed:
+    """By subject; not counted again where larger groups were found to fit."""
+    return Keyed.fitting(df, ["subject_id"]) if fits else Keyed(df, ["subject_id"], limit)
 
 
 def _closeness(pair: Column) -> Column:
@@ -204,9 +206,8 @@ def _ends(shots: DataFrame, fixes: DataFrame, limit: int | None, fits: bool) ->
         .unionByName(boundary("e", "e").withColumn("_kind", F.lit(3)), allowMissingColumns=True)
     )
     order = ["t_us", "_kind", "photo_id"]
-    keyed = Keyed.fitting(events, ["subject_id"]) if fits else Keyed(events, ["subject_id"], limit)
     return (
-        keyed
+        _keyed(events, limit, fits)
         .running(order, descending=True, _start=Last(F.col("s")))
         .running(order, _end=Last(F.col("e")))
         .rows()

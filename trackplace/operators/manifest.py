@@ -99,6 +99,9 @@ def renamed_remote(
     )
     # Read by several joins below, and few beside the files themselves.
     later = checkpoint(ranked.filter("_place > 1").drop("_place"))
+    if later.isEmpty():
+        none = F.lit(None).cast("string")
+        return later.select(*by, "remote_id", "name", none.alias("goes_by"), none.alias("follows"))
     renamed = free_names(later, taken, by, ["created", "remote_id"], limit=limit)
     own = local.select(*by, F.col("name").alias("follows"), F.col("digest").alias("_now"))
     mine = index.select(
@@ -141,11 +144,14 @@ def sync_plan(
     Inputs are those of ``renamed_remote``; ``skip(by.., name)`` are left alone.
     """
     moved = renamed_remote(remote, local, index, deleted, by, limit)
+    any_moved = not moved.isEmpty()
     follow = moved.filter(F.col("follows").isNotNull()).select(
         *by, F.col("follows").alias("name"), F.col("goes_by").alias("_to")
     )
 
     def after_moves(side: DataFrame) -> DataFrame:
+        if not any_moved:
+            return side
         return side.join(follow, [*by, "name"], "left").withColumn(
             "name", F.coalesce("_to", "name")
         ).drop("_to")
@@ -153,7 +159,10 @@ def sync_plan(
     keys = [*by, "name"]
     here = after_moves(local.filter(is_syncable(F.col("name"))).select(*keys, "digest"))
     then = after_moves(index.select(*keys, "remote_id", "digest"))
-    there = _named(remote, moved, by).select(*by, F.col("goes_by").alias("name"), "remote_id", "digest")
+    if any_moved:
+        there = _named(remote, moved, by).select(*by, F.col("goes_by").alias("name"), "remote_id", "digest")
+    else:
+        there = remote.filter(is_syncable(F.col("name"))).select(*keys, "remote_id", "digest")
 
     # The four sides of a name meet in one aggregate: one shuffle, and no chain
     # of outer joins. After the renaming each side has a name once.

@@ -33,7 +33,7 @@ def list_card(
 
 def file_manifest(spark: SparkSession, folder: str, accepts: str | None = None) -> DataFrame:
     """Name and MD5 of each file of a synced folder; ``accepts`` is a pattern."""
-    files = _listed(spark, f"{folder}/*", ["content"]).filter(~F.col("name").startswith("."))
+    files = _listed(spark, folder, ["content"]).filter(~F.col("name").startswith("."))
     if accepts is not None:
         files = files.filter(F.col("name").rlike(accepts))
     return files.select("name", F.md5("content").alias("digest"))
