@@ -9,6 +9,14 @@ from trackplace.streaming import recorder
 SCHEMA = ("device long, run long, delivery_id long, now_us long, provider string, accuracy double, age_ms long")
 
 
+def run(writer, tmp_path):
+    """Works off what has arrived, then ends."""
+    query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    done = query.awaitTermination(60)
+    query.stop()
+    assert done
+
+
 def feed(seed=4, n=400):
     rng = random.Random(seed)
     rows, clocks = [], {}
@@ -53,20 +61,15 @@ def test_stream_agrees_with_table(spark, tmp_path):
     source = str(tmp_path / "in")
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    admitted = recorder.admit_stream(stream)
+    admitted = recorder.admit_stream(stream, idle_ms=None)
     for i, part in enumerate(parts):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        query = (admitted.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
-                 .start(str(tmp_path / "out")))
-        query.processAllAvailable()
-        query.stop()
+        run(admitted.writeStream.format("parquet").option("path", str(tmp_path / "out")), tmp_path)
     got = {r.delivery_id: r.outcome for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == one_by_one(rows)
     # A delivery from before what its run has seen changes nothing.
     spark.createDataFrame([(0, 0, 999, -1, "gps", 5.0, 0)], SCHEMA).write.mode("append").parquet(source)
-    query = admitted.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).start(str(tmp_path / "out"))
-    query.processAllAvailable()
-    query.stop()
+    run(admitted.writeStream.format("parquet").option("path", str(tmp_path / "out")), tmp_path)
     out = spark.read.parquet(str(tmp_path / "out")).filter("delivery_id = 999")
     assert [r.outcome for r in out.collect()] == ["late"]
 
@@ -93,9 +96,7 @@ def test_live_statistics_follow_touched_tracks(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     for part in ([(1, 0, 1, 0, 46.0, 7.0), (2, 0, 1, 0, 46.0, 7.0)], [(1, 0, 2, 1_000_000, 46.1, 7.0)]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
-        query = recorder.live_track_stats(stream, fixes, stats).option("checkpointLocation", str(tmp_path / "cp")).start()
-        query.processAllAvailable()
-        query.stop()
+        run(recorder.live_track_stats(stream, fixes, stats), tmp_path)
     latest = {r.track_id: (r.fixes, round(r.metres)) for r in recorder.latest_stats(spark.read.parquet(stats)).collect()}
     assert latest == {1: (2, 11119), 2: (1, 0)}
     assert spark.read.parquet(stats).filter("track_id = 2").count() == 1

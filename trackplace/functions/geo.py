@@ -15,17 +15,16 @@ def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     h = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(lat1)) * F.cos(
         F.radians(lat2)
     ) * F.sin(half_lon) * F.sin(half_lon)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # Not least(): that passes over the null of a missing neighbour.
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.when(h > 1.0, 1.0).otherwise(F.sqrt(h)))
 
 
 def distance_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """``distance_m`` as SQL text, for plans built out of many expressions."""
     half_lat = f"sin((radians({lat2}) - radians({lat1})) / 2)"
     half_lon = f"sin(radians({lon2} - {lon1}) / 2)"
-    return (
-        f"{2 * EARTH_RADIUS_M}D * asin(least(1.0D, sqrt({half_lat} * {half_lat}"
-        f" + cos(radians({lat1})) * cos(radians({lat2})) * {half_lon} * {half_lon})))"
-    )
+    h = f"({half_lat} * {half_lat} + cos(radians({lat1})) * cos(radians({lat2})) * {half_lon} * {half_lon})"
+    return f"{2 * EARTH_RADIUS_M}D * asin(case when {h} > 1 then 1.0D else sqrt({h}) end)"
 
 
 def speed_sql(start_us: str, end_us: str, metres: str) -> str:

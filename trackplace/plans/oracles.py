@@ -31,10 +31,11 @@ def _dated(name: str) -> str:
 
 
 def _distance(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> str:
-    return (
-        f"2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin((radians({b_lat}) - radians({a_lat})) / 2), 2)"
-        f" + cos(radians({a_lat})) * cos(radians({b_lat})) * pow(sin(radians({b_lon} - {a_lon}) / 2), 2))))"
+    h = (
+        f"(pow(sin((radians({b_lat}) - radians({a_lat})) / 2), 2)"
+        f" + cos(radians({a_lat})) * cos(radians({b_lat})) * pow(sin(radians({b_lon} - {a_lon}) / 2), 2))"
     )
+    return f"2 * 6371000.0 * asin(case when {h} > 1 then 1.0 else sqrt({h}) end)"
 
 
 def _speed(from_us: str, to_us: str, metres: str) -> str:

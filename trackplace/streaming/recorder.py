@@ -70,11 +70,14 @@ def _usable(gps: Column, silence: int, max_age: int) -> Column:
 
 
 def admit_stream(
-    deliveries: DataFrame, interval_ms: int = DEFAULT_INTERVAL_MS, idle_ms: int = 6 * 3_600_000
+    deliveries: DataFrame, interval_ms: int = DEFAULT_INTERVAL_MS, idle_ms: int | None = 6 * 3_600_000
 ) -> DataFrame:
     """The same on a stream, with one small memory per run. A delivery older than
     what its run has already seen comes out as ``late`` and changes nothing; a
-    run not heard from for ``idle_ms`` is forgotten."""
+    run not heard from for ``idle_ms`` is forgotten. Watching for idle runs keeps
+    batches coming, so a stream that is to end when its input does (an
+    ``availableNow`` trigger) passes None.
+    """
     silence, max_age, grace = limits(interval_ms)
 
     def step(
@@ -103,13 +106,13 @@ def admit_stream(
                 memory[2] = int(r.now_us)
             memory[3], memory[4] = int(r.now_us), int(r.delivery_id)
         state.update(tuple(memory))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         rows["outcome"] = outcomes
         yield rows[["device", "run", "delivery_id", "now_us", "provider", "accuracy", "age_ms", "outcome"]]
 
-    return deliveries.groupBy(*KEYS).applyInPandasWithState(
-        step, ADMITTED, _MEMORY, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    forgets = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return deliveries.groupBy(*KEYS).applyInPandasWithState(step, ADMITTED, _MEMORY, "append", forgets)
 
 
 def recording_status(admitted: DataFrame) -> DataFrame:
