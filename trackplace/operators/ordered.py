@@ -61,13 +61,15 @@ class Keyed:
         self.plain: DataFrame = df
         self.long: DataFrame | None = None
         self._tasks = 0
+        self._few = True
         self._split(df)
 
     @classmethod
     def fitting(cls, df: DataFrame, keys: list[str]) -> Keyed:
         """Rows whose keys are known to fit a task, taken without counting them."""
         known = object.__new__(cls)
-        known.keys, known.limit, known.plain, known.long, known._tasks = list(keys), 0, df, None, 0
+        known.keys, known.limit, known._tasks, known._few = list(keys), 0, 0, True
+        known.plain, known.long = df, None
         return known
 
     def _split(self, df: DataFrame) -> None:
@@ -79,16 +81,22 @@ class Keyed:
         if not found["keys"]:
             return
         names = checkpoint(heavy.select(*self.keys))
-        if found["keys"] <= BROADCAST_KEYS:
-            names = F.broadcast(names)
+        self._few = found["keys"] <= BROADCAST_KEYS
+        names = self._small(names)
         self.plain = df.join(names, self.keys, "left_anti")
         self.long = df.join(names, self.keys, "left_semi")
         shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self._tasks = max(shuffle, math.ceil(2 * found["rows"] / self.limit))
 
+    def _small(self, per_long_key: DataFrame) -> DataFrame:
+        """One row per long key: sent to all tasks while their counted number
+        allows it, else left to a shuffled join."""
+        return F.broadcast(per_long_key) if self._few else per_long_key
+
     def _like(self, plain: DataFrame, long: DataFrame | None, keys: list[str] | None = None) -> Keyed:
         other = object.__new__(Keyed)
-        other.keys, other.limit, other._tasks = keys or self.keys, self.limit, self._tasks
+        other.keys, other.limit = keys or self.keys, self.limit
+        other._tasks, other._few = self._tasks, self._few
         other.plain, other.long = plain, long
         return other
 
@@ -178,9 +186,8 @@ class Keyed:
         plain = self.plain.withColumns({n: a.over(whole) for n, a in aggregates.items()})
         if self.long is None:
             return self._like(plain, None)
-        # One row per long key; their number was bounded when they were found.
         sums = self.long.groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggregates.items()])
-        return self._like(plain, self.long.join(F.broadcast(sums), self.keys, "left"))
+        return self._like(plain, self.long.join(self._small(sums), self.keys, "left"))
 
     def rows(self) -> DataFrame:
         return self.plain if self.long is None else self.plain.unionByName(self.long)
