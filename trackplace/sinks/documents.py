@@ -166,5 +166,5 @@ def track_heads(fixes: DataFrame) -> DataFrame:
 
 
 def write_plan(plan: DataFrame, path: str) -> None:
-    """The plan as a table, partitioned so that one subject's is read alone."""
+    """The plan as a table, for previews and runs to read alike."""
     plan.write.mode("overwrite").parquet(path)
