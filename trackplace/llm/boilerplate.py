@@ -28,7 +28,7 @@ def occurrences(tracks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``track_id, digest, source, at, h1, h2``: every line of ``least_words`` words or more."""
     rows = tracks.select(
         "track_id", F.xxhash64("document").alias("digest"), F.coalesce("source", F.lit("\x00")).alias("source"),
-        F.posexplode(lines(F.col("document"))).alias("at", "line"))
+        F.posexplode_outer(lines(F.col("document"))).alias("at", "line"))
     return rows.filter(F.size(words(F.col("line"))) >= least_words).select(
         "track_id", "digest", "source", "at", *_line_key(F.col("line")))
 

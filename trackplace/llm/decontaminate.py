@@ -30,15 +30,20 @@ def tokens(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, gram, at``: what each mask sees at each position of ``_h``."""
+    """``keys, gram, at``: what each mask sees at each position of ``_h``.
+
+    The outer form of the generator keeps Catalyst from testing the arrays for
+    length below the projection that makes them, which would make them anew for
+    every element.
+    """
     rows = rows.withColumn("_places", F.size("_h") - (SPAN - 1))
     seen = lambda k, mask: F.transform(
         F.sequence(F.lit(0), F.col("_places") - 1),
         lambda i: F.xxhash64(F.lit(k), *[F.get("_h", i + p) for p in mask]))
     grams = F.concat(*[seen(k, mask) for k, mask in enumerate(MASKS)])
-    rows = rows.filter(F.col("_places") > 0).select(*keys, "_places", grams.alias("_g"))
-    return rows.select(*keys, "_places", F.posexplode("_g").alias("_p", "gram")).select(
-        *keys, "gram", (F.col("_p") % F.col("_places")).alias("at"))
+    rows = rows.select(*keys, "_places", F.when(F.col("_places") > 0, grams).alias("_g"))
+    rows = rows.select(*keys, "_places", F.posexplode_outer("_g").alias("_p", "gram"))
+    return rows.filter(F.col("_p").isNotNull()).select(*keys, "gram", (F.col("_p") % F.col("_places")).alias("at"))
 
 
 def _small(rows: DataFrame, n: int) -> DataFrame:
@@ -86,15 +91,17 @@ def contaminated(
         F.least(F.lit(window), F.size("_t")).alias("_least"),
         F.transform(F.sequence(first, last - 1), lambda i: F.when(
             F.get("_h", i) == F.get("_t", i - F.col("shift")), 1).otherwise(0)).alias("_same"))
-    laid = laid.filter(F.size("_same") >= F.col("_least"))
     add = lambda a, x: a + x
     best = F.array_max(F.transform(
         F.sequence(F.lit(1), F.size("_same") - F.col("_least") + 1),
         lambda s: F.aggregate(F.slice("_same", s, F.col("_least")), F.lit(0), add)))
-    laid = laid.filter(best >= F.ceil(similarity * F.col("_least") - 1e-9))
-    total = F.aggregate("_same", F.lit(0), add)
-    top = F.max(F.struct(total.alias("same"), (-F.col("start")).alias("before"), F.size("_same").alias("overlap")))
-    return laid.groupBy("track_id", "item_id").agg(top.alias("t")).select(
+    # Judged below the aggregate and chosen above it: a filter here would be
+    # pushed into the expressions and work them out again for every window.
+    fits = (F.size("_same") >= F.col("_least")) & (best >= F.ceil(similarity * F.col("_least") - 1e-9))
+    top = F.max(F.struct(
+        fits.alias("fits"), F.aggregate("_same", F.lit(0), add).alias("same"),
+        (-F.col("start")).alias("before"), F.size("_same").alias("overlap")))
+    return laid.groupBy("track_id", "item_id").agg(top.alias("t")).filter("t.fits").select(
         "track_id", "item_id", (-F.col("t.before")).cast("long").alias("start"),
         F.col("t.overlap").cast("long").alias("overlap"), F.col("t.same").cast("long").alias("same"))
 
