@@ -15,19 +15,19 @@ with doc as (
     coalesce(source, chr(0)) as site, string_split(text, chr(10)) as ls
   from documents),
 line as (
-  select k, doc_id, digest, site, unnest(range(1, len(ls) + 1)) as at,
-    unnest(list_transform(ls, x -> trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) as bare
+  select k, doc_id, digest, site, unnest(range(1, len(ls) + 1)) as pos,
+    unnest(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) as bare
   from doc where text is not null),
 long_line as (select * from line where len(regexp_extract_all(bare, '{WORD}')) >= {LEAST_WORDS}),
 spread as (
-  select bare, count(distinct site) as sites, min(struct_pack(doc_id := doc_id, digest := digest, at := at)) as f
+  select bare, count(distinct site) as sites, min(struct_pack(doc_id := doc_id, digest := digest, pos := pos)) as f
   from long_line group by bare having count(distinct site) >= {LEAST_SOURCES}),
 gone as (
-  select l.k, list(l.at) as ats, count(*) as n from long_line l join spread s on l.bare = s.bare
-  where not (l.doc_id = s.f.doc_id and l.digest = s.f.digest and l.at = s.f.at) group by l.k)
+  select l.k, list(l.pos) as gone_at, count(*) as n from long_line l join spread s on l.bare = s.bare
+  where not (l.doc_id is not distinct from s.f.doc_id and l.digest = s.f.digest and l.pos = s.f.pos) group by l.k)
 select doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, coalesce(n, 0) as n_removed,
   case when n is null then text else array_to_string(
-    list_filter(ls, (x, i) -> not list_contains(ats, i)), chr(10)) end as text
+    list_filter(ls, lambda x, i: not list_contains(gone_at, i)), chr(10)) end as text
 from doc left join gone on doc.k = gone.k
 """
 
@@ -36,7 +36,7 @@ OP9 = f"""
 with doc as (
   select row_number() over () as k, doc_id, coalesce(text, '') as t,
     regexp_extract_all(coalesce(text, ''), '{WORD}') as w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{WORD}')) as ls
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) as ls
   from documents),
 win as (
   select k, i, w[i:i + {WINDOW - 1}] as g
@@ -51,7 +51,7 @@ m as (
     cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as bigint) as n_symbols,
     length(t) - length(replace(t, '!', '')) as n_shouts,
     length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as n_upper,
-    len(list_filter(w, x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') in ({_STOPS}))) as n_stops,
+    len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') in ({_STOPS}))) as n_stops,
     len(ls) as n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
     cast(coalesce(c.n, 0) as bigint) as n_repeat_words
   from doc left join cover c on doc.k = c.k)
@@ -88,10 +88,10 @@ goal as (
 placed as (
   select doc_id, size, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0) as passes,
     coalesce(sum(size) over (partition by d.source order by digest, doc_id, size
-      rows between unbounded preceding and 1 preceding), 0) as at
+      rows between unbounded preceding and 1 preceding), 0) as pos
   from doc d join goal g on d.source is not distinct from g.source)
 select doc_id, size, source_size, target, cast(passes * size + greatest(
-  0, least(at + size, floor(target) - passes * source_size) - at) as bigint) as taken
+  0, least(pos + size, floor(target) - passes * source_size) - pos) as bigint) as taken
 from placed
 """
 
