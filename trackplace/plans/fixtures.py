@@ -68,15 +68,17 @@ select c_custkey as camera_id,
   case when c_custkey % 4 = 0 then null else c_name end as serial
 from customer""",
     "settings": """
-select user_id as subject_id, event_id % 2 as device, event_type as skey, event_id as svalue,
-  {us(ts)} {div} 60000000 as changed_us
-from events""",
+select subject_id, device, skey, svalue, changed_us from (
+  select user_id as subject_id, event_id % 2 as device, event_type as skey, event_id as svalue,
+    {us(ts)} {div} 86400000000 as changed_us,
+    row_number() over (partition by user_id, event_id % 2, event_type order by ts desc, event_id desc) as rn
+  from events) x where rn = 1""",
     "import_states": """
 select camera_id, device, last_file, import_no, at_us from (
-  select o_custkey % 500 as camera_id, o_orderkey % 2 as device,
+  select o_custkey as camera_id, o_orderkey % 2 as device,
     concat('DSCF', lpad(cast((o_orderkey * 7) % 10000 as varchar(10)), 4, '0'), '.RAF') as last_file,
     o_orderkey % 40 as import_no, {us(o_orderdate)} as at_us,
-    row_number() over (partition by o_custkey % 500, o_orderkey % 2 order by o_orderkey) as rn
+    row_number() over (partition by o_custkey, o_orderkey % 2 order by o_orderkey) as rn
   from orders) x where rn = 1""",
     "manifests": """
 select 'local' as side, concat('p', cast(p_partkey as varchar(10)), '.gpx') as fname,
@@ -149,7 +151,7 @@ def import_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first order of each camera and device, as an aggregate that combines before it shuffles."""
     orders = table(spark, sf_dir, "orders")
     first = orders.groupBy(
-        (F.col("o_custkey") % 500).alias("camera_id"), (F.col("o_orderkey") % 2).alias("device")
+        F.col("o_custkey").alias("camera_id"), (F.col("o_orderkey") % 2).alias("device")
     ).agg(F.min_by(F.struct("o_orderkey", "o_orderdate"), "o_orderkey").alias("f"))
     return first.select(
         "camera_id", "device",

@@ -282,14 +282,15 @@ def _taken_numbers() -> str:
 
 
 CLASHING = [
-    """remote as (select concat('p', p_partkey % 300, '.gpx') as name, p_partkey as remote_id,
+    """remote as (select concat('p', p_partkey // 500, '_', p_partkey % 500 % 60, '.gpx') as name, p_partkey as remote_id,
     md5(p_name) as digest, p_partkey as created from part)""",
-    """here as (select concat('p', p_partkey, '.gpx') as name, md5(p_name) as digest from part where p_partkey < 300
-    union all select concat('p', p_partkey, ' (', p_partkey % 4 + 2, ').gpx'), md5(p_brand) from part
-    where p_partkey < 300 and p_partkey % 5 = 0)""",
-    """synced as (select concat('p', p_partkey, '.gpx') as name, p_partkey + 300 as remote_id,
-    md5(concat(p_name, case when p_partkey % 2 = 0 then 'x' else '' end)) as digest
-    from part where p_partkey < 300 and p_partkey % 3 = 0)""",
+    """here as (select concat('p', p_partkey // 500, '_', p_partkey % 500, '.gpx') as name, md5(p_name) as digest
+    from part where p_partkey % 500 < 60
+    union all select concat('p', p_partkey // 500, '_', p_partkey % 500, ' (', p_partkey % 500 % 4 + 2, ').gpx'), md5(p_brand)
+    from part where p_partkey % 500 < 60 and p_partkey % 5 = 0)""",
+    """synced as (select concat('p', p_partkey // 500, '_', p_partkey % 500, '.gpx') as name, p_partkey + 60 as remote_id,
+    md5(concat(p_name, case when p_partkey % 500 % 2 = 0 then 'x' else '' end)) as digest
+    from part where p_partkey % 500 < 60 and p_partkey % 3 = 0)""",
 ]
 
 
@@ -377,10 +378,10 @@ def _sidecar() -> str:
     )
 
 
-STATES = f"""states as (select s.camera_id as state_order, last_file, import_no,
+STATES = f"""states as (select s.camera_id * 2 + s.device as state_order, last_file, import_no,
     case when s.camera_id <> 11 then make end as make, case when s.camera_id <> 11 then model end as model,
     case when s.camera_id <> 11 then serial end as serial
-  from import_states s join cameras c on c.camera_id = s.camera_id where device = 0),
+  from import_states s join cameras c on c.camera_id = s.camera_id),
 keyed as (select *, {_key('make', 'model', 'serial')} as k from states),
 known as (select k, max(state_order) as state_order, arg_max(last_file, state_order) as last_file,
     arg_max(make, state_order) as make, arg_max(model, state_order) as model,
@@ -402,9 +403,10 @@ def _same(a: str, b: str) -> str:
     return SAME_CAMERA.replace("{a}", a).replace("{b}", b)
 
 
-PLACES = f"""imported as (select f.card_id % 4 as place, f.card_id // 4 as import_no, file_id, name, make, model, serial
+PLACES = f"""imported as (select f.card_id // 8 as place, f.card_id % 8 as import_no, file_id, name, make, model, serial
   from card_files f left join cameras c
-  on c.camera_id = case when f.card_id % 3 <> 0 then (f.card_id * 31) % 40 end)"""
+  on c.camera_id = case when f.card_id % 3 <> 0
+    then f.card_id // 8 % 150 + case when f.card_id % 3 = 1 then 2 else 1 end end)"""
 
 
 def build() -> dict[str, str]:
@@ -462,12 +464,23 @@ def build() -> dict[str, str]:
     o["clean_elevations"] = _with(fixes, *_cleaning()) + (
         "select track_id, segment_no, seq, ele, ele_finding from elevated where ele_finding is not null")
     o["cleanup_counts"] = _with(fixes, *COUNTED) + "select * from counts"
+    measured = ["ele", "ele_before", "ele_after", "ele_accuracy", "speed", "step_mps"]
+    nothing = lambda n: ", ".join(f"cast(null as double) as {c}" for c in measured[:n])
+    five = ", ".join(["null"] * 5)
     dropped = " union all ".join(
-        f"select track_id, segment_no, seq, 'POSITION_EXCURSION' as finding from judged{n} where drop_it"
+        f"select track_id, segment_no, seq, 'POSITION_EXCURSION' as finding, round(out_m, 3) as out_m,"
+        f" round(back_m, 3) as back_m, round(across_m, 3) as across_m, round(fastest, 3) as fastest,"
+        f" round(ordinary, 3) as ordinary, {nothing(6)} from judged{n} where drop_it"
         for n in (1, 2, 3))
     o["cleanup_notes"] = _with(fixes, *COUNTED[:-1]) + dropped + (
-        " union all select track_id, segment_no, seq, ele_finding from elevated where ele_finding is not null"
-        " union all select track_id, segment_no, seq, 'SPEED_CONTRADICTION' from contradicted")
+        f" union all select track_id, segment_no, seq, ele_finding, {five},"
+        " case when ele_finding = 'ELEVATION_EXCURSION' then round(ele, 3) end,"
+        " case when ele_finding = 'ELEVATION_EXCURSION' then round(b, 3) end,"
+        " case when ele_finding = 'ELEVATION_EXCURSION' then round(a, 3) end,"
+        " case when ele_finding = 'ELEVATION_UNTRUSTED' then round(ele_accuracy, 3) end, null, null"
+        " from elevated where ele_finding is not null"
+        f" union all select track_id, segment_no, seq, 'SPEED_CONTRADICTION', {five}, null, null, null, null,"
+        " round(speed, 3), round(step_mps, 3) from contradicted")
 
     o["photo_range"] = _with(photos, _ranges("photos")) + "select * from ranges"
     o["choose_tracks"] = _with(_dated("fixes"), _dated("photos"), BY_SEGMENT, _ranges("photos"), CHOICE) + (
@@ -526,7 +539,8 @@ from placed where placed is not null"""
     as instant_us,
   coalesce(epoch_us(exif_local), {file_us} + 3600000000) as local_us from photos"""
     o["merge_settings"] = _with(_view("settings")) + (
-        "select subject_id, skey, max(changed_us) as changed_us from settings group by 1, 2")
+        "select subject_id, skey, arg_max(svalue, changed_us * 2 + 1 - device) as svalue,"
+        " max(changed_us) as changed_us from settings group by 1, 2")
     o["resolve_params"] = _with(_view("settings"), """m as (select subject_id,
     max(svalue) filter (where skey = 'click') as t, max(svalue) filter (where skey = 'view') as c
   from settings group by 1)""") + """select subject_id,
@@ -587,8 +601,8 @@ select card_id, state_order as state_state_order, last_file as state_last_file f
 where nth = 1"""
     o["local_watermark"] = _with(
         cards, _view("cameras"), PLACES, *_ordered("imported", "place, import_no"), _camera_of("place, import_no"),
-        """mine as (select case camera_id when 8 * 31 % 40 then 0 when 9 * 31 % 40 then 1 else 2 end as place,
-    make, model, serial from cameras where camera_id in (8 * 31 % 40, 9 * 31 % 40, 10 * 31 % 40))""",
+        """mine as (select place, make, model, serial
+    from (select distinct place from imported) p join cameras on camera_id = place % 150 + 1)""",
         "last as (select place, import_no, arg_max(name, rank) as last_file from ordered group by 1, 2)") + f"""
 select cast(l.place as bigint) as card_id, import_no as local_no, last_file as local_file
 from last l join mine m using (place) left join found f using (place, import_no)
@@ -613,8 +627,8 @@ select card_id,
     when local_file is not null then 'local' else 'none' end as source from joined"""
     o["next_import_no"] = _with(cards, _view("import_states")) + """
 select place, max(n) + 1 as next_no from (
-  select card_id % 7 as place, case when card_id % 5 = 0 then 0 else card_id end as n from card_files
-  union all select camera_id % 7, import_no from import_states) group by 1"""
+  select card_id // 5 as place, case when card_id % 5 = 0 then 0 else card_id end as n from card_files
+  union all select camera_id // 5, import_no from import_states) group by 1"""
     o["last_import_of"] = _with(
         cards, "picked as (select * from card_files where file_id % 3 = 0)", *_ordered("picked", "card_id")) + (
         "select card_id, arg_max(name, rank) as last_file from ordered group by 1")

@@ -168,9 +168,8 @@ def cleanup_counts(spark, sf):
 
 @query
 def cleanup_notes(spark, sf):
-    return cleanup.notes(cleanup.judge(fixes(spark, sf))).select(
-        "track_id", "segment_no", "seq", "finding"
-    )
+    found = cleanup.notes(cleanup.judge(fixes(spark, sf)))
+    return rounded(found.drop("subject_id", "t_us"), 3, *cleanup.MEASURED)
 
 
 # --- selection and placement -------------------------------------------------
@@ -333,7 +332,7 @@ def merge_settings(spark, sf):
         s.filter("device = 0").drop("device"),
         s.filter("device = 1").drop("device"), ["subject_id", "skey"],
     )
-    return one.select("subject_id", "skey", F.col("changed_us"))
+    return one.select("subject_id", "skey", "svalue", "changed_us")
 
 
 @query
@@ -431,10 +430,10 @@ def camera_of(spark, sf):
 
 
 def _states_by_camera(spark, sf):
-    states, _ = _two_states(spark, sf)
+    states = view(spark, sf, "import_states")
     known = F.col("camera_id") != 11
     return states.join(view(spark, sf, "cameras"), "camera_id").select(
-        F.col("camera_id").alias("state_order"),
+        (F.col("camera_id") * 2 + F.col("device")).alias("state_order"),
         *[F.when(known, F.col(c)).alias(c) for c in ("make", "model", "serial")], "last_file", "import_no",
     )
 
@@ -453,18 +452,18 @@ def state_for_camera(spark, sf):
 
 
 def _imported(spark, sf):
-    """Cards as import folders, four places they were imported to."""
+    """Cards as import folders, eight to a place; two cameras wrote a place's cards."""
     files = view(spark, sf, "card_files")
-    named = _with_cameras(spark, sf, files, (F.col("card_id") * 31) % 40, F.col("card_id") % 3 != 0)
-    return named.withColumn("import_no", F.expr("card_id div 4")).withColumn("card_id", F.col("card_id") % 4)
+    camera = F.expr("(card_id div 8) % 150") + F.when(F.col("card_id") % 3 == 1, 2).otherwise(1)
+    named = _with_cameras(spark, sf, files, camera, F.col("card_id") % 3 != 0)
+    return named.withColumn("import_no", F.col("card_id") % 8).withColumn("card_id", F.expr("card_id div 8"))
 
 
 @query
 def local_watermark(spark, sf):
-    cards = view(spark, sf, "cameras").filter("camera_id in (8 * 31 % 40, 9 * 31 % 40, 10 * 31 % 40)")
-    place = F.expr(
-        "case camera_id when 8 * 31 % 40 then 0 when 9 * 31 % 40 then 1 else 2 end")
-    mine = cards.select(place.cast("long").alias("card_id"), "make", "model", "serial")
+    places = view(spark, sf, "card_files").select(F.expr("card_id div 8").alias("place")).distinct()
+    mine = places.withColumn("camera_id", F.col("place") % 150 + 1).join(
+        view(spark, sf, "cameras"), "camera_id").select(F.col("place").alias("card_id"), "make", "model", "serial")
     return catalog.local_watermark(_imported(spark, sf), mine)
 
 
@@ -491,11 +490,11 @@ def resume_point(spark, sf):
 @query
 def next_import_no(spark, sf):
     folders = view(spark, sf, "card_files").select(
-        (F.col("card_id") % 7).alias("place"),
+        F.expr("card_id div 5").alias("place"),
         F.when(F.col("card_id") % 5 == 0, "Import x").otherwise(
             names.import_name(F.col("card_id"))).alias("folder"),
     ).distinct()
-    states = view(spark, sf, "import_states").select((F.col("camera_id") % 7).alias("place"), "import_no")
+    states = view(spark, sf, "import_states").select(F.expr("camera_id div 5").alias("place"), "import_no")
     return catalog.next_import_no(folders, states, ["place"])
 
 
@@ -554,18 +553,20 @@ def sync_report(spark, sf):
 
 
 def _clashing(spark, sf):
-    p = table(spark, sf, "part").withColumn("folder_id", F.lit(0).cast("long"))
-    name = lambda k, tail=".gpx": F.concat(F.lit("p"), k.cast("string"), F.lit(tail))
-    key = F.col("p_partkey")
-    remote = p.select("folder_id", name(key % 300).alias("name"), key.alias("remote_id"),
-                      F.md5("p_name").alias("digest"), key.alias("created"))
-    few = p.filter("p_partkey < 300")
+    # A folder per 500 parts; 60 names each, which its remote files share by remainder.
+    p = table(spark, sf, "part").withColumn("folder_id", F.expr("p_partkey div 500"))
+    name = lambda k, tail=".gpx": F.concat_ws(
+        "", F.lit("p"), F.col("folder_id").cast("string"), F.lit("_"), k.cast("string"), F.lit(tail))
+    key = F.col("p_partkey") % 500
+    remote = p.select("folder_id", name(key % 60).alias("name"), F.col("p_partkey").alias("remote_id"),
+                      F.md5("p_name").alias("digest"), F.col("p_partkey").alias("created"))
+    few = p.filter("p_partkey % 500 < 60")
     local = few.select("folder_id", name(key).alias("name"), F.md5("p_name").alias("digest")).unionByName(
         few.filter("p_partkey % 5 = 0").select(
             "folder_id", F.concat(name(key, " ("), (key % 4 + 2).cast("string"), F.lit(").gpx")).alias("name"),
             F.md5("p_brand").alias("digest")))
     index = few.filter("p_partkey % 3 = 0").select(
-        "folder_id", name(key).alias("name"), (key + 300).alias("remote_id"),
+        "folder_id", name(key).alias("name"), (F.col("p_partkey") + 60).alias("remote_id"),
         F.md5(F.concat("p_name", F.when(key % 2 == 0, "x").otherwise(""))).alias("digest"))
     return remote, local, index, local.select("folder_id", "name").limit(0)
 
