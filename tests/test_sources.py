@@ -105,6 +105,38 @@ def test_written_tracks_read_back(spark, tmp_path):
     whole = documents.gpx_documents(df).selectExpr("track_id", "document as text", "'gpx' as type")
     back = tracks.fixes_of(tracks.parse_tracks(whole), ["track_id"])
     assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(rows)
+    for size in (1, 2, 3, 7):
+        cut = documents.gpx_documents(df, part_rows=size).selectExpr("track_id", "document as text", "'gpx' as type")
+        joined = tracks.fixes_of(tracks.parse_tracks(cut), ["track_id"])
+        assert sorted(map(tuple, joined.select(*df.columns).collect())) == sorted(rows)
+
+
+def test_runs_of_way_points_do_not_bridge_a_track(spark, tmp_path):
+    at = lambda h, tag="wpt": point(tag, time=f"2026-07-17T{h:02}:00:00Z")
+    body = (at(0) + at(1) + "<!-- " + at(2) + " --><trk><name>wpt</name><trkseg>" + at(5, "trkpt") + "</trkseg></trk>"
+            + at(12) + "<rte/>" + at(13))
+    rows, bad = read(spark, tmp_path, a_gpx=GPX.format(ns=NS, body=body))
+    hours = lambda n: [r["t_us"] // 3_600_000_000 % 24 for r in rows if r["segment_no"] == n]
+    assert not bad and [hours(n) for n in range(4)] == [[5], [0, 1], [12], [13]]
+
+
+def test_what_kml_comments_out_is_no_track(spark, tmp_path):
+    one = "<gx:Track><when>2026-07-17T{0}:00:00Z</when><gx:coord>7.4 46.9</gx:coord></gx:Track>"
+    place = ("<Placemark><TimeStamp><when>2026-07-17T{0}:00:00Z</when></TimeStamp>"
+             "<Point><coordinates>7.7,46.1</coordinates></Point></Placemark>")
+    kml = ('<kml xmlns:gx="http://www.google.com/kml/ext/2.2"><Document>' + place.format("06") + "<!-- " + one.format("01")
+           + " --><description><![CDATA[" + one.format("02") + "]]></description><Placemark>" + one.format("09")
+           + "</Placemark>" + place.format("12") + place.format("13") + "</Document></kml>")
+    rows, bad = read(spark, tmp_path, a_kml=kml)
+    assert not bad
+    assert [(r["segment_no"], r["t_us"] // 3_600_000_000 % 24) for r in rows] == [(0, 9), (1, 6), (2, 12), (2, 13)]
+
+
+def test_a_document_type_may_only_stand_before_the_root(spark, tmp_path):
+    good = GPX.format(ns=NS, body="<!-- <!DOCTYPE x> --><trk><trkseg>" + point() + "</trkseg></trk>")
+    late = "<!--" + " " * 9000 + "--><!doctype gpx>" + good
+    rows, bad = read(spark, tmp_path, a_gpx=good, b_gpx=late)
+    assert len(rows) == 1 and bad == {"b.gpx": "declares a DOCTYPE"}
 
 
 def test_lines_come_in_joined_parts(spark):
@@ -115,17 +147,21 @@ def test_lines_come_in_joined_parts(spark):
 
 
 def test_card_and_manifest(spark, tmp_path):
-    for name in ("100_FUJI/DSCF0001.RAF", "100_FUJI/thumb.ctg", "101CANON/a b.jpg", "misc/x.jpg", "top.jpg"):
+    for name in ("100_FUJI/DSCF0001.RAF", "100_FUJI/thumb.ctg", "100_FUJI/_DSF0001.RAF", "100_FUJI/.x.jpg", "101CANON/a b.jpg", "misc/x.jpg", "top.jpg"):
         path = tmp_path / "card" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x")
     card = files.list_card(spark, str(tmp_path / "card"))
     assert [(r.folder, r.name) for r in card.orderBy("folder", "name").collect()] == [
-        ("100_FUJI", "DSCF0001.RAF"), ("101CANON", "a b.jpg")]
+        ("100_FUJI", "DSCF0001.RAF"), ("100_FUJI", "_DSF0001.RAF"), ("101CANON", "a b.jpg")]
     assert files.list_card(spark, str(tmp_path / "nowhere")).count() == 0
     (tmp_path / "card" / ".hidden").write_bytes(b"x")
     found = files.file_manifest(spark, str(tmp_path / "card"), r"\.jpg$").collect()
     assert [(r.name, r.digest) for r in found] == [("top.jpg", "9dd4e461268c8034f5c8564e155c67a6")]
+    (tmp_path / "synced").mkdir()
+    (tmp_path / "synced" / "_a.gpx").write_text(GPX.format(ns=NS, body="<trk><trkseg>" + point() + "</trkseg></trk>"))
+    assert [r.name for r in files.file_manifest(spark, str(tmp_path / "synced")).collect()] == ["_a.gpx"]
+    assert tracks.read_gpx(spark, str(tmp_path / "synced")).count() == 1
 
 
 def test_photo_state_and_settings_tables(spark, tmp_path):

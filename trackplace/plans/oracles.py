@@ -534,6 +534,17 @@ from placed where placed is not null"""
         " ele_accuracy, speed from fixes")
 
     file_us = "(least(created_us, modified_us) // 1000) * 1000"
+    o["gpx_parts"] = o["gpx_roundtrip"]
+    o["gpx_waypoints"] = _with(fixes, """marks as (select *, seq % 4 = 0 as loose, seq % 10 = 1 as middle from fixes
+    where seq % 4 = 0 or seq % 10 = 1)""", """placed as (select *, case when middle then 0
+    when seq <= quantile_disc(seq, 0.5) over (partition by track_id) then 1 else 2 end as place from marks)""") + """
+select track_id, dense_rank() over (partition by track_id order by place) - 1 as segment_no,
+  row_number() over (partition by track_id order by place, t_us, seq) as seq, t_us, lat, lon from placed"""
+    o["kml_roundtrip"] = _with(fixes, """every as (select track_id, 0 as place, seq, t_us, lat, lon from fixes
+    union all select track_id, 1, 0, min(t_us) - 1000000, 2.5, 1.5 from fixes group by track_id
+    union all select track_id, 2, 0, max(t_us) + 1000000, 2.5, 1.5 from fixes group by track_id)""") + """
+select track_id, cast(place as bigint) as segment_no,
+  row_number() over (partition by track_id order by place, t_us, seq) as seq, t_us, lat, lon from every"""
     o["capture_instant"] = _with(photos) + f"""select photo_id,
   coalesce(epoch_us(exif_local) - cast(exif_offset_s as bigint) * 1000000, epoch_us(exif_local) - 3600000000, {file_us}) - 1500000
     as instant_us,

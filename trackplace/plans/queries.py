@@ -309,6 +309,62 @@ def gpx_roundtrip(spark, sf):
     return back.drop("source")
 
 
+@query
+def gpx_parts(spark, sf):
+    """The round trip with a document per 20 fixes."""
+    written = documents.gpx_documents(fixes(spark, sf), part_rows=20)
+    files = written.select("track_id", F.col("document").alias("text"), F.lit("gpx").alias("type"))
+    return fixes_of(parse_tracks(files), ["track_id"]).drop("source")
+
+
+def _marks(spark, sf):
+    """Every fourth fix of a track is loose; each track has one more segment of
+    its fixes whose number ends in 1, written between the loose ones."""
+    f = fixes(spark, sf)
+    return f.withColumns({"loose": F.col("seq") % 4 == 0, "middle": F.col("seq") % 10 == 1}).filter("loose or middle")
+
+
+@query
+def gpx_waypoints(spark, sf):
+    """Way points before and after a track come back as segments of their own."""
+    mark = lambda tag: F.format_string(
+        f'<{tag} lat="%.7f" lon="%.7f"><time>%s</time></{tag}>', "lat", "lon", documents.iso_time(F.col("t_us")))
+    rows = _marks(spark, sf)
+    middle = rows.groupBy("track_id").agg(F.expr("percentile_disc(0.5) within group (order by seq)").alias("half"))
+    rows = rows.join(middle, "track_id")
+    place = lambda keep, tag: F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.when(keep, F.struct("seq", mark(tag).alias("x"))))), lambda p: p["x"]), "")
+    early, late = F.col("loose") & (F.col("seq") <= F.col("half")), F.col("loose") & (F.col("seq") > F.col("half"))
+    texts = rows.groupBy("track_id").agg(
+        place(early, "wpt").alias("a"), place(F.col("middle"), "trkpt").alias("b"), place(late, "wpt").alias("c"))
+    files = texts.select("track_id", F.lit("gpx").alias("type"), F.concat(
+        F.lit("<gpx><!-- <wpt/> -->"), "a", F.lit("<trk><trkseg>"), "b", F.lit("</trkseg></trk>"), "c",
+        F.lit("</gpx>")).alias("text"))
+    return fixes_of(parse_tracks(files), ["track_id"]).select("track_id", "segment_no", "seq", "t_us", "lat", "lon")
+
+
+@query
+def kml_roundtrip(spark, sf):
+    """A KML track per recording with one time too many, a track in a comment,
+    and a stamped placemark on either side."""
+    f = fixes(spark, sf)
+    when = F.concat(F.lit("<when>"), documents.iso_time(F.col("t_us")), F.lit("</when>"))
+    coord = F.format_string("<gx:coord>%.7f %.7f</gx:coord>", "lon", "lat")
+    ordered = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("seq", x.alias("x")))), lambda p: p["x"]), "")
+    stamp = lambda us: F.concat(
+        F.lit("<Placemark><TimeStamp><when>"), documents.iso_time(us),
+        F.lit("</when></TimeStamp><Point><coordinates>1.5,2.5</coordinates></Point></Placemark>"))
+    texts = f.groupBy("track_id").agg(
+        ordered(when).alias("w"), ordered(coord).alias("c"), F.min("t_us").alias("lo"), F.max("t_us").alias("hi"))
+    files = texts.select("track_id", F.lit("kml").alias("type"), F.concat(
+        F.lit('<kml xmlns:gx="http://www.google.com/kml/ext/2.2"><Document>'), stamp(F.col("lo") - 1_000_000),
+        F.lit("<!-- <gx:Track>"), "w", "c", F.lit("</gx:Track> --><Placemark><gx:Track>"), "w",
+        F.lit("<when>2026-01-01T00:00:00Z</when>"), "c", F.lit("</gx:Track></Placemark>"),
+        stamp(F.col("hi") + 1_000_000), F.lit("</Document></kml>")).alias("text"))
+    return fixes_of(parse_tracks(files), ["track_id"]).select("track_id", "segment_no", "seq", "t_us", "lat", "lon")
+
+
 # --- capture times and settings ----------------------------------------------
 
 

@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from trackplace.functions import tags
 from trackplace.functions.names import stem
-from trackplace.operators.ordered import Keyed, row_count
+from trackplace.operators.ordered import Keyed, Prev, Sum, row_count
 from trackplace.operators.stats import SEGMENT
 from trackplace.sources.tracks import EVIDENCE_NS
 
-# Fixes per document or line. What is longer goes on in the next one.
-PART_ROWS = 50_000
-
-
 def _escaped(text: Column) -> Column:
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(plain), F.lit(entity))
@@ -54,20 +50,26 @@ def iso_time(t_us: Column) -> Column:
 
 
 def gpx_documents(
-    fixes: DataFrame, names: DataFrame | None = None, part_rows: int = PART_ROWS,
+    fixes: DataFrame, names: DataFrame | None = None, part_rows: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """``track_id, part_no, document``: a GPX document per track.
 
-    A track of more than ``part_rows`` fixes becomes several whole documents, so
-    that no row outgrows a task.
+    With ``part_rows``, a track of more fixes becomes several whole documents.
+    Each says how many segments and fixes of the track came before it, so that
+    ``fixes_of`` numbers them on and a segment cut at a part's edge is one again.
     """
     if "source" not in fixes.columns:
         fixes = fixes.withColumn("source", F.lit(None).cast("string"))
-    placed = Keyed(fixes, ["track_id"], limit).running(
-        ["segment_no", "t_us", "seq"], _at=row_count()
-    ).rows()
-    placed = placed.withColumn("part_no", F.floor((F.col("_at") - 1) / part_rows))
+    if part_rows is None:
+        placed = fixes.withColumns({
+            "_at": F.struct("segment_no", "t_us", "seq"), "part_no": F.lit(0).cast("long")})
+    else:
+        order = ["segment_no", "t_us", "seq"]
+        placed = Keyed(fixes, ["track_id"], limit).running(order, _at=row_count(), _was=Prev(F.col("segment_no")))
+        begins = F.coalesce(F.col("_was") != F.col("segment_no"), F.lit(False))
+        placed = placed.running(order, _segments=Sum(begins.cast("long"))).rows()
+        placed = placed.withColumn("part_no", F.floor((F.col("_at") - 1) / part_rows))
     segments = placed.groupBy("track_id", "part_no", "segment_no").agg(
         F.array_join(
             F.transform(
@@ -83,16 +85,25 @@ def gpx_documents(
             ), break_,
         ).alias("body")
     )
+    part = F.lit("")
+    if part_rows is not None:
+        begun = placed.groupBy("track_id", "part_no").agg(
+            F.min("_segments").alias("_segment"), (F.min("_at") - 1).alias("_seq"))
+        documents = documents.join(begun, ["track_id", "part_no"])
+        part = F.format_string(
+            ' <metadata><extensions><tp:part no="%d" segment="%d" seq="%d"/></extensions></metadata>\n',
+            "part_no", "_segment", "_seq")
     if names is None:
         documents = documents.withColumn("name", F.col("track_id").cast("string"))
     else:
         documents = documents.join(names.select("track_id", "name"), "track_id", "left")
+    # Fixed format: the elements of GPX 1.1.
     head = (
         '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="trackplace"'
-        f' xmlns="http://www.topografix.com/GPX/1/1" xmlns:tp="{EVIDENCE_NS}">\n <trk>\n  <name>'
+        f' xmlns="http://www.topografix.com/GPX/1/1" xmlns:tp="{EVIDENCE_NS}">\n'
     )
     document = F.concat(
-        F.lit(head), _escaped(F.coalesce("name", F.lit(""))), F.lit("</name>\n  <trkseg>\n"),
+        F.lit(head), part, F.lit(" <trk>\n  <name>"), _escaped(F.coalesce("name", F.lit(""))), F.lit("</name>\n  <trkseg>\n"),
         F.col("body"), F.lit("  </trkseg>\n </trk>\n</gpx>\n"),
     )
     return documents.select("track_id", "part_no", document.alias("document"))
@@ -117,6 +128,7 @@ def sidecar_documents(plan: DataFrame) -> DataFrame:
     known = F.concat(
         attribute("GPSAltitude", tags.alt_rational(ele)), attribute("GPSAltitudeRef", tags.alt_ref(ele))
     )
+    # Fixed format: the elements and attributes of an XMP packet.
     document = F.concat(
         F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/">\n'
               ' <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n'
@@ -136,11 +148,15 @@ def sidecar_documents(plan: DataFrame) -> DataFrame:
     )
 
 
-def track_lines(fixes: DataFrame, part_rows: int = PART_ROWS, limit: int | None = None) -> DataFrame:
+def track_lines(fixes: DataFrame, part_rows: int | None = None, limit: int | None = None) -> DataFrame:
     """One line per segment of two fixes or more, as ``points`` of (lon, lat).
 
-    A longer segment comes in parts that begin where the last one ended.
+    With ``part_rows``, a longer segment comes in parts that begin where the last
+    one ended.
     """
+    if part_rows is None:
+        parts = fixes.withColumns({"_at": F.struct("t_us", "seq"), "part_no": F.lit(0).cast("long")})
+        return _lines(parts)
     placed = Keyed(fixes, SEGMENT, limit).running(["t_us", "seq"], _at=row_count()).rows()
     at = F.col("_at") - 1
     part = F.floor(at / part_rows)
@@ -149,6 +165,10 @@ def track_lines(fixes: DataFrame, part_rows: int = PART_ROWS, limit: int | None
     parts = placed.withColumn(
         "part_no", F.explode(F.when(joint, F.array(part - 1, part)).otherwise(F.array(part)))
     )
+    return _lines(parts)
+
+
+def _lines(parts: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("_at", "lon", "lat")))
     return (
         parts.groupBy(*SEGMENT, "part_no")

@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from trackplace.functions.names import CARD_FOLDER, DEFAULT_EXTENSIONS, camera_key, extension
 from trackplace.functions.times import offset_seconds, parse_exif_time
-
-
-def _listed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)).alias("name"), *columns)
+from trackplace.sources.listing import list_entries, with_digest
 
 
 def list_card(
@@ -19,24 +15,16 @@ def list_card(
 ) -> DataFrame:
     """Importable files directly inside the numbered folders of a card, without
     reading their content. A missing card is an empty listing."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(base) or not fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "*/*")):
-        return spark.createDataFrame([], "path string, name string, folder string, modified timestamp, size long")
-    files = _listed(spark, f"{root}/*/*", ["modificationTime", "length"])
-    return files.select(
-        "path", "name", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"),
-        F.col("modificationTime").alias("modified"), F.col("length").alias("size"),
-    ).filter(F.col("folder").rlike(CARD_FOLDER) & extension(F.col("name")).isin(list(extensions)))
+    found = list_entries(spark, root, below=CARD_FOLDER)
+    return found.filter(extension(F.col("name")).isin(list(extensions)))
 
 
 def file_manifest(spark: SparkSession, folder: str, accepts: str | None = None) -> DataFrame:
     """Name and MD5 of each file of a synced folder; ``accepts`` is a pattern."""
-    files = _listed(spark, folder, ["content"]).filter(~F.col("name").startswith("."))
+    found = list_entries(spark, folder)
     if accepts is not None:
-        files = files.filter(F.col("name").rlike(accepts))
-    return files.select("name", F.md5("content").alias("digest"))
+        found = found.filter(F.col("name").rlike(accepts))
+    return with_digest(found.select("path", "name")).select("name", "digest")
 
 
 def read_photos(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:

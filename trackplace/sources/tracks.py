@@ -10,13 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackplace.functions.times import parse_track_time
+from trackplace.sources.listing import list_entries, with_text
 
 # Name space of what a recorder says about its own fixes; files of other
 # recorders are read by passing theirs.
 EVIDENCE_NS = "urn:trackplace:fix-evidence:1"
-# File types read, and how far into a file a DOCTYPE is looked for.
+# File types read.
 TRACK_EXTENSIONS = ["gpx", "kml"]
-PROLOG_CHARS = 8 * 1024
+# What may stand before the root element, and what is no element inside it.
+_PROLOG = r"^(?:\s++|<\?[\s\S]*?\?>|<!--[\s\S]*?-->)*"
+_NO_ELEMENT = r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>"
+# Time of the way point that stands for a track or route between way points.
+_BREAK = "|"
+
+# Where a part of a track says how many segments and fixes came before it.
+_PART = r'<[\w.-]+:part no="(\d+)" segment="(\d+)" seq="(\d+)"'
 
 _EVIDENCE = "fe_acc string, fe_eleacc string, fe_speed string, fe_src string"
 _POINT = f"struct<_lat:string, _lon:string, ele:string, time:string, extensions:struct<{_EVIDENCE.replace(' string', ':string')}>>"
@@ -32,23 +40,29 @@ _FIX = (
 
 def track_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, name, type, text`` of the track files below a folder (or of one file)."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=False)
-    named = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    found = list_entries(spark, path).select("path", *_name_and_type())
+    return with_text(found.filter(F.col("type").isin(TRACK_EXTENSIONS)))
+
+
+def _name_and_type() -> list[Column]:
     file = F.regexp_extract("path", r"([^/]+)$", 1)
-    return named.withColumns({
-        "name": F.regexp_replace(F.url_decode(file), r"\.[^.]*$", ""),
-        "type": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)),
-    }).filter(F.col("type").isin(TRACK_EXTENSIONS))
+    return [
+        F.regexp_replace(file, r"\.[^.]*$", "").alias("name"), F.lower(F.regexp_extract(file, r"\.([^.]+)$", 1)).alias("type")]
 
 
 def parse_tracks(files: DataFrame, zone: str = "UTC", evidence_ns: str = EVIDENCE_NS) -> DataFrame:
-    """Adds ``points`` (the file's segments, each sorted by time) and ``problem``,
-    which says why a file is no track."""
+    """Adds ``points`` (the file's segments, each sorted by time), ``part`` (where
+    in its track a part begins, see ``gpx_documents``) and ``problem``, which says
+    why a file is no track.
+
+    Segments are tracks, then routes, then runs of loose way points: a track or
+    route between two way points ends a run. In KML they are tracks, then runs of
+    stamped placemarks.
+    """
     text = F.regexp_replace(F.col("text"), "^﻿", "")
     files = files.withColumn("text", text)
-    head = F.substring("text", 1, PROLOG_CHARS)
-    root = F.lower(F.regexp_extract(
-        F.col("text"), r"^(?:\s|<\?[\s\S]*?\?>|<!--[\s\S]*?-->)*<(?:[\w.-]+:)?([\w.-]+)", 1))
+    root = F.lower(F.regexp_extract(F.col("text"), _PROLOG + r"<(?:[\w.-]+:)?([\w.-]+)", 1))
+    declared = F.upper(F.regexp_extract(F.col("text"), _PROLOG + r"<!([A-Za-z]+)", 1))
     gpx = F.from_xml(_mark_evidence(F.col("text"), evidence_ns), _GPX, {
         "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record",
         "ignoreSurroundingSpaces": "true",
@@ -59,17 +73,26 @@ def parse_tracks(files: DataFrame, zone: str = "UTC", evidence_ns: str = EVIDENC
     )
     files = files.withColumns({
         "root": root,
-        "doctype": F.upper(head).contains("<!DOCTYPE"),
+        "doctype": declared == "DOCTYPE",
     })
     ok = ~F.col("doctype")
+    bare = F.regexp_replace("text", _NO_ELEMENT, "")
+    between = rf"<((?:[\w.-]+:)?)(trk|rte)\b(?:[^>]*/>|[^>]*>[\s\S]*?</\1\2\s*>)"
+    loose = F.from_xml(
+        _mark_evidence(F.regexp_replace(bare, between, f"<wpt><time>{_BREAK}</time></wpt>"), evidence_ns),
+        f"wpt array<{_POINT}>", {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "true"})
+    number = lambda n: F.regexp_extract("text", _PART, n).cast("long")
     files = files.withColumns({
+        "loose": F.when(ok & (F.col("root") == "gpx") & F.col("text").contains("wpt"), loose["wpt"]),
+        "part": F.when(F.col("text").rlike(_PART), F.struct(
+            number(1).alias("no"), number(2).alias("segment"), number(3).alias("seq"))),
         "gpx": F.when(ok & (F.col("root") == "gpx"), gpx),
         "kml": F.when(ok & (F.col("root") == "kml"), well_formed),
     })
     # One expression per document type, evaluated for files of that type only.
     broken = F.coalesce(F.col("gpx._corrupt_record"), F.col("kml._corrupt_record")).isNotNull()
-    segments = F.when(F.col("root") == "gpx", _gpx_segments(F.col("gpx"), zone)).when(
-        F.col("root") == "kml", _kml_segments(F.col("text"), zone)
+    segments = F.when(F.col("root") == "gpx", _gpx_segments(F.col("gpx"), F.col("loose"), zone)).when(
+        F.col("root") == "kml", _kml_segments(bare, zone)
     )
     none = F.array().cast(f"array<{_FIX}>")
     files = files.withColumn("points", F.when(~F.col("doctype") & ~broken, segments).otherwise(none))
@@ -80,7 +103,7 @@ def parse_tracks(files: DataFrame, zone: str = "UTC", evidence_ns: str = EVIDENC
         .when(broken, "not well formed")
         .when(F.size("points") == 0, "no timestamped points")
     )
-    return files.withColumn("problem", problem).drop("text", "root", "doctype", "gpx", "kml")
+    return files.withColumn("problem", problem).drop("text", "root", "doctype", "gpx", "kml", "loose")
 
 
 def _mark_evidence(text: Column, ns: str) -> Column:
@@ -116,16 +139,23 @@ def _usable(points: Column) -> Column:
     ))
 
 
-def _gpx_segments(doc: Column, zone: str) -> Column:
+def _runs(items: Column, is_break) -> Column:
+    """The stretches of ``items`` between the elements that are breaks."""
+    at = F.filter(F.transform(items, lambda x, i: F.when(is_break(x), i)), lambda i: i.isNotNull())
+    edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), at).alias("b"), F.concat(at, F.array(F.size(items))).alias("e"))
+    return F.transform(edges, lambda x: F.slice(items, x["b"] + 2, x["e"] - x["b"] - 1))
+
+
+def _gpx_segments(doc: Column, loose: Column, zone: str) -> Column:
     none = F.array().cast(f"array<{_POINT}>")
     nothing = F.array().cast(f"array<array<{_POINT}>>")
     tracks = F.coalesce(F.flatten(F.transform(doc["trk"], lambda t: F.coalesce(
         F.transform(t["trkseg"], lambda s: F.coalesce(s["trkpt"], none)), nothing))), nothing)
     routes = F.coalesce(
         F.transform(doc["rte"], lambda r: F.coalesce(r["rtept"], none)), nothing)
-    loose = F.array(F.coalesce(doc["wpt"], none))
+    runs = _runs(F.coalesce(loose, none), lambda p: F.coalesce(p["time"] == _BREAK, F.lit(False)))
     return F.transform(
-        F.concat(tracks, routes, loose), lambda s: _usable(F.transform(s, _fix(zone)))
+        F.concat(tracks, routes, runs), lambda s: _usable(F.transform(s, _fix(zone)))
     )
 
 
@@ -155,7 +185,7 @@ def _kml_fix(zone: str, time: Column, at: Column, i: Column) -> Column:
 
 
 def _kml_segments(text: Column, zone: str) -> Column:
-    """Each track is a segment; stamped placemarks are the last one."""
+    """Each track is a segment, and so is each run of stamped placemarks."""
 
     def track(body: Column) -> Column:
         pairs = F.arrays_zip(
@@ -170,19 +200,29 @@ def _kml_segments(text: Column, zone: str) -> Column:
         return _kml_fix(zone, stamp, at, i)
 
     tracks = F.transform(_elements(text, "Track"), track)
-    loose = _usable(F.transform(_elements(text, "Placemark"), placemark))
-    return F.concat(tracks, F.array(loose))
+    # Placemarks with a track in them, and tracks outside of any, end a run.
+    whole = F.regexp_extract_all(text, F.lit(
+        r"<(?:[\w.-]+:)?(Placemark|Track)\b(?:[^>]*?\/>|[^>]*>[\s\S]*?<\/(?:[\w.-]+:)?\1\s*>)"), F.lit(0))
+    numbered = F.transform(whole, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    runs = _runs(numbered, lambda p: p["x"].rlike(r"<(?:[\w.-]+:)?Track\b"))
+    return F.concat(tracks, F.transform(runs, lambda run: _usable(F.transform(
+        run, lambda p: placemark(p["x"], p["i"])))))
 
 
 def fixes_of(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per fix: ``segment_no`` from 0 and ``seq`` from 1 within the file."""
+    """One row per fix: ``segment_no`` from 0 and ``seq`` from 1 within the file,
+    or within the track of which the file says that it is a part."""
+    begun = lambda field: (
+        F.coalesce(F.col("_part")[field], F.lit(0)) if "part" in parsed.columns else F.lit(0))
     numbered = F.flatten(F.transform(
         F.col("points"), lambda s, n: F.transform(s, lambda p: F.struct(n.alias("n"), p.alias("p")))
     ))
-    rows = parsed.select(*keys, F.posexplode(numbered).alias("at", "e"))
+    part = [F.col("part").alias("_part")] if "part" in parsed.columns else []
+    rows = parsed.select(*keys, *part, F.posexplode(numbered).alias("at", "e"))
     fields = ["t_us", "lat", "lon", "ele", "accuracy", "ele_accuracy", "speed", "source"]
     return rows.select(
-        *keys, F.col("e.n").cast("long").alias("segment_no"), (F.col("at") + 1).cast("long").alias("seq"),
+        *keys, (F.col("e.n") + begun("segment")).cast("long").alias("segment_no"),
+        (F.col("at") + 1 + begun("seq")).cast("long").alias("seq"),
         *[F.col(f"e.p.{f}").alias(f) for f in fields],
     )
 
@@ -219,13 +259,8 @@ def read_tracks(
 
 def track_files_named(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files named one by one, whatever their extension."""
-    raw = spark.read.text(paths, wholetext=True)
-    file = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
-    return raw.select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"),
-        F.regexp_replace(file, r"\.[^.]*$", "").alias("name"),
-        F.lower(F.regexp_extract(file, r"\.([^.]+)$", 1)).alias("type"),
-    )
+    named = spark.createDataFrame([(p,) for p in paths], "path string")
+    return with_text(named.select("path", *_name_and_type()))
 
 
 def read_gpx(spark: SparkSession, path: str, zone: str = "UTC", evidence_ns: str = EVIDENCE_NS) -> DataFrame:
