@@ -32,6 +32,8 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found = system.get_file_info(fs.FileSelector(inside))
             else:
                 found, root = [info], root.rsplit("/", 1)[0]
+            if not found:
+                continue
             base = root.rstrip("/")
             yield pd.DataFrame({
                 "path": [f"{base}/{f.base_name}" for f in found], "name": [f.base_name for f in found],
@@ -91,7 +93,7 @@ def with_digest(entries: DataFrame) -> DataFrame:
                     while piece := stream.read(_CHUNK):
                         digest.update(piece)
                 digests.append(digest.hexdigest())
-            yield batch.assign(digest=digests)
+            yield pd.DataFrame({c: batch[c].tolist() for c in batch.columns} | {"digest": digests})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
     return _dealt(entries).mapInPandas(read, f"{schema}, digest string")
