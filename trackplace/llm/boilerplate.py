@@ -16,6 +16,9 @@ from trackplace.session import checkpoint
 LEAST_SOURCES = 3
 LEAST_WORDS = 4
 LOG_REGISTERS = 10
+# Spread lines sent to every task at most, and tasks that share a line beyond that.
+BROADCAST_LINES = 200_000
+SALTS = 32
 
 
 def _line_key(line: Column) -> list[Column]:
@@ -45,12 +48,23 @@ def spread_lines(found: DataFrame, least_sources: int = LEAST_SOURCES, log_regis
     margin = max(1.0, 4 * 1.04 / 2 ** (log_registers / 2) * least_sources)
     wide = sketched.filter(F.col("sources") > least_sources + margin)
     close = sketched.filter(F.col("sources").between(least_sources - margin, least_sources + margin))
-    exact = found.join(close.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "source").distinct()
-    exact = exact.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_sources)
+    # A line that one source repeats without end is one row here.
+    exact = found.select("h1", "h2", "source").distinct().join(close.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    exact = exact.groupBy("h1", "h2").agg(F.countDistinct("source").alias("n")).filter(F.col("n") >= least_sources)
     return wide.select("h1", "h2", "first").unionByName(
         close.join(exact, ["h1", "h2"], "left_semi").select("h1", "h2", "first"))
 
 
+def _carrying(found: DataFrame, spread: DataFrame) -> DataFrame:
+    """Occurrences of the spread lines. Those lines go to every task while they
+    are counted to be few; else a line's occurrences are dealt to ``SALTS`` tasks."""
+    if spread.count() <= BROADCAST_LINES:
+        return found.join(F.broadcast(spread), ["h1", "h2"])
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("track_id", "at"), F.lit(SALTS)))
+    copies = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["h1", "h2", "salt"]).drop("salt")
+
+
 def _without(all_lines: Column, removed: Column) -> Column:
     """The lines at places not in ``removed`` (sorted): the stretches between them."""
     begin = F.concat(F.array(F.lit(-1)), removed)
@@ -75,8 +89,8 @@ def dedup_lines(
     same id and text are treated alike; an empty table gives none.
     """
     found = checkpoint(occurrences(tracks, least_words))
-    spread = spread_lines(found, least_sources, log_registers)
-    gone = found.join(spread, ["h1", "h2"]).filter(~(
+    spread = checkpoint(spread_lines(found, least_sources, log_registers))
+    gone = _carrying(found, spread).filter(~(
         F.col("track_id").eqNullSafe(F.col("first.track_id")) & (F.col("digest") == F.col("first.digest"))
         & (F.col("at") == F.col("first.at"))))
     gone = gone.groupBy(F.col("track_id").alias("_id"), F.col("digest").alias("_digest")).agg(

@@ -153,10 +153,16 @@ def training_counts(tracks: DataFrame, docs: int = DOCS_PER_LANGUAGE) -> tuple[n
     rows training may see: crc32 of the id modulo 3 is not 1)."""
     spark = tracks.sparkSession
     known = tracks.filter(F.col("lang").isNotNull() & is_training(F.col("track_id")) & F.col("document").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("track_id"), "track_id")
-    chosen = known.select("track_id", "lang").withColumn("_n", F.row_number().over(order)).filter(
+    # Only ids whose digest is small for the size of their language are ranked, so
+    # that no task ranks a whole language; twice the number wanted is expected.
+    sizes = known.groupBy(F.col("lang").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    unit = F.xxhash64("track_id").bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+    early = known.select("track_id", "lang").join(sizes, F.col("lang") == F.col("_of")).filter(
+        unit * F.col("_size") <= 2 * docs + 100)
+    order = Window.partitionBy("lang").orderBy(unit, "track_id")
+    chosen = early.withColumn("_n", F.row_number().over(order)).filter(
         F.col("_n") <= docs).select("track_id", F.col("lang").alias("_lang"))
-    ids = [(r[0], r[1]) for r in chosen.collect()]
+    ids = sorted({(r[0], r[1]) for r in chosen.filter(F.col("track_id").isNotNull()).collect()})
     if not ids:
         return np.zeros(256, np.int64), [], []
     ids = F.broadcast(spark.createDataFrame(ids, "track_id long, _lang string"))
