@@ -1,6 +1,7 @@
 import re
 
 from trackplace.llm.urls import Rule, Segmenter, filter_urls, log_odds
+from trackplace.llm.words import most_frequent
 
 RULES = [
     Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
@@ -34,6 +35,13 @@ def test_parts_and_rules(spark):
     assert filter_urls(pages.limit(0), RULES).count() == 0
 
 
+def test_most_frequent_needs_no_sort(spark):
+    counts = spark.createDataFrame([(str(i), i) for i in range(1, 200)], "word string, n long")
+    top = sorted(r.n for r in most_frequent(counts, 50).collect())
+    assert top and len(top) <= 50 and top == list(range(top[0], 200))
+    assert most_frequent(counts, 0).count() == 0 and most_frequent(counts, 1000).count() == 199
+
+
 def test_names_are_split_into_words():
     s = Segmenter({"casino": 50, "win": 40, "wins": 5, "in": 30, "trail": 20, "map": 20})
     assert s.split("casinowin") == ("casino", "win")

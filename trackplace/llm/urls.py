@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackplace.llm.words import ascii_lower
+from trackplace.llm.words import ascii_lower, most_frequent
+from trackplace.session import checkpoint
 
 # Most words of the dictionary and of the classifier: both models are bounded.
 DICTIONARY_WORDS = 50_000
@@ -92,8 +93,9 @@ def dictionary(pages: DataFrame, words: int = DICTIONARY_WORDS) -> dict[str, int
     """Counts of the most frequent words of all pages' texts, markup left out."""
     bare = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " "))
     word = F.explode(F.split(bare, r"[^\p{L}]+")).alias("word")
-    counts = pages.select(word).filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").count()
-    return {r[0]: r[1] for r in counts.orderBy(F.desc("count"), "word").limit(words).collect()}
+    counts = pages.select(word).filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"))
+    return {r[0]: r[1] for r in most_frequent(checkpoint(counts), words).collect()}
 
 
 def filter_urls(
@@ -130,8 +132,9 @@ def filter_urls(
     allowed = F.sum((F.col("decided") == "allow").cast("long")).alias("allow")
     # The token '' stands for an address: its counts are the class sizes.
     counted = learned.select("decided", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token"))
-    counted = counted.groupBy("token").agg(blocked, allowed, F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.col("token") != "", F.desc("n"), "token").limit(class_words + 1).collect()
+    counted = checkpoint(counted.groupBy("token").agg(blocked, allowed, F.count(F.lit(1)).alias("n")))
+    top = most_frequent(counted.filter(F.col("token") != ""), class_words).unionByName(
+        counted.filter(F.col("token") == "")).collect()
     counts = {r["token"]: (r["block"], r["allow"]) for r in top}
     odds = spark.sparkContext.broadcast(log_odds(counts))
 

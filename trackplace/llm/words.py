@@ -48,6 +48,23 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def most_frequent(counts: DataFrame, rows: int) -> DataFrame:
+    """The rows of the highest ``n``, ``rows`` of them at most, without sorting.
+
+    Counts fall into classes of one sixteenth of a doubling; the classes that fit
+    are taken whole, so equal counts stay or go together, and neither a task nor
+    the driver gets more than what is returned. ``counts`` is read twice.
+    """
+    size = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    classes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    least, held = None, 0
+    for size_of, n in sorted(map(tuple, classes), reverse=True):
+        if held + n > rows:
+            break
+        least, held = size_of, held + n
+    return counts.filter(F.lit(False) if least is None else size >= least)
+
+
 def is_training(key: Column) -> Column:
     """Rows a model may learn from: crc32 of the key as text, modulo 3, is not 1."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 != 1, F.lit(True))
