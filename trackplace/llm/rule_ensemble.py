@@ -132,7 +132,10 @@ def fit_rules(
     smallest id digest). Ids and sources are no features."""
     usable = labels.select("track_id", F.col(label).cast("int").alias("_y")).filter(
         F.col("_y").isin(0, 1) & F.col("track_id").isNotNull() & is_training(F.col("track_id")))
-    sample = usable.orderBy(F.xxhash64("track_id"), "track_id", "_y").limit(labelled_rows)
+    # Only digests that are small for the number of labels are sorted.
+    unit = F.xxhash64("track_id").bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+    early = usable.filter(unit * usable.count() <= 2 * labelled_rows + 100)
+    sample = early.orderBy(unit, "track_id", "_y").limit(labelled_rows)
     joined = track_documents(tracks).join(F.broadcast(sample), "track_id")
     rows = statistics(joined, "_y").select("track_id", "_y", *FEATURES).collect()
     rows.sort()  # the fit does not depend on the order of arrival
