@@ -59,7 +59,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
     and word_chars / n_words between 2 and 16 and n_symbols / n_words <= 0.1 and n_shouts / n_words <= 0.2
-    and n_upper / word_chars <= 0.6 and n_dup_lines / n_lines <= 0.4 and n_stops / n_words >= 0.02 as kept
+    and n_upper / word_chars <= 0.6 and n_dup_lines / n_lines <= 0.4 and (n_words < 30 or n_stops / n_words >= 0.02) as kept
 from m
 """
 

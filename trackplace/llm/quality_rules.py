@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackplace.llm.words import SPACES, ascii_lower, lines, track_documents, words
+from trackplace.llm.words import among, lines, settled, track_documents, trimmed, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -16,15 +16,17 @@ STOP_WORDS = (
     " de la le et les des en un du une que est pour qui dans a par plus pas au"
     " el los y del se las por con para su al lo como o si sobre este"
 ).split()
-# Ratio, least, most. A ratio outside its row's bounds rejects the document.
+# Ratio, least, most, and words from which it counts. A ratio outside its row's
+# bounds rejects the document; a few words may do without a stop word.
 THRESHOLDS = [
-    ("mean_word_chars", 2.0, 16.0),
-    ("symbol_ratio", None, 0.1),
-    ("shout_ratio", None, 0.2),
-    ("upper_ratio", None, 0.6),
-    ("dup_line_ratio", None, 0.4),
-    ("stop_ratio", 0.02, None),
+    ("mean_word_chars", 2.0, 16.0, 1),
+    ("symbol_ratio", None, 0.1, 1),
+    ("shout_ratio", None, 0.2, 1),
+    ("upper_ratio", None, 0.6, 1),
+    ("dup_line_ratio", None, 0.4, 1),
+    ("stop_ratio", 0.02, None, 30),
 ]
+Threshold = tuple[str, float | None, float | None, int]
 RATIOS = {
     "mean_word_chars": ("word_chars", "n_words"),
     "symbol_ratio": ("n_symbols", "n_words"),
@@ -35,11 +37,6 @@ RATIOS = {
 }
 
 
-def _without(text: Column, characters: str) -> Column:
-    """How many of ``characters`` the text has."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
-
-
 def measures(tracks: DataFrame) -> DataFrame:
     """``track_id`` and the counts rules are made of, per track document.
 
@@ -50,15 +47,15 @@ def measures(tracks: DataFrame) -> DataFrame:
     text = F.coalesce("document", F.lit(""))
     rows = track_documents(tracks).select("track_id", text.alias("_text"))
     rows = rows.withColumn("_w", words(F.col("_text")))
-    full = F.filter(lines(F.col("_text")), lambda x: F.translate(x, SPACES, "") != "")
+    full = F.filter(lines(F.col("_text")), lambda x: trimmed(x) != "")
     counted = rows.select(
         "track_id",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
-        _without(F.col("_text"), SYMBOLS).alias("n_symbols"),
-        _without(F.col("_text"), "!").alias("n_shouts"),
-        _without(F.col("_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        F.size(F.filter("_w", lambda x: ascii_lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count("_text", F.lit("!")).cast("long").alias("n_shouts"),
+        F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
+        F.size(F.filter("_w", lambda x: among(x, STOP_WORDS))).cast("long").alias("n_stop_words"),
         full.alias("_full"),
         F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"),
     )
@@ -80,30 +77,31 @@ def measures(tracks: DataFrame) -> DataFrame:
     # A start covers its window or what is left of it up to the next start.
     covered = F.transform(
         "_starts", lambda s, i: F.least(F.coalesce(F.get("_starts", i + 1) - s, F.lit(WINDOW)), F.lit(WINDOW)))
-    return counted.select(
-        "track_id", "n_words", "word_chars", "n_symbols", "n_shouts", "n_upper", "n_stop_words",
-        F.size("_full").cast("long").alias("n_lines"),
-        (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-        F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
+    counts = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_upper", "n_stop_words")
+    return settled(
+        counted, "track_id", **{c: F.col(c) for c in counts}, n_lines=F.size("_full").cast("long"),
+        n_dup_lines=(F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
+        n_repeat_words=F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x),
     )
 
 
-def verdict(thresholds: list[tuple[str, float | None, float | None]] = THRESHOLDS) -> Column:
+def verdict(thresholds: list[Threshold] = THRESHOLDS) -> Column:
     """The table as one condition. A ratio without a denominator breaks no rule."""
     fine = F.lit(True)
-    for name, least, most in thresholds:
+    for name, least, most, from_words in thresholds:
         top, bottom = RATIOS[name]
+        short = F.col("n_words") < from_words
         ratio = F.col(top).cast("double") / F.nullif(F.col(bottom), F.lit(0)).cast("double")
         if least is not None:
-            fine = fine & F.coalesce(ratio >= least, F.lit(True))
+            fine = fine & (short | F.coalesce(ratio >= least, F.lit(True)))
         if most is not None:
-            fine = fine & F.coalesce(ratio <= most, F.lit(True))
+            fine = fine & (short | F.coalesce(ratio <= most, F.lit(True)))
     return fine
 
 
 def judge_tracks(
-    tracks: DataFrame, thresholds: list[tuple[str, float | None, float | None]] = THRESHOLDS,
-    least_words: int = 10, repeated_percent: int = 20,
+    tracks: DataFrame, thresholds: list[Threshold] = THRESHOLDS, least_words: int = 10,
+    repeated_percent: int = 20,
 ) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of each track document.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackplace.llm.quality_rules import STOP_WORDS, SYMBOLS
-from trackplace.llm.words import SPACES, ascii_lower, is_training, lines, track_documents, words
+from trackplace.llm.words import among, is_training, lines, settled, track_documents, trimmed, words
 
 FEATURES = (
     "n_words", "mean_word_chars", "distinct_ratio", "repeat_ratio", "symbol_ratio", "shout_ratio", "upper_ratio",
@@ -29,13 +29,13 @@ def statistics(tracks: DataFrame, *keep: str) -> DataFrame:
     """``track_id``, the columns ``keep`` and one double per feature."""
     rows = tracks.select("track_id", *keep, F.coalesce("document", F.lit("")).alias("_text"))
     rows = rows.withColumn("_w", words(F.col("_text")))
-    rows = rows.withColumn("_l", F.filter(lines(F.col("_text")), lambda x: F.translate(x, SPACES, "") != ""))
-    count = lambda kept: F.length(F.col("_text")) - F.length(F.translate("_text", kept, ""))
+    rows = rows.withColumn("_l", F.filter(lines(F.col("_text")), lambda x: trimmed(x) != ""))
+    count = lambda kept: F.regexp_count("_text", F.lit(f"[{kept}]")).cast("double")
     rows = rows.withColumns({
-        "_n": F.size("_w").cast("double"), "_c": F.length(F.translate("_text", SPACES, "")).cast("double"),
+        "_n": F.size("_w").cast("double"), "_c": F.length(F.array_join("_w", "")).cast("double"),
         "_d": F.size(F.array_distinct("_w")).cast("double"),
         "_r": F.size(F.filter("_w", lambda x, i: (i > 0) & (x == F.get("_w", i - 1)))).cast("double"),
-        "_s": F.size(F.filter("_w", lambda x: ascii_lower(x).isin(STOP_WORDS))).cast("double"),
+        "_s": F.size(F.filter("_w", lambda x: among(x, STOP_WORDS))).cast("double"),
         "_m": F.size("_l").cast("double"), "_k": F.size(F.array_distinct("_l")).cast("double"),
         "_p": F.length(F.regexp_replace("_text", r"[\p{L}\s]+", "")).cast("double"),
     })
@@ -43,12 +43,12 @@ def statistics(tracks: DataFrame, *keep: str) -> DataFrame:
     values = {
         "n_words": F.col("_n"), "mean_word_chars": per(F.col("_c"), "_n"), "distinct_ratio": per(F.col("_d"), "_n"),
         "repeat_ratio": per(F.col("_r"), "_n"), "symbol_ratio": per(count(SYMBOLS), "_n"),
-        "shout_ratio": per(count("!"), "_n"), "upper_ratio": per(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "_c"),
-        "digit_ratio": per(count("0123456789"), "_c"), "stop_ratio": per(F.col("_s"), "_n"), "n_lines": F.col("_m"),
+        "shout_ratio": per(count("!"), "_n"), "upper_ratio": per(count("A-Z"), "_c"),
+        "digit_ratio": per(count("0-9"), "_c"), "stop_ratio": per(F.col("_s"), "_n"), "n_lines": F.col("_m"),
         "words_per_line": per(F.col("_n"), "_m"), "dup_line_ratio": per(F.col("_m") - F.col("_k"), "_m"),
         "letter_ratio": per(F.col("_c") - F.col("_p"), "_c"),
     }
-    return rows.select("track_id", *keep, *[values[f].cast("double").alias(f) for f in FEATURES])
+    return settled(rows, "track_id", *keep, **{f: values[f].cast("double") for f in FEATURES})
 
 
 def _grow(binned, edges, y, rows, features, depth, path, found) -> None:

@@ -44,6 +44,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def settled(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Selects ``keep`` and ``columns`` in a way that filters stay above.
+
+    Catalyst moves a filter below the projection that makes its column and puts
+    the expression in its place, also inside functions over arrays, where it is
+    worked out again for every element. What a generator makes cannot be moved.
+    """
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return rows.select(*keep, F.inline_outer(made))
+
+
+def among(word: Column, listed: list[str]) -> Column:
+    """Whether the word, A-Z in lower case, is listed. ``lower`` is the quicker
+    test and lets through what it takes for equal; ``ascii_lower`` decides."""
+    return F.lower(word).isin(listed) & ascii_lower(word).isin(listed)
+
+
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
