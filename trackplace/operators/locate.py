@@ -192,19 +192,16 @@ def _ends(shots: DataFrame, fixes: DataFrame, limit: int | None, fits: bool) ->
         F.min_by(fix, place).alias("s"), F.max_by(fix, place).alias("e")
     )
     at = F.struct("track_id", "segment_no")
-
-    def boundary(end: str, name: str) -> DataFrame:
-        # Of ends at the same moment the earlier segment counts.
-        return segments.groupBy("subject_id", F.col(f"{end}.t_us").alias("t_us")).agg(
-            F.min_by(F.struct(F.col(end).alias("fix"), at.alias("at")), at).alias(name)
-        )
-
-    events = (
-        shots.withColumn("_kind", F.lit(1))
-        # Running backwards, a start of the same moment comes before the photo.
-        .unionByName(boundary("s", "s").withColumn("_kind", F.lit(2)), allowMissingColumns=True)
-        .unionByName(boundary("e", "e").withColumn("_kind", F.lit(3)), allowMissingColumns=True)
-    )
+    # Running backwards, a start of the same moment comes before the photo.
+    both = segments.select("subject_id", at.alias("at"), F.explode(F.array(
+        F.struct(F.lit(2).alias("_kind"), F.col("s").alias("fix")),
+        F.struct(F.lit(3).alias("_kind"), F.col("e").alias("fix")))).alias("x"))
+    # Of ends at the same moment the earlier segment counts.
+    ends = both.groupBy("subject_id", F.col("x.fix.t_us").alias("t_us"), F.col("x._kind").alias("_kind")).agg(
+        F.min_by(F.struct(F.col("x.fix").alias("fix"), "at"), "at").alias("end"))
+    ends = ends.select("subject_id", "t_us", "_kind", *[
+        F.when(F.col("_kind") == kind, F.col("end")).alias(name) for kind, name in ((2, "s"), (3, "e"))])
+    events = shots.withColumn("_kind", F.lit(1)).unionByName(ends, allowMissingColumns=True)
     order = ["t_us", "_kind", "photo_id"]
     return (
         _keyed(events, limit, fits)

@@ -33,6 +33,16 @@ def assign_segments(
     return keyed.running(order, segment_no=Sum(breaks), seq=row_count()).rows().drop("_before")
 
 
+def numbered_segments(merged: DataFrame, into: list[str], limit: int | None = None) -> DataFrame:
+    """``merge_tracks`` with ``segment_no`` counted from 0 over all segments of a
+    key of ``into``, in order of part, track and segment."""
+    keys = ["part", "track_id", "segment_no"]
+    segments = merged.select(*into, *keys).distinct()
+    ranked = Keyed(segments, into, limit).running(keys, _no=row_count()).rows()
+    joined = merged.join(ranked, [*into, *keys])
+    return joined.withColumn("segment_no", F.col("_no") - 1).drop("_no")
+
+
 def merge_tracks(*tracks: DataFrame) -> DataFrame:
     """All segments of several tables; a table's number goes into its segment keys."""
     merged = None

@@ -130,7 +130,7 @@ COUNTED = [*_cleaning(), STEPPED, CONTRADICTED, COUNTS]
 # --- placement ---------------------------------------------------------------
 
 
-def _locate(points: str, shots: str = "photos", tolerance_us: int = MS) -> list[str]:
+def _locate(points: str, shots: str = "photos", tolerance_us: int | str = MS) -> list[str]:
     return [
         f"""pairs as (select subject_id, track_id, segment_no, t_us as b_us, lat as b_lat, lon as b_lon, ele as b_ele,
     lag(t_us) over w as a_us, lag(lat) over w as a_lat, lag(lon) over w as a_lon, lag(ele) over w as a_ele
@@ -176,11 +176,15 @@ def _ranges(shots: str) -> str:
 BY_SEGMENT = """spans as (select subject_id, track_id * 1000 + segment_no as track_id, min(t_us) as start_us,
   max(t_us) as end_us from fixes group by 1, 2)"""
 BY_TRACK = """spans as (select subject_id, track_id, min(t_us) as start_us, max(t_us) as end_us from fixes group by 1, 2)"""
-CHOICE = f"""choice as (select s.*, r.first_us, r.last_us,
+def _choice(reach: str) -> str:
+    return f"""choice as (select s.*, r.first_us, r.last_us,
   case when end_us < 631152000000000 then 'undated'
-    when end_us >= first_us - {MS} and start_us <= last_us + {MS} then 'used' else 'skipped' end as status
+    when end_us >= first_us - {reach} and start_us <= last_us + {reach} then 'used' else 'skipped' end as status
   from spans s left join ranges r using (subject_id))"""
 
+
+CHOICE = _choice(str(MS))
+
 NEAREST = """nearest as (select subject_id, track_id, away_us from (
   select *, row_number() over (partition by subject_id order by away_us, track_id) as nth from (
     select *, case when end_us < first_us then first_us - end_us when start_us > last_us then start_us - last_us
@@ -647,6 +651,72 @@ select place, max(n) + 1 as next_no from (
         "select card_id % 3 as place, file_id as entry_id, row_number() over (partition by card_id % 3, name"
         " order by file_id) = 1 as copied from card_files where file_id % 11 <> 0")
 
+    o["track_times"] = """select event_id, case event_id % 5
+    when 0 then epoch_us(date_trunc('second', ts)) when 1 then epoch_us(date_trunc('second', ts)) - 7200000000
+    when 2 then epoch_us(date_trunc('second', ts)) - 32400000000
+    when 3 then epoch_us(date_trunc('second', ts)) + 250000 + 19800000000 end as t_us from events"""
+    o["track_problems"] = """select o_orderkey as track_id, case o_orderkey % 6 when 1 then 'declares a DOCTYPE'
+    when 2 then 'not well formed' when 3 then 'unsupported root element html' when 4 then 'no timestamped points'
+    when 5 then 'no timestamped points' end as problem,
+  cast(case when o_orderkey % 6 = 0 then 1 else 0 end as bigint) as segments from orders"""
+    o["type_lists"] = """select c_custkey, array_to_string(list_filter(['jpg', lower(substr(c_mktsegment, 1, 3)),
+  concat('x', c_custkey % 3)], lambda t: t <> ''), '|') as types from customer"""
+    o["syncable_names"] = (
+        "select p_partkey, p_partkey % 11 <> 0 and p_partkey % 7 > 1 as syncable from part")
+    o["narrow_tracks"] = _with(fixes, """named as (select track_id, count(*) as fixes, concat('walk ', track_id % 40) as name
+  from fixes group by track_id)""") + """
+select *, true as picked from named where name in (select name from named where track_id % 9 = 0)
+union all select *, false from named"""
+    o["merged_tracks"] = _with(fixes, "m as (select *, 1 - track_id % 2 as part from fixes)") + """
+select subject_id, track_id, dense_rank() over (partition by subject_id order by part, track_id, segment_no) - 1
+  as segment_no, seq, part from m"""
+    o["explain_fixes"] = _with(fixes, *_pass(1, "fixes"), *_pass(2, "kept1"), *_pass(3, "kept2")) + " union all ".join(
+        f"select track_id, segment_no, seq, t_us, round(out_m, 3) as out_m from judged{n} where drop_it and seq % 3 = 0"
+        for n in (1, 2, 3))
+    o["delivered_fixes"] = _with(_view("deliveries")) + """
+select device, run, delivery_id, now_us - age_ms * 1000 as t_us,
+  cast(case when delivery_id % 3 <> 0 then delivery_id % 900 end as double) as ele, accuracy,
+  cast(case when delivery_id % 3 <> 0 then delivery_id % 17 end as double) as ele_accuracy,
+  case when delivery_id % 2 = 0 then cast(1.5 as double) end as speed, provider as source from deliveries"""
+    o["plan_flips"] = _with(*LOCATED) + f"""select photo_id, {TYPE} as type, {TYPE} not in ('jpg', 'raf') as selected,
+  {TYPE} not in ('jpg', 'raf') and coalesce(gap_m, 0) >= 500 as wide_gap from placed"""
+    card = """card as (select photo_id, photo_id as file_id, subject_id, name,
+    t_us + 1704067200000000 as at_us, cast(case photo_id % 4 when 0 then 7200 when 1 then -19800 else 0 end as bigint) as o from photos)"""
+    read = """timed as (select *, case when subject_id % 3 <> 0 then (subject_id % 16 + 1) * 60000 else 1800000 end as tolerance_ms,
+    at_us + 5000000 as created_us,
+    case when photo_id % 10 <> 9 then at_us + o * 1000000
+      else least(at_us + 5000000, at_us + cast(photo_id % 3 as bigint) * 10000000 - 10000000) // 1000 * 1000 end as local_us,
+    case when photo_id % 10 <> 9 then at_us
+      else least(at_us + 5000000, at_us + cast(photo_id % 3 as bigint) * 10000000 - 10000000) // 1000 * 1000 end
+    + cast(case when subject_id % 3 <> 0 then subject_id % 5 * 7000 - 14000 else 0 end as bigint) * 1000 as t_us from card)"""
+    after = """points as (select subject_id,
+    case when subject_id % 3 = 0 then arg_min(lower(name), photo_id) filter (where photo_id % 7 = 0) end as after_name,
+    case when subject_id % 3 = 1 then min(created_us) + 600000000 end as after_us from timed group by 1)"""
+    hits = """hits as (select subject_id, min(rank) as hit, arg_min(local_us, rank) as hit_us
+    from ordered join points using (subject_id)
+    where case when after_name is not null then lower(name) = after_name else local_us >= after_us end group by 1)"""
+    new = """fresh as (select photo_id, subject_id, name, t_us, tolerance_ms, cast(rank as bigint) as rank
+    from ordered join points using (subject_id) left join hits using (subject_id)
+    where (after_name is null and after_us is null) or rank > hit or (after_us is not null and rank = hit and hit_us > after_us)
+  union all select photo_id, subject_id, name, t_us, tolerance_ms, null from n1 join points using (subject_id)
+    where v is null and ((after_name is null and after_us is null) or local_us > after_us))"""
+    ranges = """ranges as (select subject_id, min(t_us) as first_us, max(t_us) as last_us,
+    max(tolerance_ms) * 1000 as reach from fresh group by 1)"""
+    o["import_plan"] = _with(
+        _dated("fixes"), _view("photos"), card, read, *_ordered("timed", "subject_id"), after, hits, new, BY_TRACK, ranges,
+        _choice("reach"), USED, *_cleaning("used"), *_locate("cleaned", "fresh", "s.tolerance_ms * 1000")) + f"""
+select p.photo_id, p.t_us, rank, {TYPE.replace('name', 'p.name')} as type, {TYPE.replace('name', 'p.name')} <> 'mov' as selected,
+  {WRITER.replace('name', 'p.name')} as writer,
+  {TYPE.replace('name', 'p.name')} <> 'mov' and coalesce(gap_m, 0) >= 500 as wide_gap,
+  placed, track_id, segment_no, {PLACED_COLUMNS} from placed p join fresh using (photo_id)"""
+    o["usable_states"] = """select case when o_orderkey % 4 <> 0 then concat('M', o_orderkey % 90, '_X') end as camera_key,
+  concat('F', o_orderkey) as last_file, o_orderkey % 30 as import_no,
+  epoch_us(date_trunc('second', o_orderdate)) as at_us, case when o_orderkey % 2 = 0 then 'pc' else '' end as device
+from orders where o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 and o_orderkey % 9 <> 0"""
+    o["usable_settings"] = _with(_view("settings")) + """
+select subject_id, concat(skey, '_', device) as skey, cast(svalue as varchar) as svalue,
+  changed_us * 86400000000 as changed_us from settings where svalue % 3 <> 0"""
+
     o["sync_plan"] = _sync("keep_both", "ends_with(fname, '77.gpx') and ld is not null") + "select * from actions"
     o["sync_plan_merge"] = _sync("merge", "false") + "select * from actions"
     o["sync_report"] = _sync("keep_both", "false") + """select folder_id,

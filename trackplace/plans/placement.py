@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackplace.functions import tags
+from trackplace.functions import tags, times
 from trackplace.functions.names import extension
 from trackplace.operators import cleanup
+from trackplace.operators.catalog import filter_new
 from trackplace.operators.locate import locate
 from trackplace.operators.select import choose_tracks, photo_range, track_spans, used_fixes
 from trackplace.session import checkpoint
@@ -67,6 +68,49 @@ def photo_plan(
     return finish_plan(locate(photos, cleaned, tolerance_ms, limit), excluded_types, built_in_only)
 
 
+def import_plan(
+    photos: DataFrame,
+    fixes: DataFrame,
+    params: DataFrame,
+    resume: DataFrame,
+    zone: str = "UTC",
+    excluded_types: list[str] = (),
+    built_in_only: bool = False,
+    options: cleanup.CleanupOptions = cleanup.DEFAULTS,
+    limit: int | None = None,
+) -> DataFrame:
+    """The whole import: what is new on each subject's card, when and where it was taken.
+
+    ``photos``: ``photo_id, subject_id, name, exif_local, exif_offset_s,
+    created_us, modified_us``; ``params`` as ``resolve_params`` gives them;
+    ``resume``: at most one row per subject with ``after_name`` or ``after_us``
+    (see ``filter_new``). Capture times are corrected by the subject's clock
+    offset before anything is matched, recordings are chosen and photos placed
+    with the subject's tolerance. Returns the new photos with ``rank`` in their
+    card's numbering and the columns of ``photo_plan``.
+    """
+    default = lambda name, value: F.coalesce(F.col(name), F.lit(value).cast("long"))
+    timed = photos.join(params, "subject_id", "left").withColumns({
+        "tolerance_ms": default("tolerance_ms", DEFAULT_TOLERANCE_MIN * 60_000),
+        "clock_offset_ms": default("clock_offset_ms", int(DEFAULT_CLOCK_OFFSET_MIN * 60_000)),
+    })
+    file_times = (F.col("created_us"), F.col("modified_us"))
+    timed = timed.withColumns({
+        "t_us": times.capture_us(
+            F.col("exif_local"), F.col("exif_offset_s"), *file_times, zone, F.col("clock_offset_ms")),
+        "local_us": times.capture_local_us(F.col("exif_local"), *file_times, zone),
+    })
+    # Read by the range, by the selection and by the placement.
+    new = checkpoint(filter_new(timed, resume, ["subject_id"], "photo_id", limit).select(
+        "photo_id", "subject_id", "name", "t_us", "local_us", "rank", "tolerance_ms"))
+    ranges = photo_range(new).join(
+        new.groupBy("subject_id").agg(F.max("tolerance_ms").alias("tolerance_ms")), "subject_id")
+    choice = choose_tracks(track_spans(fixes), ranges, F.col("tolerance_ms"))
+    cleaned = checkpoint(cleanup.clean(cleanup.judge(used_fixes(fixes, choice), options, limit)))
+    placed = locate(new, cleaned, F.col("tolerance_ms"), limit)
+    return finish_plan(placed, excluded_types, built_in_only)
+
+
 def finish_plan(
     placed: DataFrame, excluded_types: list[str] = (), built_in_only: bool = False
 ) -> DataFrame:

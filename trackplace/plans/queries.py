@@ -14,6 +14,7 @@ from trackplace.operators.locate import locate
 from trackplace.plans import placement
 from trackplace.plans.fixtures import ORIGIN_US, fixes, table, view
 from trackplace.sinks import documents
+from trackplace.sources import files
 from trackplace.sources.tracks import fixes_of, parse_tracks
 from trackplace.streaming import recorder
 
@@ -261,6 +262,41 @@ def photo_plan(spark, sf):
     return rounded(rounded(out, 7, "lat", "lon"), 3, "ele", "gap_m")
 
 
+def _params(spark, sf):
+    """Tolerances of one to sixteen minutes and clock offsets, for two subjects of three."""
+    s = view(spark, sf, "photos").select("subject_id").distinct().filter("subject_id % 3 <> 0")
+    return s.select(
+        "subject_id", ((F.col("subject_id") % 16 + 1) * 60_000).alias("tolerance_ms"),
+        (F.col("subject_id") % 5 * 7_000 - 14_000).alias("clock_offset_ms"))
+
+
+def _card_photos(spark, sf):
+    """Photos with the readings of their cameras' clocks at the real date."""
+    p = view(spark, sf, "photos").select("photo_id", "subject_id", "name", "t_us")
+    at = F.col("t_us") + ORIGIN_US
+    offset = F.when(F.col("photo_id") % 4 == 0, 7200).when(F.col("photo_id") % 4 == 1, -19800)
+    local = F.timestamp_micros(at + F.coalesce(offset, F.lit(0)).cast("long") * 1_000_000).cast("timestamp_ntz")
+    return p.select(
+        "photo_id", "subject_id", "name", F.when(F.col("photo_id") % 10 != 9, local).alias("exif_local"),
+        offset.alias("exif_offset_s"), (at + 5_000_000).alias("created_us"),
+        (at + (F.col("photo_id") % 3) * 10_000_000 - 10_000_000).alias("modified_us"))
+
+
+@query
+def import_plan(spark, sf):
+    photos = _card_photos(spark, sf)
+    resume = photos.groupBy("subject_id").agg(
+        F.min_by(F.lower("name"), F.when(F.col("photo_id") % 7 == 0, F.col("photo_id"))).alias("name"),
+        F.min("created_us").alias("us")).select(
+        "subject_id", F.when(F.col("subject_id") % 3 == 0, F.col("name")).alias("after_name"),
+        F.when(F.col("subject_id") % 3 == 1, F.col("us") + 600_000_000).alias("after_us"))
+    out = placement.import_plan(photos, _dated_fixes(spark, sf), _params(spark, sf), resume, "UTC", ["mov"]).select(
+        "photo_id", "t_us", "rank", "type", "selected", "writer", "wide_gap", "placed", "track_id", "segment_no",
+        "lat", "lon", "ele", "gap_m",
+    )
+    return rounded(rounded(out, 7, "lat", "lon"), 3, "ele", "gap_m")
+
+
 @query
 def plan_summary(spark, sf):
     return placement.plan_summary(_plan(spark, sf))
@@ -568,6 +604,142 @@ def pair_copies(spark, sf):
     return catalog.pair_copies(plan, ["place"]).select("place", "entry_id", "copied")
 
 
+# --- readers, narrow choices, settings in text -------------------------------
+
+
+def _stamps(spark, sf):
+    """Times of all events as track files write them: in UTC, with an offset,
+    without a zone, with a fraction, and as no time at all."""
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    text = lambda form: F.date_format("ts", form)
+    form = F.col("event_id") % 5
+    return e.select("event_id", F.when(form == 0, text("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+                    .when(form == 1, text("yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+                    .when(form == 2, text("  yyyy-MM-dd'T'HH:mm:ss"))
+                    .when(form == 3, text("yyyy-MM-dd'T'HH:mm:ss'.250-05:30'"))
+                    .otherwise(text("dd.MM.yyyy HH:mm")).alias("text"))
+
+
+@query
+def track_times(spark, sf):
+    s = _stamps(spark, sf)
+    return s.select("event_id", F.unix_micros(times.parse_track_time(F.col("text"), "Asia/Tokyo")).alias("t_us"))
+
+
+@query
+def track_problems(spark, sf):
+    """Orders as track files, most of them broken in one way or another."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("track_id"))
+    point = '<wpt lat="1" lon="2"><time>2026-07-17T10:00:00Z</time></wpt>'
+    kind = F.col("track_id") % 6
+    text = (
+        F.when(kind == 0, f"<gpx>{point}</gpx>").when(kind == 1, f"<!-- x --><!doctype gpx><gpx>{point}</gpx>")
+        .when(kind == 2, f"<gpx>{point}").when(kind == 3, "<html/>")
+        .when(kind == 4, '<gpx><wpt lat="1" lon="2"/></gpx>').otherwise(f"<kml><!-- {point} --></kml>"))
+    return parse_tracks(o.withColumn("text", text)).select("track_id", "problem", F.size("points").alias("segments").cast("long"))
+
+
+@query
+def type_lists(spark, sf):
+    c = table(spark, sf, "customer")
+    text = F.concat_ws(
+        ",", F.lit(" .JPG"), F.concat(F.lit(" ."), F.substring("c_mktsegment", 1, 3)), F.lit(""),
+        F.concat(F.lit("x"), (F.col("c_custkey") % 3).cast("string"), F.lit(" ")), F.lit("jpg"))
+    return c.select("c_custkey", F.array_join(names.parse_types(text), "|").alias("types"))
+
+
+@query
+def syncable_names(spark, sf):
+    p = table(spark, sf, "part")
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 7 == 0, "\n").when(F.col("p_partkey") % 7 == 1, "\tx").otherwise(""))
+    name = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(name)
+    return p.select("p_partkey", names.is_syncable(name).alias("syncable"))
+
+
+def _named_tracks(spark, sf):
+    return fixes(spark, sf).groupBy("track_id").agg(F.count(F.lit(1)).alias("fixes")).withColumn(
+        "name", F.concat(F.lit("walk "), (F.col("track_id") % 40).cast("string")))
+
+
+@query
+def narrow_tracks(spark, sf):
+    named = _named_tracks(spark, sf)
+    picked = named.filter("track_id % 9 = 0").select("name").unionByName(
+        named.filter("track_id % 9 = 1").select(F.concat("name", F.lit(" gone")).alias("name")))
+    chosen = select.narrow_tracks(named, picked).withColumn("picked", F.lit(True))
+    every = select.narrow_tracks(named, picked.filter(F.col("name").isNull())).withColumn("picked", F.lit(False))
+    return chosen.unionByName(every)
+
+
+@query
+def merged_tracks(spark, sf):
+    f = fixes(spark, sf)
+    merged = stats.merge_tracks(f.filter("track_id % 2 = 1"), f.filter("track_id % 2 = 0"))
+    return stats.numbered_segments(merged, ["subject_id"]).select(
+        "subject_id", "track_id", "segment_no", "seq", F.col("part").cast("long").alias("part"))
+
+
+@query
+def explain_fixes(spark, sf):
+    """The removals among every third fix of a track, by time."""
+    f = fixes(spark, sf)
+    found = cleanup.explain_fix(cleanup.notes(cleanup.judge(f)), f.filter("seq % 3 = 0"))
+    return rounded(found.select("track_id", "segment_no", "seq", "t_us", "out_m").orderBy("t_us"), 3, "out_m")
+
+
+@query
+def delivered_fixes(spark, sf):
+    d = view(spark, sf, "deliveries")
+    raw = d.withColumns({
+        "time_us": F.col("now_us") - F.col("age_ms") * 1000, "lat": F.lit(46.5), "lon": F.lit(7.5),
+        "msl_altitude": F.when(F.col("delivery_id") % 3 != 0, F.col("delivery_id") % 900),
+        "msl_accuracy": F.col("delivery_id") % 17, "speed": F.when(F.col("delivery_id") % 2 == 0, F.lit(1.5)),
+    })
+    return recorder.to_fix(raw).drop("lat", "lon", "now_us")
+
+
+def _flip(plan):
+    plan = placement.with_type(plan, "MOV", True)
+    plan = placement.with_type(plan, "raf", False)
+    return plan
+
+
+@query
+def plan_flips(spark, sf):
+    placed = placement.finish_plan(locate(_shots(spark, sf), fixes(spark, sf), PLACE_MS), ["mov", "jpg"])
+    return _flip(placed).select("photo_id", "type", "selected", "wide_gap")
+
+
+def _raw_states(spark, sf):
+    """Resume states as text, with fields missing, empty or unreadable."""
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    text = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return o.select(
+        F.when(key % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("M"), (key % 90).cast("string"))).alias("make"),
+        F.when(key % 4 == 0, F.lit(None)).otherwise("X").alias("model"), F.lit(None).cast("string").alias("serial"),
+        F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("F"), key.cast("string"))).alias("last_file"),
+        F.when(key % 7 == 0, "x7").otherwise((key % 30).cast("string")).alias("import_no"),
+        F.when(key % 9 == 0, "yesterday").otherwise(text).alias("imported_at"),
+        F.when(key % 2 == 0, "pc").alias("device"))
+
+
+@query
+def usable_states(spark, sf):
+    return files.usable_import_state(_raw_states(spark, sf)).select(
+        "camera_key", "last_file", "import_no", "at_us", "device")
+
+
+@query
+def usable_settings(spark, sf):
+    s = view(spark, sf, "settings")
+    raw = s.select(
+        "subject_id", F.concat_ws("_", "skey", "device").alias("skey"), F.col("svalue").cast("string").alias("svalue"),
+        F.when(F.col("svalue") % 3 == 0, "soon").otherwise(
+            F.date_format(F.timestamp_seconds(F.col("changed_us") * 86400), "yyyy-MM-dd HH:mm:ss")).alias("changed_at"))
+    return files.usable_settings(raw)
+
+
 # --- manifests ---------------------------------------------------------------
 
 
