@@ -33,8 +33,9 @@ def views():
     return {1: walk, 2: crowd, 3: lattice, 4: [(0, 1.0, 1.0)]}
 
 
-@pytest.mark.parametrize("limit,candidates", [(None, 256), (50, 4)])
-def test_agrees_with_points_taken_one_by_one(spark, limit, candidates):
+@pytest.mark.parametrize("limit,candidates,tile", [(None, 256, 64), (50, 4, 64), (50, 64, 3)])
+def test_agrees_with_points_taken_one_by_one(spark, monkeypatch, limit, candidates, tile):
+    monkeypatch.setattr("trackplace.operators.declutter.TILE", tile)
     rows = [(v, *p) for v, points in views().items() for p in points]
     out = declutter(spark.createDataFrame(rows, SCHEMA), 30.0, ["view"], limit=limit, candidates=candidates)
     got = {}

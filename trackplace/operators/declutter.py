@@ -10,8 +10,10 @@ from trackplace.operators.ordered import Keyed, row_count
 from trackplace.session import checkpoint
 
 AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-# Earliest open points of each cell that one round looks at.
-CANDIDATES = 256
+# Earliest open points of each cell that one round looks at, and cells along the
+# side of the tile that one task settles.
+CANDIDATES = 64
+TILE = 64
 
 
 def declutter(
@@ -79,7 +81,7 @@ def _kept(
         listed = listed.totals(_of=F.count(F.lit(1))).rows().filter(F.col("_k") <= candidates)
         listed = listed.withColumn("more", F.col("_of") > candidates).drop("_k", "_of")
         settled = checkpoint(
-            listed.groupBy(*view).applyInPandas(_settle(order, spacing), large.schema)
+            _tiled(listed).groupBy(*view, "tx", "ty").applyInPandas(_settle(order, spacing), large.schema)
         )
         if settled.isEmpty():
             return kept
@@ -88,10 +90,23 @@ def _kept(
         still_open = checkpoint(still_open.join(near, [*view, order], "left_anti"))
 
 
+def _tiled(listed: DataFrame, side: int | None = None) -> DataFrame:
+    """Candidates by tile of ``TILE`` x ``TILE`` cells, so that no view has to fit
+    a task. A cell at a tile's edge is also sent to the tiles beside it, as
+    ``foreign``: they may not settle it, but have to wait for it."""
+    side = side or TILE
+    tile = lambda c, d: F.floor((F.col(c) + d) / side).cast("long")
+    tiles = F.array_distinct(F.array(*[
+        F.struct(tile("cx", dx).alias("tx"), tile("cy", dy).alias("ty")) for dx, dy in AROUND]))
+    spread = listed.withColumn("_t", F.explode(tiles)).withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")})
+    home = (F.col("tx") == tile("cx", 0)) & (F.col("ty") == tile("cy", 0))
+    return spread.drop("_t").withColumn("foreign", ~home)
+
+
 def _settle(order: str, spacing: float):
-    """One round over the candidates of a view, earliest first. A candidate is
+    """One round over the candidates of a tile, earliest first. A candidate is
     kept when no kept one is too close and nothing undecided around it, listed
-    or not, comes before it."""
+    or not, in this tile or beside it, comes before it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
@@ -99,8 +114,14 @@ def _settle(order: str, spacing: float):
         turn, x, y = pdf[order].tolist(), pdf["x"].tolist(), pdf["y"].tolist()
         # From which turn on a cell may hold a point this round knows nothing of.
         unknown = {s: t for s, t, more in zip(spots, turn, pdf["more"].tolist()) if more}
+        foreign = pdf["foreign"].tolist()
+        for i, (s, away) in enumerate(zip(spots, foreign)):
+            if away:
+                unknown[s] = min(turn[i], unknown.get(s, turn[i]))
         kept: dict[tuple[int, int], int] = {}
         for i, (cx, cy) in enumerate(spots):
+            if foreign[i]:
+                continue
             beside = [(cx + dx, cy + dy) for dx, dy in AROUND]
             held = [kept[s] for s in beside if s in kept]
             if any(max(abs(x[k] - x[i]), abs(y[k] - y[i])) < spacing for k in held):
@@ -109,7 +130,7 @@ def _settle(order: str, spacing: float):
                 unknown[cx, cy] = min(turn[i], unknown.get((cx, cy), turn[i]))
             else:
                 kept[cx, cy] = i
-        return pdf.iloc[list(kept.values())].drop(columns="more")
+        return pdf.iloc[list(kept.values())].drop(columns=["more", "tx", "ty", "foreign"])
 
     return run
 
