@@ -10,6 +10,7 @@ from trackplace.functions.names import (
     seq_no, seq_width,
 )
 from trackplace.operators.ordered import Keyed, Prev, row_count
+from trackplace.session import checkpoint
 
 CAMERA_SAMPLE = 10
 
@@ -205,29 +206,28 @@ def state_for_camera(
     payload = F.struct(*states.columns)
     known = seen.filter(F.col("_key").isNotNull())
     # Of entries for the same key the last one counts, in the first one's place.
-    exact = known.groupBy("_key").agg(
+    # One row per camera, written once and read by all that follows.
+    exact = checkpoint(known.groupBy("_key").agg(
         F.max_by(payload, order).alias("s"), F.min(order).alias("_o"),
         F.max_by("_make", order).alias("_make"), F.max_by("_model", order).alias("_model"),
         F.max_by("_serial", order).alias("_serial"),
-    )
+    ))
     per_body = exact.groupBy("_make", "_model", "_serial").agg(
         F.min_by("s", "_o").alias("s"), F.min("_o").alias("_o")
     )
-    per_model = exact.groupBy("_make", "_model").agg(
-        F.min_by("s", "_o").alias("s"), F.min("_o").alias("_o")
+    nobody = F.col("_serial") == "\x00"
+    per_model = per_body.groupBy("_make", "_model").agg(
+        F.min_by("s", "_o").alias("s_model"), F.max_by("s", F.when(nobody, 1)).alias("s_blank"),
+        F.max(F.when(nobody, F.col("_o"))).alias("o_blank"),
     )
     unknown = seen.filter(F.col("_key").isNull()).agg(F.max_by(payload, order).alias("s")).scalar()
-    no_other = known.limit(1).agg((F.count(F.lit(1)) == 0).alias("n")).scalar()
+    no_other = exact.limit(1).agg((F.count(F.lit(1)) == 0).alias("n")).scalar()
     mine = cards.withColumns({"_key": key, "_serial": serial}).select("*", *_identity())
-    blank = per_body.filter(F.col("_serial") == "\x00").select(
-        "_make", "_model", F.col("s").alias("s_blank"), F.col("_o").alias("o_blank")
-    )
     found = (
         mine.join(exact.select("_key", F.col("s").alias("s_exact")), "_key", "left")
         .join(per_body.select("_make", "_model", "_serial", F.col("s").alias("s_body"),
                               F.col("_o").alias("o_body")), ["_make", "_model", "_serial"], "left")
-        .join(blank, ["_make", "_model"], "left")
-        .join(per_model.select("_make", "_model", F.col("s").alias("s_model")), ["_make", "_model"], "left")
+        .join(per_model, ["_make", "_model"], "left")
     )
     nameless = F.col("_serial") == "\x00"
     body_first = F.col("o_blank").isNull() | (F.col("o_body") < F.col("o_blank"))
