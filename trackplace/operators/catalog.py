@@ -142,14 +142,16 @@ def set_value(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def merge_import_state(a: DataFrame, b: DataFrame, key: str = "camera_key") -> DataFrame:
+def merge_import_state(a: DataFrame, b: DataFrame, key: str | list[str] = "camera_key") -> DataFrame:
     """Per camera the resume point further along, with the higher folder number.
 
-    The camera key may be null (the camera nobody could identify).
+    The camera key may be null (the camera nobody could identify). More columns
+    as key merge the cameras of several state files at once.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     state = F.struct("last_file", "import_no", "at_us", "device")
-    left = a.select(F.col(key).alias("_ka"), state.alias("a"))
-    right = b.select(F.col(key).alias("_kb"), state.alias("b"))
+    left = a.select(F.struct(*keys).alias("_ka"), state.alias("a"))
+    right = b.select(F.struct(*keys).alias("_kb"), state.alias("b"))
     joined = left.join(right, F.col("_ka").eqNullSafe(F.col("_kb")), "full_outer")
     same_file = F.lower("a.last_file") == F.lower("b.last_file")
     second = F.col("a").isNull() | F.coalesce(
@@ -160,7 +162,7 @@ def merge_import_state(a: DataFrame, b: DataFrame, key: str = "camera_key") -> D
     )
     later = F.when(second, F.col("b")).otherwise(F.col("a"))
     return joined.select(
-        F.coalesce("_ka", "_kb").alias(key),
+        *[F.coalesce(f"_ka.{k}", f"_kb.{k}").alias(k) for k in keys],
         later["last_file"].alias("last_file"),
         F.greatest("a.import_no", "b.import_no").alias("import_no"),
         later["at_us"].alias("at_us"),

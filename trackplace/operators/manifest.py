@@ -13,6 +13,15 @@ KEEP_BOTH = "keep_both"
 MERGE = "merge"
 
 
+def merge_files(plan: DataFrame, local: DataFrame, remote: DataFrame, by: list[str], merge) -> DataFrame:
+    """Contents of the files that ``plan`` merges. ``merge(local, remote, keys)``
+    is the function of the kind of file (settings, import state) and gets the
+    rows of those files on either side; ``keys`` name a file."""
+    keys = [*by, "name"]
+    names = plan.filter(F.col("action") == "merge").select(*keys).distinct()
+    return merge(local.join(names, keys, "left_semi"), remote.join(names, keys, "left_semi"), keys)
+
+
 # --- free names --------------------------------------------------------------
 
 

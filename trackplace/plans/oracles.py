@@ -719,6 +719,19 @@ select subject_id, concat(skey, '_', device) as skey, cast(svalue as varchar) as
 
     o["sync_plan"] = _sync("keep_both", "ends_with(fname, '77.gpx') and ld is not null") + "select * from actions"
     o["sync_plan_merge"] = _sync("merge", "false") + "select * from actions"
+    merged = "files as (select p_partkey as k, i from part, (values (0), (1)) v(i)" + """
+    where concat('p', p_partkey, '.gpx') in (select name from actions where action = 'merge'))"""
+    chosen = _sync("merge", "false").rstrip()
+    o["sync_merged_settings"] = f"""{chosen}, {merged} select concat('p', k, '.gpx') as name, cast(i as varchar) as skey,
+  case when (k + i) % 4 > (k + i) % 5 then k * 3 + i else k * 2 + i end as svalue,
+  greatest((k + i) % 4, (k + i) % 5) as changed_us from files"""
+    shot = lambda n: f"concat('DSCF', lpad(cast(({n}) % 10000 as varchar), 4, '0'), '.RAF')"
+    o["sync_merged_states"] = f"""{chosen}, {merged}, sides as (select k, i, {shot('k * 7 + i')} as fa,
+  {shot('k * 7 + i + k % 3 - 1')} as fb from files), judged as (select *, coalesce(case when fa = fb then k % 4 > k % 5
+  else {_later('fb', 'fa')} end, false) as second from sides)
+select concat('p', k, '.gpx') as name, case when i = 1 then 'F_X' end as camera_key,
+  case when second then fb else fa end as last_file, greatest(k % 40, k % 37) as import_no,
+  case when second then k % 4 else k % 5 end as at_us, case when second then 'r' else 'l' end as device from judged"""
     o["sync_report"] = _sync("keep_both", "false") + """select folder_id,
   count(*) filter (where action in ('upload', 'update', 'merge')) as uploads,
   count(*) filter (where action in ('download', 'merge')) as downloads,

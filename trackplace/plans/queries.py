@@ -767,6 +767,45 @@ def sync_plan_merge(spark, sf):
     return _plan_columns(manifest.sync_plan(*_sides(spark, sf), ["folder_id"], manifest.MERGE))
 
 
+def _contents(spark, sf, local, columns):
+    """Two rows of a state file for each part, as they are on one side."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    rows = p.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+    name = F.concat(F.lit("p"), F.col("k").cast("string"), F.lit(".gpx"))
+    return rows.select(F.lit(0).cast("long").alias("folder_id"), name.alias("name"), *columns(local))
+
+
+@query
+def sync_merged_settings(spark, sf):
+    def columns(local):
+        return [
+            F.col("i").cast("string").alias("skey"), (F.col("k") * (2 if local else 3) + F.col("i")).alias("svalue"),
+            ((F.col("k") + F.col("i")) % (5 if local else 4)).alias("changed_us")]
+
+    plan = manifest.sync_plan(*_sides(spark, sf), ["folder_id"], manifest.MERGE)
+    merged = manifest.merge_files(
+        plan, _contents(spark, sf, True, columns), _contents(spark, sf, False, columns), ["folder_id"],
+        lambda a, b, keys: catalog.merge_settings(a, b, [*keys, "skey"]))
+    return merged.drop("folder_id")
+
+
+@query
+def sync_merged_states(spark, sf):
+    def columns(local):
+        at = F.col("k") * 7 + F.col("i") + (0 if local else 1) * (F.col("k") % 3 - 1)
+        return [
+            F.when(F.col("i") == 1, "F_X").alias("camera_key"),
+            F.concat(F.lit("DSCF"), F.lpad((at % 10000).cast("string"), 4, "0"), F.lit(".RAF")).alias("last_file"),
+            (F.col("k") % (40 if local else 37)).alias("import_no"),
+            (F.col("k") % (5 if local else 4)).alias("at_us"), F.lit("l" if local else "r").alias("device")]
+
+    plan = manifest.sync_plan(*_sides(spark, sf), ["folder_id"], manifest.MERGE)
+    merged = manifest.merge_files(
+        plan, _contents(spark, sf, True, columns), _contents(spark, sf, False, columns), ["folder_id"],
+        lambda a, b, keys: catalog.merge_import_state(a, b, [*keys, "camera_key"]))
+    return merged.drop("folder_id")
+
+
 def _plan_columns(plan):
     return plan.select(
         "folder_id", "phase", "name", "action_no", "action", "target", "remote_id", "digest"
