@@ -100,3 +100,20 @@ def test_live_statistics_follow_touched_tracks(spark, tmp_path):
     latest = {r.track_id: (r.fixes, round(r.metres)) for r in recorder.latest_stats(spark.read.parquet(stats)).collect()}
     assert latest == {1: (2, 11119), 2: (1, 0)}
     assert spark.read.parquet(stats).filter("track_id = 2").count() == 1
+
+
+def test_a_batch_reads_no_fixes_of_other_buckets(spark, tmp_path):
+    schema = "track_id long, segment_no long, seq long, t_us long, lat double, lon double"
+    source, fixes, stats = (str(tmp_path / n) for n in ("source", "fixes", "stats"))
+    spark.createDataFrame([(t, 0, 1, 0, 46.0, 7.0) for t in range(1, 9)], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run(recorder.live_track_stats(stream, fixes, stats), tmp_path)
+    hold = spark.sql(f"select pmod(hash(1L), {recorder.BUCKETS})").first()[0]
+    for folder in (tmp_path / "fixes" / "batch=0").glob("bucket=*"):
+        if folder.name != f"bucket={hold}":
+            for file in folder.glob("part-*"):
+                file.write_bytes(b"no parquet")
+    spark.createDataFrame([(1, 0, 2, 1_000_000, 46.1, 7.0)], schema).coalesce(1).write.mode("append").parquet(source)
+    run(recorder.live_track_stats(stream, fixes, stats), tmp_path)
+    latest = {r.track_id: r.fixes for r in recorder.latest_stats(spark.read.parquet(stats)).collect()}
+    assert latest[1] == 2 and len(latest) == 8

@@ -87,28 +87,31 @@ def admit_stream(
             state.remove()
             return
         memory = list(state.get) if state.exists else [None] * 5
-        rows = pd.concat(list(batches)).sort_values(["now_us", "delivery_id"])
-        outcomes = []
-        for r in rows.itertuples(index=False):
-            gps_us, fused_us, written_us, clock_us, clock_id = memory
-            if clock_us is not None and (r.now_us, r.delivery_id) <= (clock_us, clock_id):
-                outcomes.append("late")
-                continue
-            gps = r.provider == "gps"
-            last = gps_us if gps else fused_us
-            quiet = last is None or r.now_us - last > silence * 1000
-            accurate = pd.notna(r.accuracy) and r.accuracy <= MAX_ACCURACY_M
-            usable = accurate and not (quiet and r.age_ms > max_age)
-            beside = not gps and written_us is not None and r.now_us - written_us < grace * 1000
-            outcomes.append("ignored" if beside else "written" if usable else "dropped")
-            memory[0 if gps else 1] = int(r.now_us)
-            if gps and usable:
-                memory[2] = int(r.now_us)
-            memory[3], memory[4] = int(r.now_us), int(r.delivery_id)
+        rows = pd.concat(list(batches)).sort_values(["now_us", "delivery_id"], ignore_index=True)
+        seen = rows.duplicated(["now_us", "delivery_id"])
+        if memory[3] is not None:
+            seen |= (rows["now_us"] < memory[3]) | (
+                (rows["now_us"] == memory[3]) & (rows["delivery_id"] <= memory[4]))
+        live = rows[~seen]
+        now, gps = live["now_us"], live["provider"] == "gps"
+        # What was heard last from the same provider, and of gps written before.
+        before = gps.map({True: memory[0], False: memory[1]}).astype(float)
+        last = now.groupby(gps).shift().fillna(before)
+        quiet = last.isna() | (now - last > silence * 1000)
+        usable = (live["accuracy"] <= MAX_ACCURACY_M) & ~(quiet & (live["age_ms"] > max_age))
+        written = now.where(gps & usable).shift().ffill()
+        if memory[2] is not None:
+            written = written.fillna(memory[2])
+        beside = ~gps & (now - written < grace * 1000)
+        rows["outcome"] = "late"
+        rows.loc[live.index, "outcome"] = usable.map({True: "written", False: "dropped"}).mask(beside, "ignored")
+        latest = lambda times, known: known if times.empty else int(times.iloc[-1])
+        memory = [
+            latest(now[gps], memory[0]), latest(now[~gps], memory[1]), latest(now[gps & usable], memory[2]),
+            latest(now, memory[3]), latest(live["delivery_id"], memory[4])]
         state.update(tuple(memory))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        rows["outcome"] = outcomes
         yield rows[["device", "run", "delivery_id", "now_us", "provider", "accuracy", "age_ms", "outcome"]]
 
     forgets = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
@@ -137,19 +140,29 @@ def to_fix(deliveries: DataFrame) -> DataFrame:
     )
 
 
+# Folders the stored fixes of growing tracks are dealt to.
+BUCKETS = 256
+
+
 def live_track_stats(written: DataFrame, fixes_path: str, stats_path: str):
     """Starts keeping statistics of growing tracks: each micro-batch appends its
     fixes and recomputes the tracks it touched, and only those.
 
-    Replayed batches are harmless: a batch's fixes go to a folder of its own,
-    and statistics are a function of what is stored.
+    Fixes are stored by track bucket, and only the buckets of touched tracks are
+    read again, so fixes may come in any order. Replayed batches are harmless: a
+    batch's fixes go to a folder of its own, and statistics are a function of
+    what is stored.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{fixes_path}/batch={batch_id}")
+        dealt = batch.withColumn("bucket", F.pmod(F.hash("track_id"), F.lit(BUCKETS)))
+        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{fixes_path}/batch={batch_id}")
+        # At most BUCKETS numbers come to the driver; they prune the scan.
+        buckets = [r[0] for r in dealt.select("bucket").distinct().collect()]
         touched = batch.select("track_id").distinct()
-        stored = spark.read.parquet(fixes_path).drop("batch")
+        stored = spark.read.schema(batch.schema).parquet(fixes_path).filter(F.col("bucket").isin(buckets)).drop("batch", "bucket")
         growing = stored.join(touched, "track_id", "left_semi")
         stats = track_stats(growing).join(track_distance(growing), "track_id")
         stats.write.mode("overwrite").parquet(f"{stats_path}/batch={batch_id}")
