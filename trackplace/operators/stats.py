@@ -11,6 +11,13 @@ from trackplace.operators.ordered import Keyed, Prev, Sum, row_count
 SEGMENT = ["track_id", "segment_no"]
 
 
+def by_segment(fixes: DataFrame, limit: int | None = None) -> Keyed:
+    """Fixes keyed by segment, counted by track: a track that fits a task has
+    segments that do, and a count by track needs no segment numbers, so Catalyst
+    leaves out of it what made them."""
+    return Keyed(fixes, ["track_id"], limit).within(["segment_no"])
+
+
 def assign_segments(
     feed: DataFrame,
     keys: list[str],
@@ -63,7 +70,7 @@ def as_one_segment(fixes: DataFrame, limit: int | None = None) -> DataFrame:
 def steps(fixes: DataFrame, limit: int | None = None) -> DataFrame:
     """Each fix with the one before it in its segment and the metres between them."""
     before = F.struct("t_us", "lat", "lon")
-    out = Keyed(fixes, SEGMENT, limit).running(["t_us", "seq"], before=Prev(before)).rows()
+    out = by_segment(fixes, limit).running(["t_us", "seq"], before=Prev(before)).rows()
     return out.withColumn(
         "step_m",
         distance_m(F.col("before.lat"), F.col("before.lon"), F.col("lat"), F.col("lon")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackplace.functions import tags
 from trackplace.functions.names import stem
 from trackplace.operators.ordered import Keyed, Prev, Sum, row_count
-from trackplace.operators.stats import SEGMENT
+from trackplace.operators.stats import SEGMENT, by_segment
 from trackplace.sources.tracks import EVIDENCE_NS
 
 def _escaped(text: Column) -> Column:
@@ -157,7 +157,7 @@ def track_lines(fixes: DataFrame, part_rows: int | None = None, limit: int | Non
     if part_rows is None:
         parts = fixes.withColumns({"_at": F.struct("t_us", "seq"), "part_no": F.lit(0).cast("long")})
         return _lines(parts)
-    placed = Keyed(fixes, SEGMENT, limit).running(["t_us", "seq"], _at=row_count()).rows()
+    placed = by_segment(fixes, limit).running(["t_us", "seq"], _at=row_count()).rows()
     at = F.col("_at") - 1
     part = F.floor(at / part_rows)
     # The first fix of a later part also ends the one before.
