@@ -154,10 +154,11 @@ def training_counts(tracks: DataFrame, docs: int = DOCS_PER_LANGUAGE) -> tuple[n
     spark = tracks.sparkSession
     known = tracks.filter(F.col("lang").isNotNull() & is_training(F.col("track_id")) & F.col("document").isNotNull())
     # Only ids whose digest is small for the size of their language are ranked, so
-    # that no task ranks a whole language; twice the number wanted is expected.
+    # that no task ranks a whole language; twice the number wanted is expected. The
+    # sizes are a row per language, and the driver holds a tree of each anyway.
     sizes = known.groupBy(F.col("lang").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
     unit = F.xxhash64("track_id").bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
-    early = known.select("track_id", "lang").join(sizes, F.col("lang") == F.col("_of")).filter(
+    early = known.select("track_id", "lang").join(F.broadcast(sizes), F.col("lang") == F.col("_of")).filter(
         unit * F.col("_size") <= 2 * docs + 100)
     order = Window.partitionBy("lang").orderBy(unit, "track_id")
     chosen = early.withColumn("_n", F.row_number().over(order)).filter(
