@@ -28,6 +28,11 @@ def test_lines_are_those_of_brute_force(tracks_of):
     assert got == brute(rows)
 
 
+def test_lists_too_long_to_send_change_nothing(tracks_of, monkeypatch):
+    monkeypatch.setattr("trackplace.llm.boilerplate.BROADCAST_LINES", 0)
+    test_lines_are_those_of_brute_force(tracks_of)
+
+
 def test_wide_spread_is_told_from_the_sketch(tracks_of):
     rows = [(d, f"All rights reserved by us\nonly here {d} and there", f"site{d}") for d in range(500)]
     out = {r.track_id: (r.document, r.n_removed) for r in dedup_lines(tracks_of(rows)).collect()}

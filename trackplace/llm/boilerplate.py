@@ -16,7 +16,7 @@ from trackplace.session import checkpoint
 LEAST_SOURCES = 3
 LEAST_WORDS = 4
 LOG_REGISTERS = 10
-# Spread lines sent to every task at most, and tasks that share a line beyond that.
+# Lines sent to every task at most, and tasks that share a line beyond that.
 BROADCAST_LINES = 200_000
 SALTS = 32
 
@@ -36,6 +36,14 @@ def occurrences(tracks: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         "track_id", "digest", "source", "at", *_line_key(F.col("line")))
 
 
+def repeated(found: DataFrame, least_sources: int = LEAST_SOURCES) -> DataFrame:
+    """The occurrences of lines that occur ``least_sources`` times or more. No
+    other line can have that many sources, and most lines occur once, so only
+    the rest is worth a sketch."""
+    often = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_sources)
+    return checkpoint(_carrying(found, checkpoint(often.select("h1", "h2"))))
+
+
 def spread_lines(found: DataFrame, least_sources: int = LEAST_SOURCES, log_registers: int = LOG_REGISTERS) -> DataFrame:
     """``h1, h2, first``: lines that ``least_sources`` sources or more carry, and
     the place that keeps them (least id, null last, then digest and line number)."""
@@ -55,13 +63,14 @@ def spread_lines(found: DataFrame, least_sources: int = LEAST_SOURCES, log_regis
         close.join(exact, ["h1", "h2"], "left_semi").select("h1", "h2", "first"))
 
 
-def _carrying(found: DataFrame, spread: DataFrame) -> DataFrame:
-    """Occurrences of the spread lines. Those lines go to every task while they
-    are counted to be few; else a line's occurrences are dealt to ``SALTS`` tasks."""
-    if spread.count() <= BROADCAST_LINES:
-        return found.join(F.broadcast(spread), ["h1", "h2"])
+def _carrying(found: DataFrame, listed: DataFrame) -> DataFrame:
+    """Occurrences of the lines listed, with what is listed about them. The list
+    goes to every task while it is counted to be short; else a line's occurrences
+    are dealt to ``SALTS`` tasks."""
+    if listed.count() <= BROADCAST_LINES:
+        return found.join(F.broadcast(listed), ["h1", "h2"])
     salted = found.withColumn("salt", F.pmod(F.xxhash64("track_id", "at"), F.lit(SALTS)))
-    copies = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    copies = listed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, ["h1", "h2", "salt"]).drop("salt")
 
 
@@ -88,7 +97,7 @@ def dedup_lines(
     a document may lose all its lines and become empty; rows repeated with the
     same id and text are treated alike; an empty table gives none.
     """
-    found = checkpoint(occurrences(tracks, least_words))
+    found = repeated(checkpoint(occurrences(tracks, least_words)), least_sources)
     spread = checkpoint(spread_lines(found, least_sources, log_registers))
     gone = _carrying(found, spread).filter(~(
         F.col("track_id").eqNullSafe(F.col("first.track_id")) & (F.col("digest") == F.col("first.digest"))
