@@ -27,8 +27,9 @@ ORDER = 3
 SYMBOLS = 64
 BITS = 6
 DOCS_PER_LANGUAGE = 400
-# Bytes coded at a time, and what stands before a text.
-PIECE = 1 << 20
+# Bytes coded and documents read at a time, and what stands before a text.
+PIECE = 1 << 18
+DOCS_AT_ONCE = 512
 PAD = b" " * ORDER
 _GAP = re.compile(r"[\W\d_]+")
 
@@ -112,8 +113,9 @@ class Trees:
         return result
 
     def _add(self, result: np.ndarray, owners: list[int], parts: list[bytes]) -> None:
-        s = self.symbol_of[np.frombuffer(b"".join(parts), np.uint8)]
-        code = np.zeros(len(s) - ORDER, np.int64)
+        # Codes have 24 bits.
+        s = self.symbol_of.astype(np.int32)[np.frombuffer(b"".join(parts), np.uint8)]
+        code = np.zeros(len(s) - ORDER, np.int32)
         for k in range(ORDER + 1):
             code = (code << BITS) | s[k:len(s) - ORDER + k]
         sizes = np.array([len(p) for p in parts])
@@ -218,7 +220,8 @@ def identify_languages(
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = trees_of(stamp, shared)
-        for batch in batches:
+        slices = (b.iloc[i:i + DOCS_AT_ONCE] for b in batches for i in range(0, len(b), DOCS_AT_ONCE))
+        for batch in slices:
             texts = [plain_bytes(t) for t in batch["document"]]
             sizes = np.array([len(t) for t in texts], float)
             known = np.array([has_letter(t) for t in batch["document"]], bool) & bool(trees.languages)
