@@ -442,6 +442,9 @@ def build() -> dict[str, str]:
     o["in_view"] = _with(fixes) + (
         "select track_id, segment_no, seq, lat, lon from fixes"
         " where lat between 46.95 and 46.97 and lon between 7.5 and 8.5")
+    o["in_view_wrapped"] = _with(fixes) + (
+        "select track_id, segment_no, seq, lat, lon from fixes"
+        " where lat between 46.95 and 46.97 and (lon >= 7.6 or lon <= 7.5)")
     o["as_one_segment"] = _with(fixes) + (
         "select track_id, cast(0 as bigint) as segment_no, row_number() over (partition by track_id"
         " order by t_us, segment_no, seq) as seq, t_us, lat, lon from fixes")
@@ -530,6 +533,14 @@ select subject_id, count(*) filter (where o = 'embedded') as embedded, count(*)
   concat(printf('%+08.4f', {_half_up('lat', 4)}), printf('%+09.4f', {_half_up('lon', 4)}),
     case when ele is not null then printf('%+08.3f', {_half_up('ele', 3)}) else '' end, '/') as iso6709, {_xmp('lat', 'N', 'S')} as xmp_lat, {_xmp('lon', 'E', 'W')} as xmp_lon
 from placed where placed is not null"""
+    far = """far as (select * replace (-lat as lat, -lon as lon, ele - 600 as ele, case when photo_id % 3 = 0
+    then concat(regexp_replace(name, '\\.[^.]*$', ''), '.NEF') else name end as name) from placed)"""
+    mirrored = o["tag_table"][len(_with(*LOCATED)):].replace("from placed where", "from far where").replace(
+        "= 'cr3'", "in ('cr3', 'nef')")
+    o["tag_table_south"] = _with(*LOCATED, far) + mirrored
+    o["sidecar_counts"] = _with(*LOCATED, far, f"""outcomes as (select subject_id, case when placed is null then 'missing'
+  when photo_id % 13 = 0 then 'failed' when {TYPE} in ('cr3', 'nef') then 'sidecar' else 'embedded' end as o from far)""") + (
+        "select" + o["geotag_counts"].rsplit("select", 1)[1])
     o["sidecars"] = _with(*LOCATED) + f"""select subject_id as folder, concat({_stem('name')}, '.xmp') as file,
   {_sidecar()} as document from placed where placed is not null
   qualify row_number() over (partition by subject_id, {_stem('name')} order by name, photo_id) = 1"""

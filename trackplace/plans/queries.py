@@ -91,6 +91,13 @@ def in_view(spark, sf):
     return seen.select("track_id", "segment_no", "seq", "lat", "lon")
 
 
+@query
+def in_view_wrapped(spark, sf):
+    """A view from 7.6 degrees east round the back of the globe to 7.5."""
+    seen = fixes(spark, sf).filter(in_box(F.col("lat"), F.col("lon"), 46.95, 7.6, 46.97, 7.5))
+    return seen.select("track_id", "segment_no", "seq", "lat", "lon")
+
+
 @query
 def as_one_segment(spark, sf):
     joined = stats.as_one_segment(fixes(spark, sf))
@@ -329,6 +336,31 @@ def tag_table(spark, sf):
     return placement.tag_table(placed)
 
 
+def _mirrored(spark, sf):
+    """The placed photos on the far side of the equator and of Greenwich, below
+    the sea, a third of them in a format without a built-in writer."""
+    placed = locate(_shots(spark, sf), fixes(spark, sf), PLACE_MS)
+    return placed.withColumns({
+        "lat": -F.col("lat"), "lon": -F.col("lon"), "ele": F.col("ele") - 600,
+        "name": F.when(F.col("photo_id") % 3 == 0, F.regexp_replace("name", r"\.[^.]*$", ".NEF")).otherwise(F.col("name")),
+    })
+
+
+@query
+def tag_table_south(spark, sf):
+    return placement.tag_table(placement.finish_plan(_mirrored(spark, sf)))
+
+
+@query
+def sidecar_counts(spark, sf):
+    """Outcomes by writer, with only the writers that are built in."""
+    plan = placement.finish_plan(_mirrored(spark, sf), built_in_only=True)
+    outcome = (
+        F.when(F.col("placed").isNull(), "missing").when(F.col("photo_id") % 13 == 0, "failed")
+        .when(F.col("writer") == "sidecar", "sidecar").otherwise("embedded"))
+    return placement.geotag_counts(plan.withColumn("outcome", outcome), ["subject_id"])
+
+
 @query
 def sidecars(spark, sf):
     placed = locate(_shots(spark, sf), fixes(spark, sf), PLACE_MS)
