@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from trackplace.llm.near import BKTree, fingerprint, near_duplicates, tree_links
+from trackplace.llm.near import BKTree, fingerprint, near_duplicates, similar_documents, tree_links
 
 
 def brute_fingerprint(text):
@@ -82,3 +82,46 @@ def test_odd_rows(odd, none):
     by = {r.track_id: r for r in rows}
     assert by[2].fingerprint == "0" * 16 and {by[i].component_id for i in (2, 3, 4)} == {2}
     assert by[None].component_id == 5
+
+
+def brute_similar(texts, least=0.8):
+    """Least index reachable over pairs of five-word Jaccard ``least`` or more."""
+    sets = []
+    for text in texts:
+        words = text.lower().split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    low = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if low[j] < low[i] and len(a & b) >= least * len(a | b) - 1e-9:
+                    low[i], changed = low[j], True
+    return low
+
+
+def test_documents_alike_in_most_shingles_are_one_group(spark):
+    rng = random.Random(8)
+    texts = ["", " \n", "one two", "ONE two"]
+    for size in (30, 60, 100, 200):
+        for _ in range(6):
+            words = [f"w{rng.randrange(400)}" for _ in range(size)]
+            for lost in (0, 1, 1, 2, 3, 4):
+                copy = list(words)
+                for _ in range(lost):
+                    copy[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+                texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "track_id long, document string").repartition(3)
+    want = brute_similar(texts)
+    for list_size in (64, 1):
+        got = {r.track_id: r.component_id for r in similar_documents(docs, list_size=list_size).collect()}
+        assert got == dict(enumerate(want))
+
+
+def test_similar_odd_rows(odd, none):
+    rows = similar_documents(odd).collect()
+    assert len(rows) == 12 and similar_documents(none).count() == 0
+    by = {r.track_id: r.component_id for r in rows}
+    assert {by[i] for i in (2, 3, 4)} == {2} and by[None] == 5

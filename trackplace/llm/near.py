@@ -6,6 +6,10 @@ blocks, keyed by the 32 bits of that pair; each shard value has a BK-tree of its
 own (children by Hamming distance to the parent), and a search follows only the
 edges within the radius. The trees go to where their keys are: sending all of
 them everywhere would take every fingerprint through the driver.
+
+``similar_documents`` groups by the Jaccard similarity of shingle sets itself.
+Two sets that similar share one of their first shingles in any order common to
+all sets, so only documents that meet there are compared, and none is missed.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackplace.llm.words import track_documents
+from trackplace.llm.words import most_frequent, track_documents
 from trackplace.session import checkpoint
 
 RADIUS = 2
@@ -29,6 +33,19 @@ SEED = 42
 TREE_SIZE = 1024
 PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 _PIECE = 1 << 16
+# Groups by similarity: words of a shingle and the least Jaccard similarity.
+SET_SHINGLE = 5
+SIMILARITY = 0.8
+# Documents that share a first shingle and are compared pair by pair; where more
+# do, they are compared with one of them first.
+LIST_SIZE = 64
+# The order of shingles is learned from one document in so many, and has so many
+# places for frequent ones. Any order gives the same groups; it only saves time.
+ORDER_SHARE = 16
+ORDER_SHINGLES = 100_000
+# Bits that stand for a set before whole sets are compared; a power of two.
+MARKS = 2048
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -203,13 +220,202 @@ def near_duplicates(tracks: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
     """
     rows = checkpoint(fingerprints(tracks))
     values = checkpoint(rows.groupBy("fp").agg(F.min("track_id").alias("low")))
-    tied = connected(near_links(values.select("fp"), tree_size))
+    joined = _grouped(rows, values, connected(near_links(values.select("fp"), tree_size)))
+    return joined.select(
+        "track_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(rows: DataFrame, values: DataFrame, tied: DataFrame) -> DataFrame:
+    """``rows`` with ``component_id``, the least id among the values tied to theirs."""
     grouped = tied.join(values, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("low").alias("m"))
     rooted = grouped.join(values, F.col("root") == F.col("fp")).select("root", F.least("m", "low").alias("of_group"))
     named = tied.join(rooted, "root").select("node", "of_group").unionByName(
         rooted.select(F.col("root").alias("node"), "of_group"))
     owner = values.join(named, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("_fp"), F.coalesce("of_group", "low").alias("component_id"))
-    joined = rows.join(owner, F.col("fp") == F.col("_fp"))
-    return joined.select(
-        "track_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(owner, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def shingle_set(text: str | None, shingle: int = SET_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles in ascending order; none for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words] if words else []
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(g), SEED) for g in grams], np.uint64).view(np.int64))
+
+
+def _key(grams: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(grams.tobytes(), SEED)
+
+
+def _sets(tracks: DataFrame, shingle: int) -> DataFrame:
+    """``fp, grams``: the shingle set of each document and its 128-bit name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in range(0, len(batch), 256):
+                sets = [shingle_set(t, shingle) for t in batch["document"][part:part + 256]]
+                yield pd.DataFrame({"fp": [_key(g) for g in sets], "grams": sets})
+
+    return track_documents(tracks).mapInPandas(run, "fp binary, grams array<long>")
+
+
+def _set_names(tracks: DataFrame, shingle: int) -> DataFrame:
+    """``track_id, fp``: the name of each document's shingle set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({
+                "track_id": batch["track_id"].astype("Int64").values,
+                "fp": [_key(shingle_set(t, shingle)) for t in batch["document"]]})
+
+    return track_documents(tracks).mapInPandas(run, "track_id long, fp binary")
+
+
+def _first_shingles(tracks: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``gram, fp, size, at``: of each set the shingles, rare ones first, of which
+    a set that similar must have one; those only that two documents have."""
+    some = tracks.filter(F.pmod(F.xxhash64("document"), F.lit(ORDER_SHARE)) == 0)
+    counts = _sets(some, shingle).select(F.explode("grams").alias("gram")).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1")
+    known = most_frequent(checkpoint(counts), ORDER_SHINGLES).toPandas().sort_values("gram")
+    order = tracks.sparkSession.sparkContext.broadcast(
+        (known["gram"].to_numpy(np.int64), known["n"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed, often = order.value
+        for batch in batches:
+            for part in range(0, len(batch), 256):
+                rows = []
+                for text in batch["document"][part:part + 256]:
+                    grams = shingle_set(text, shingle)
+                    rank = np.zeros(len(grams), np.int64)
+                    if len(listed) and len(grams):
+                        place = np.minimum(np.searchsorted(listed, grams), len(listed) - 1)
+                        rank = np.where(listed[place] == grams, often[place], 0)
+                    first = len(grams) - _least_common(len(grams), similarity) + 1
+                    rows.append((_key(grams), len(grams), grams[np.lexsort((grams, rank))][:first]))
+                yield pd.DataFrame(rows, columns=["fp", "size", "first"])
+
+    firsts = track_documents(tracks).mapInPandas(run, "fp binary, size int, first array<long>")
+    # Most shingles stand in one document, so they are counted alone and first.
+    often = firsts.select(F.explode("first").alias("gram")).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    often = checkpoint(often)
+    n = often.count()
+    places = firsts.select("fp", "size", F.posexplode("first").alias("at", "gram"))
+    return places.join(F.broadcast(often) if n <= BROADCAST_ROWS else often, "gram").distinct()
+
+
+def _least_common(size: int, similarity: float) -> int:
+    return int(np.ceil(similarity * size - 1e-9))
+
+
+def _may_reach(similarity: float):
+    """Whether sets ``x`` and ``y`` that have a first shingle in common can be
+    similar, by their sizes and by what comes after it."""
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    return left * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
+
+
+def _marks(grams: np.ndarray) -> bytes:
+    """The places of a set's shingles among ``MARKS``, a bit each."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[grams & (MARKS - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _possible(similarity: float):
+    """Pairs without those whose marks show that too few shingles can be common:
+    a mark the other set lacks is a shingle at least that it lacks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("of_a", "of_b"))
+                most = np.minimum(
+                    batch["size_a"].to_numpy() - np.bitwise_count(x & ~y).sum(1, dtype=np.int64),
+                    batch["size_b"].to_numpy() - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                both = (batch["size_a"] + batch["size_b"]).to_numpy()
+                yield batch.loc[most * (1 + similarity) >= similarity * both - 1e-6, ["a", "b"]]
+
+    return run
+
+
+def _named_sets(tracks: DataFrame, pairs: DataFrame, shingle: int, marks: bool) -> DataFrame:
+    """``fp, size, grams`` of the sets in ``pairs``: their marks or the shingles."""
+    named = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    n = named.count()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in range(0, len(batch), 256):
+                sets = [shingle_set(t, shingle) for t in batch["document"][part:part + 256]]
+                yield pd.DataFrame({
+                    "fp": [_key(g) for g in sets], "size": [len(g) for g in sets],
+                    "grams": [_marks(g) for g in sets] if marks else sets})
+
+    sets = track_documents(tracks).mapInPandas(
+        run, f"fp binary, size int, grams {'binary' if marks else 'array<long>'}")
+    sets = sets.join(F.broadcast(named) if n <= BROADCAST_ROWS else named, "fp", "left_semi")
+    sets = sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
+    return checkpoint(sets)
+
+
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    of = lambda k: sets.select(
+        F.col("fp").alias(k), F.col("size").alias(f"size_{k}"), F.col("grams").alias(f"of_{k}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b")
+
+
+def _similar(pairs: DataFrame, tracks: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose whole shingle sets are that similar."""
+    pairs = checkpoint(pairs.distinct())
+    if pairs.isEmpty():
+        return pairs
+    marked = _beside(pairs, _named_sets(tracks, pairs, shingle, True))
+    pairs = checkpoint(marked.mapInPandas(_possible(similarity), "a binary, b binary"))
+    both = _beside(pairs, _named_sets(tracks, pairs, shingle, False))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return checkpoint(both.filter(
+        common >= similarity * (F.col("size_a") + F.col("size_b") - common) - 1e-9).select("a", "b"))
+
+
+def similar_links(tracks: DataFrame, shingle: int, similarity: float, list_size: int = LIST_SIZE) -> DataFrame:
+    """``a, b``: links between names of shingle sets that connect all that are
+    ``similarity`` or more alike."""
+    lists = checkpoint(_first_shingles(tracks, shingle, similarity))
+    sizes = lists.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "size", "at")).alias("y")).filter("n > 1")
+    shared = checkpoint(lists.join(sizes, "gram"))
+    few, many = shared.filter(F.col("n") <= list_size), shared.filter(F.col("n") > list_size)
+    side = lambda rows, name, *more: rows.select("gram", *more, F.struct("fp", "size", "at").alias(name))
+    ends = [F.col("x.fp").alias("a"), F.col("y.fp").alias("b")]
+    pairs = side(few, "x").join(side(few, "y"), "gram").filter(F.col("x.fp") > F.col("y.fp"))
+    stars = side(many, "x", "y").filter(F.col("x.fp") > F.col("y.fp"))
+    met = [p.filter(_may_reach(similarity)).select(ends) for p in (pairs, stars)]
+    links = _similar(met[0].unionByName(met[1]), tracks, shingle, similarity)
+    # In long lists, whatever is not in one group by now is compared as well.
+    tied = connected(links)
+    placed = many.drop("y").join(tied, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = side(placed, "x", F.col("root").alias("p")).join(side(placed, "y", F.col("root").alias("q")), "gram")
+    rest = rest.filter((F.col("p") != F.col("q")) & (F.col("x.fp") > F.col("y.fp")) & _may_reach(similarity))
+    return links.unionByName(_similar(rest.select(ends), tracks, shingle, similarity)).distinct()
+
+
+def similar_documents(
+    tracks: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY, list_size: int = LIST_SIZE,
+) -> DataFrame:
+    """Groups of track documents by the similarity of their shingle sets.
+
+    In: ``track_id, document``. Out, one row for each row in: ``track_id`` and
+    ``component_id``, the least ``track_id`` reachable over pairs whose sets of
+    ``shingle`` words have a Jaccard similarity of ``similarity`` or more (null
+    where no document of the group has an id). Words are those of ``fingerprint``;
+    a shorter text is one shingle, and texts without words are alike. Every pair
+    that similar is found and compared exactly; an empty table gives none.
+    """
+    rows = checkpoint(_set_names(tracks, shingle))
+    values = checkpoint(rows.groupBy("fp").agg(F.min("track_id").alias("low")))
+    tied = connected(similar_links(tracks, shingle, similarity, list_size))
+    return _grouped(rows, values, tied).select("track_id", "component_id")
