@@ -55,3 +55,10 @@ def test_stages_one_by_one(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.count() > 100 and [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
+
+
+def test_short_lines_of_many_sources_stay_once(spark):
+    rows = [(d, f"text of document {d}\nAll rights reserved.\nend", "en", f"s{d}", 40) for d in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
+    assert got == {0: rows[0][1]} | {d: f"text of document {d}" for d in range(1, 4)}
