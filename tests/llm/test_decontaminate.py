@@ -2,7 +2,7 @@ import itertools
 import random
 import re
 
-from trackplace.llm.decontaminate import MASKS, SPAN, WINDOW, clean_tracks, contaminated
+from trackplace.llm.decontaminate import FORMS, MASKS, SPAN, WINDOW, clean_tracks, contaminated
 
 
 def brute(docs, items):
@@ -60,3 +60,37 @@ def test_odd_rows(spark, odd, none):
     kept = clean_tracks(odd, items)
     assert kept.columns == odd.columns
     assert sorted(r.track_id for r in kept.collect()) == [2, 3, 4, 6, 7, 8, 9]
+
+
+def test_every_pattern_that_counts_has_a_seed():
+    for n in range(SPAN, WINDOW + 1):
+        for lost in itertools.combinations(range(n), n - -(-4 * n // 5)):
+            assert any(all(s + p not in lost for p in f) for f in FORMS for s in range(n - f[-1])), (n, lost)
+
+
+def test_pairs_are_those_of_the_declared_rule(spark):
+    items, docs = [], []
+    for n in (11, 12, 13, 15, 16, 20):
+        items.append((n, " ".join(f"i{n}x{k}" for k in range(n))))
+        for lost in itertools.islice(itertools.combinations(range(n), 3 if n >= 15 else 2), 0, None, 3 if n < 15 else 17):
+            words = items[-1][1].split()
+            for k in lost:
+                words[k] = "other"
+            docs.append((len(docs), "before " + " ".join(words) + " after"))
+    items += [(n, " ".join(f"s{n}x{k}" for k in range(n))) for n in (1, 4, 10)]
+    docs += [(1000 + n, f"so {t.upper()}, then") for n, t in items[-3:]] + [(2000, "s4x0 s4x1 s4x2 s10x3"), (2001, items[-1][1][:-1])]
+    docs.append((2002, items[-2][1]))
+
+    def counts(text, item):
+        a, b = re.findall(r"[^\W_]+", text.lower()), re.findall(r"[^\W_]+", item.lower())
+        n = min(WINDOW, len(b))
+        need = n if len(b) < SPAN else -(-4 * n // 5)
+        return any(
+            sum(x == y for x, y in zip(a[s:s + n], b[k:k + n], strict=True)) >= need
+            for s in range(len(a) - n + 1) for k in range(len(b) - n + 1))
+
+    want = {(d, i) for d, t in docs for i, item in items if counts(t, item)}
+    rows = contaminated(
+        spark.createDataFrame(docs, "track_id long, document string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.track_id, r.item_id) for r in rows} == want and {(1001, 1), (1004, 4), (1010, 10), (2002, 4)} <= want

@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a mask over eleven tokens of which seven count. Test items and
+A seed is a mask over up to nine tokens of which five count. Test items and
 documents meet where a mask sees the same tokens in both, so a substituted
 token under a gap of the mask does no harm. Around each hit the two texts are
-laid side by side, and tokens are compared one by one.
+laid side by side, and tokens are compared one by one. Items too short for the
+masks meet documents as a whole.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 
 from trackplace.session import checkpoint
 
-# Positions each mask looks at. Within fifteen tokens any two
-# substitutions leave at least one mask whole.
-MASKS = [(0, 1, 3, 4, 8, 9, 10), (0, 3, 4, 5, 6, 7, 10), (0, 1, 2, 6, 7, 9, 10)]
+# Positions each form looks at, wherever it fits. Of 11 to 15 tokens
+# of which four in five are equal, one form at least sees equal ones only.
+FORMS = [(0, 1, 3, 4, 5), (0, 1, 5, 7, 8)]
+# Tokens of the shortest item that may differ from what a document has.
 SPAN = 11
+# The forms at all their places within so many tokens.
+MASKS = [tuple(at + p for p in form) for form in FORMS for at in range(SPAN - form[-1])]
 WINDOW = 15
 SIMILARITY = 0.8
 # Seeds of all test items, or candidates, that are sent to every task at most.
@@ -29,21 +33,26 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
-def _seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, gram, at``: what each mask sees at each position of ``_h``.
+def _seeds(rows: DataFrame, keys: list[str], short: list[int], whole: bool = False) -> DataFrame:
+    """``keys, gram, at``: what each form sees at each position of ``_h``, and
+    what windows of each of the lengths ``short`` hold; with ``whole`` only the
+    window that is all of ``_h``.
 
     The outer form of the generator keeps Catalyst from testing the arrays for
     length below the projection that makes them, which would make them anew for
     every element.
     """
-    rows = rows.withColumn("_places", F.size("_h") - (SPAN - 1))
-    seen = lambda k, mask: F.transform(
-        F.sequence(F.lit(0), F.col("_places") - 1),
-        lambda i: F.xxhash64(F.lit(k), *[F.get("_h", i + p) for p in mask]))
-    grams = F.concat(*[seen(k, mask) for k, mask in enumerate(MASKS)])
-    rows = rows.select(*keys, "_places", F.when(F.col("_places") > 0, grams).alias("_g"))
-    rows = rows.select(*keys, "_places", F.posexplode_outer("_g").alias("_p", "gram"))
-    return rows.filter(F.col("_p").isNotNull()).select(*keys, "gram", (F.col("_p") % F.col("_places")).alias("at"))
+    size = F.size("_h")
+    none = F.array().cast("array<struct<at:int,gram:bigint>>")
+
+    def seen(k: int, mask, fits: Column) -> Column:
+        return F.when(fits, F.transform(F.sequence(F.lit(0), size - (mask[-1] + 1)), lambda i: F.struct(
+            i.alias("at"), F.xxhash64(F.lit(k), *[F.get("_h", i + p) for p in mask]).alias("gram")))).otherwise(none)
+
+    grams = [seen(k, mask, size >= SPAN) for k, mask in enumerate(FORMS)]
+    grams += [seen(-n, range(n), size == n if whole else size >= n) for n in short]
+    rows = rows.select(*keys, F.inline_outer(F.concat(*grams)))
+    return rows.filter(F.col("gram").isNotNull()).select(*keys, "gram", "at")
 
 
 def _small(rows: DataFrame, n: int) -> DataFrame:
@@ -61,16 +70,19 @@ def contaminated(
     document at which the texts overlap), ``overlap`` (tokens laid side by side)
     and ``same`` (equal ones), for the best alignment. A pair counts if a seed
     hits and, on its alignment, ``window`` tokens in a row (the whole item, if
-    it is shorter) have ``similarity`` of them equal. Items of fewer than eleven
-    tokens are too short to tell from chance and match nothing; null and empty
+    it is shorter) have ``similarity`` of them equal. With the given window and
+    similarity no such pair is without a seed. Items of fewer than eleven tokens
+    count only where all their tokens stand in a row; null and empty
     texts match nothing; repeated rows count once, a null id is an id of its
     own; an empty table gives none. Every token of every document is looked at.
     """
     docs = tracks.select("track_id", "document", F.xxhash64("document").alias("digest"))
     items = checkpoint(benchmark.select(
         "item_id", F.xxhash64("text").alias("item_digest"), tokens(F.col("text")).alias("_h")).distinct())
-    seeds = checkpoint(_seeds(items, ["item_id", "item_digest"]).withColumnRenamed("at", "item_at"))
-    found = _seeds(docs.select("track_id", "digest", tokens(F.col("document")).alias("_h")), ["track_id", "digest"])
+    few = items.select(F.size("_h").alias("n")).filter(F.col("n").between(1, SPAN - 1)).distinct()
+    short = sorted(r.n for r in few.collect())
+    seeds = checkpoint(_seeds(items, ["item_id", "item_digest"], short, whole=True).withColumnRenamed("at", "item_at"))
+    found = _seeds(docs.select("track_id", "digest", tokens(F.col("document")).alias("_h")), ["track_id", "digest"], short)
     hits = found.join(_small(seeds, seeds.count()), "gram").select(
         "track_id", "digest", "item_id", "item_digest", (F.col("at") - F.col("item_at")).alias("shift"))
     hits = checkpoint(hits.distinct().groupBy("track_id", "digest", "item_id", "item_digest").agg(
