@@ -95,4 +95,56 @@ select doc_id, size, source_size, target, cast(passes * size + greatest(
 from placed
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op9_quality_rules": OP9, "op10_source_mix": OP10}
+OP11 = """
+with doc as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+    sha256('1:' || coalesce(cast(doc_id as varchar), '')) as d
+  from documents),
+drawn as (
+  select *, len(u) as n, cast('0x' || d[1:8] as bigint) as h1, cast('0x' || d[9:16] as bigint) as h2,
+    cast('0x' || d[17:24] as bigint) as h3, cast('0x' || d[25:32] as bigint) as h4 from doc),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn),
+part as (
+  select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s
+  from cut)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m
+    else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from part
+"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP12 = f"""
+with doc as (
+  select row_number() over () as k, doc_id, regexp_extract_all(translate(text, {_LOWER}), '{TERM}') as u
+  from documents where text is not null),
+total as (select count(*) filter (len(u) > 0) as big_n, cast(sum(len(u)) as bigint) as l from doc),
+tf as (select k, x as term, count(*) as tf from (select k, unnest(u) as x from doc) group by k, x),
+df as (select term, count(*) as df from tf group by term),
+item as (
+  select i, item_id, x as term, count(*) as reps
+  from (select i, item_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '{TERM}')) as x
+    from (select row_number() over () as i, item_id, text from (select distinct item_id, text from benchmark)))
+  group by i, item_id, x),
+scored as (
+  select i, item_id, doc_id, tf.k, cast(sum(reps * cast(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) as bigint)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(u) * big_n) // l)))) as bigint) as score
+  from item join df using (term) join tf using (term) join doc on tf.k = doc.k, total
+  group by i, item_id, doc_id, tf.k),
+ranked as (
+  select *, row_number() over (partition by i order by score desc, doc_id nulls last) as r from scored where score > 0)
+select item_id, cast(r as integer) as rank, doc_id, score from ranked where r <= 20
+"""
+
+ORACLES = {
+    "op2_line_dedup": OP2, "op9_quality_rules": OP9, "op10_source_mix": OP10, "op11_fill_in_middle": OP11,
+    "op12_lexical_search": OP12,
+}

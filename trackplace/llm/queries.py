@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from trackplace.llm.boilerplate import dedup_lines
 from trackplace.llm.decontaminate import contaminated
+from trackplace.llm.infill import fill_in_middle, restored
 from trackplace.llm.languages import identify_languages
 from trackplace.llm.mix import mixed_documents
 from trackplace.llm.near import near_duplicates
+from trackplace.llm.pages import extract_text
 from trackplace.llm.personal import find_personal
 from trackplace.llm.quality_rules import judge_tracks
 from trackplace.llm.rule_ensemble import score_quality
+from trackplace.llm.search import search_tracks
 from trackplace.llm.secrets import scan_secrets
 from trackplace.llm.urls import Rule, filter_urls
 
@@ -84,6 +87,23 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(mixed_documents(_tracks(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    rows = _back(fill_in_middle(_tracks(spark, sf_dir)))
+    return rows.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _back(search_tracks(_tracks(spark, sf_dir), _table(spark, sf_dir, "benchmark")))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -95,4 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_html_extraction": op13_html_extraction,
 }
