@@ -33,17 +33,22 @@ def views():
     return {1: walk, 2: crowd, 3: lattice, 4: [(0, 1.0, 1.0)]}
 
 
-@pytest.mark.parametrize("limit,candidates,tile", [(None, 256, 64), (50, 4, 64), (50, 64, 3)])
-def test_agrees_with_points_taken_one_by_one(spark, monkeypatch, limit, candidates, tile):
+@pytest.mark.parametrize("candidates,tile", [(8, 8), (1, 3), (3, 16)])
+def test_agrees_with_points_taken_one_by_one(spark, monkeypatch, candidates, tile):
     monkeypatch.setattr("trackplace.operators.declutter.TILE", tile)
     rows = [(v, *p) for v, points in views().items() for p in points]
-    out = declutter(spark.createDataFrame(rows, SCHEMA), 30.0, ["view"], limit=limit, candidates=candidates)
+    rows += [(1, 9999, None, 1.0), (5, 0, None, None)]
+    out = declutter(spark.createDataFrame(rows, SCHEMA), 30.0, ["view"], candidates=candidates)
     got = {}
     for r in out.collect():
         got.setdefault(r.view, {})[r.ord] = r["count"]
     assert got == {v: one_by_one(points, 30.0) for v, points in views().items()}
 
 
+def test_no_points_none_kept(spark):
+    assert declutter(spark.createDataFrame([], SCHEMA), 30.0, ["view"]).count() == 0
+
+
 def test_grid_stands_for_every_point(spark):
     rows = [(v, *p) for v, points in views().items() for p in points]
     out = declutter_grid(spark.createDataFrame(rows, SCHEMA), 30.0, ["view"])

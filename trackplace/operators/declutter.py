@@ -2,137 +2,128 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackplace.operators.ordered import Keyed, row_count
 from trackplace.session import checkpoint
 
 AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 # Earliest open points of each cell that one round looks at, and cells along the
-# side of the tile that one task settles.
-CANDIDATES = 64
-TILE = 64
+# side of the tile whose points are decided together.
+CANDIDATES = 8
+TILE = 8
+# Rounds after which what they kept is written to one table.
+ROUNDS_PER_TABLE = 16
 
 
 def declutter(
-    points: DataFrame, spacing: float, view: list[str], order: str = "ord",
-    limit: int | None = None, candidates: int = CANDIDATES,
+    points: DataFrame, spacing: float, view: list[str], order: str = "ord", candidates: int = CANDIDATES,
 ) -> DataFrame:
     """Keeps, in the given order, each point with no kept one closer than
     ``spacing`` on both axes, and counts every other on the kept one nearest to
     it at its turn. ``points(view.., ord, x, y)``; ``ord`` is unique in a view.
 
-    Returns ``view.., ord, x, y, count`` of the kept points. Which point is kept
-    depends on the ones before it, so a view that fits a task is gone through in
-    order. In a larger one, rounds settle a few candidates per cell (two points
-    of a cell are always too close, so a cell keeps one at most); counting the
-    rest is then a join with the nine cells around each.
+    Returns ``view.., ord, x, y, count`` of the kept points; a point without a
+    position is on no map. Which point is kept depends on the ones before it.
+    Rounds of joins settle that for all views at once: the earliest open points
+    of a cell are kept where no kept one is too close and no open one that comes
+    before them lies in the nine cells around, and what a kept point is too
+    close to is open no longer. Two points of a cell are always too close, so a
+    cell keeps one at most, and counting the rest is a join with the nine cells
+    around each. No view has to fit a task; there are as many rounds as decisions
+    wait for one another across tiles.
     """
-    cells = points.select(
+    cells = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
         *view, order, "x", "y",
         F.floor(F.col("x") / spacing).cast("long").alias("cx"),
         F.floor(F.col("y") / spacing).cast("long").alias("cy"),
     )
-    keyed = Keyed(cells, view, limit)
-    schema = points.select(*view, order, "x", "y").withColumn("count", F.lit(0).cast("long")).schema
-    thinned = keyed.plain.groupBy(*view).applyInPandas(_in_order(view, order, spacing), schema)
-    if keyed.long is None:
-        return thinned
-    large = checkpoint(keyed.long)
-    kept = _kept(large, spacing, view, order, candidates, limit)
-    return thinned.unionByName(_counted(large, kept, spacing, view, order))
-
-
-def _in_order(view: list[str], order: str, spacing: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        kept: dict[tuple[int, int], int] = {}
-        counts: dict[int, int] = {}
-        x, y = pdf["x"].tolist(), pdf["y"].tolist()
-        for i, (cx, cy) in enumerate(zip(pdf["cx"].tolist(), pdf["cy"].tolist())):
-            nearest, distance = None, spacing
-            for dx, dy in AROUND:
-                k = kept.get((cx + dx, cy + dy))
-                if k is not None:
-                    d = max(abs(x[k] - x[i]), abs(y[k] - y[i]))
-                    if d < distance:
-                        nearest, distance = k, d
-            if nearest is None:
-                kept[cx, cy] = i
-                counts[i] = 1
-            else:
-                counts[nearest] += 1
-        out = pdf.iloc[list(counts)][[*view, order, "x", "y"]].copy()
-        out["count"] = list(counts.values())
-        return out
-
-    return run
-
-
-def _kept(
-    large: DataFrame, spacing: float, view: list[str], order: str, candidates: int, limit: int | None
-) -> DataFrame:
+    cells = checkpoint(cells)
+    kept = _kept(cells, spacing, view, order, candidates)
+    return _counted(cells, kept, spacing, view, order)
+
+
+def _kept(cells: DataFrame, spacing: float, view: list[str], order: str, candidates: int) -> DataFrame:
     cell = [*view, "cx", "cy"]
-    still_open, kept = large, large.limit(0)
+    still_open, kept, rounds = cells, cells.limit(0), 0
     while True:
-        listed = Keyed(still_open, cell, limit).running([order], _k=row_count())
-        listed = listed.totals(_of=F.count(F.lit(1))).rows().filter(F.col("_k") <= candidates)
-        listed = listed.withColumn("more", F.col("_of") > candidates).drop("_k", "_of")
-        settled = checkpoint(
-            _tiled(listed).groupBy(*view, "tx", "ty").applyInPandas(_settle(order, spacing), large.schema)
-        )
+        settled = checkpoint(_settled(_listed(still_open, cell, order, candidates), spacing, view, order))
         if settled.isEmpty():
             return kept
-        kept = kept.unionByName(settled)
+        kept, rounds = kept.unionByName(settled), rounds + 1
+        if rounds % ROUNDS_PER_TABLE == 0:
+            kept = checkpoint(kept)
         near = _around(settled, cell, order, still_open, spacing).select(*view, order).distinct()
         still_open = checkpoint(still_open.join(near, [*view, order], "left_anti"))
 
 
-def _tiled(listed: DataFrame, side: int | None = None) -> DataFrame:
-    """Candidates by tile of ``TILE`` x ``TILE`` cells, so that no view has to fit
-    a task. A cell at a tile's edge is also sent to the tiles beside it, as
-    ``foreign``: they may not settle it, but have to wait for it."""
-    side = side or TILE
+def _listed(still_open: DataFrame, cell: list[str], order: str, candidates: int) -> DataFrame:
+    """The earliest open points of each cell; ``cut`` is the last of them where
+    there are more. Every task passes on so many of a cell at most."""
+    turn = F.row_number().over(Window.partitionBy(*cell).orderBy(order))
+    first = still_open.withColumn("_k", turn).filter(F.col("_k") <= candidates)
+    return first.withColumn("cut", F.col("_k") == candidates).drop("_k")
+
+
+def _tiled(listed: DataFrame, side: int) -> DataFrame:
+    """Candidates by tile of ``side`` x ``side`` cells. A cell at a tile's edge is
+    also sent to the tiles beside it, as ``foreign``: they may not settle it, but
+    have to wait for it. ``slot`` numbers the cells of a tile and of the rim around it."""
     tile = lambda c, d: F.floor((F.col(c) + d) / side).cast("long")
     tiles = F.array_distinct(F.array(*[
         F.struct(tile("cx", dx).alias("tx"), tile("cy", dy).alias("ty")) for dx, dy in AROUND]))
     spread = listed.withColumn("_t", F.explode(tiles)).withColumns({"tx": F.col("_t.tx"), "ty": F.col("_t.ty")})
+    inside = [F.col(c) - F.col(t) * side + 1 for c, t in (("cx", "tx"), ("cy", "ty"))]
     home = (F.col("tx") == tile("cx", 0)) & (F.col("ty") == tile("cy", 0))
-    return spread.drop("_t").withColumn("foreign", ~home)
-
-
-def _settle(order: str, spacing: float):
-    """One round over the candidates of a tile, earliest first. A candidate is
-    kept when no kept one is too close and nothing undecided around it, listed
-    or not, in this tile or beside it, comes before it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        spots = list(zip(pdf["cx"].tolist(), pdf["cy"].tolist()))
-        turn, x, y = pdf[order].tolist(), pdf["x"].tolist(), pdf["y"].tolist()
-        # From which turn on a cell may hold a point this round knows nothing of.
-        unknown = {s: t for s, t, more in zip(spots, turn, pdf["more"].tolist()) if more}
-        foreign = pdf["foreign"].tolist()
-        for i, (s, away) in enumerate(zip(spots, foreign)):
-            if away:
-                unknown[s] = min(turn[i], unknown.get(s, turn[i]))
-        kept: dict[tuple[int, int], int] = {}
-        for i, (cx, cy) in enumerate(spots):
-            if foreign[i]:
-                continue
-            beside = [(cx + dx, cy + dy) for dx, dy in AROUND]
-            held = [kept[s] for s in beside if s in kept]
-            if any(max(abs(x[k] - x[i]), abs(y[k] - y[i])) < spacing for k in held):
-                continue
-            if any(unknown.get(s, turn[i]) < turn[i] for s in beside if s not in kept):
-                unknown[cx, cy] = min(turn[i], unknown.get((cx, cy), turn[i]))
-            else:
-                kept[cx, cy] = i
-        return pdf.iloc[list(kept.values())].drop(columns=["more", "tx", "ty", "foreign"])
-
-    return run
+    return spread.drop("_t").withColumns({
+        "foreign": ~home, "slot": (inside[0] * (side + 2) + inside[1]).cast("int")})
+
+
+def _settled(
+    listed: DataFrame, spacing: float, view: list[str], order: str, side: int | None = None,
+) -> DataFrame:
+    """What one round keeps. Each tile folds over its candidates in order, at most
+    ``CANDIDATES`` per cell. A candidate is kept when no kept one is too close and
+    nothing undecided around it, listed or not, in this tile or beside it, comes
+    before it; ``waits`` says from which turn on a cell is undecided."""
+    side = side or TILE
+    slots = (side + 2) ** 2
+    fields = {f.name: f.dataType.simpleString() for f in listed.schema}
+    point = f"struct<turn:{fields[order]},x:{fields['x']},y:{fields['y']}>"
+    beside = F.array(*[F.lit(dx * (side + 2) + dy) for dx, dy in AROUND])
+    put = lambda values, slot, new: F.transform(values, lambda v, i: F.when(i == slot, new).otherwise(v))
+
+    def fold(state: Column, c: Column) -> Column:
+        def too_close(d):
+            k = F.get(state["kept"], c["slot"] + d)
+            return F.coalesce(F.greatest(F.abs(k["x"] - c["x"]), F.abs(k["y"] - c["y"])) < spacing, F.lit(False))
+
+        def undecided(d):
+            at = c["slot"] + d
+            return F.get(state["kept"], at).isNull() & F.coalesce(F.get(state["waits"], at) < c["turn"], F.lit(False))
+
+        says = F.when(c["foreign"], "wait").when(F.exists(beside, too_close), "drop").when(
+            F.exists(beside, undecided), "wait").otherwise("keep")
+
+        def apply(word: Column) -> Column:
+            new = F.struct(c["turn"].alias("turn"), c["x"].alias("x"), c["y"].alias("y"))
+            first = ((word == "wait") | c["cut"]) & F.get(state["waits"], c["slot"]).isNull()
+            return F.struct(
+                F.when(word == "keep", put(state["kept"], c["slot"], new)).otherwise(state["kept"]).alias("kept"),
+                F.when(first, put(state["waits"], c["slot"], c["turn"])).otherwise(state["waits"]).alias("waits"))
+
+        return F.transform(F.array(says), apply)[0]
+
+    queue = F.array_sort(F.collect_list(F.struct(F.col(order).alias("turn"), "x", "y", "slot", "foreign", "cut")))
+    tiles = _tiled(listed, side).groupBy(*view, "tx", "ty").agg(queue.alias("queue"))
+    empty = F.struct(
+        F.array_repeat(F.lit(None).cast(point), slots).alias("kept"),
+        F.array_repeat(F.lit(None).cast(fields[order]), slots).alias("waits"))
+    kept = F.aggregate("queue", empty, fold, lambda state: F.filter(state["kept"], lambda k: k.isNotNull()))
+    found = tiles.select(*view, F.explode(kept).alias("k")).select(
+        *view, F.col("k.turn").alias(order), F.col("k.x").alias("x"), F.col("k.y").alias("y"))
+    return found.withColumns({
+        "cx": F.floor(F.col("x") / spacing).cast("long"), "cy": F.floor(F.col("y") / spacing).cast("long")})
 
 
 def _around(

@@ -775,4 +775,24 @@ from numbered k join free f on f.name = k.name and f.k = k.k"""
     o["declutter_grid"] = _with(fixes) + (
         "select subject_id, min(track_id * 1000000 + seq) as ord, count(*) as count from fixes"
         " group by subject_id, floor(lon * 100000 / 64.0), floor(lat * 100000 / 64.0)")
+    o["declutter_exact"] = "with recursive " + _with(fixes).removeprefix("with ").rstrip() + """, pt as (
+  select *, floor(x / 64.0) as cx, floor(y / 64.0) as cy, row_number() over (partition by subject_id order by ord) as r
+  from (select subject_id, track_id * 1000000 + seq as ord, lon * 100000 as x, lat * 100000 as y from fixes)),
+walk as (
+  select subject_id, cast(0 as bigint) as r, [struct_pack(ord := ord, x := x, y := y, cx := cx, cy := cy)][1:0] as kept
+  from pt where r = 1
+  union all
+  select w.subject_id, p.r, case when len(list_filter(kept, lambda k: greatest(abs(k.x - p.x), abs(k.y - p.y)) < 64.0)) > 0
+    then kept else list_append(kept, struct_pack(ord := p.ord, x := p.x, y := p.y, cx := p.cx, cy := p.cy)) end
+  from walk w join pt p on p.subject_id = w.subject_id and p.r = w.r + 1),
+lead_pt as (
+  select subject_id, unnest(k) as k from (
+    select subject_id, arg_max(kept, r) as k from walk group by subject_id)),
+nearest as (
+  select p.subject_id, p.ord, arg_min(k.ord, struct_pack(d := greatest(abs(k.x - p.x), abs(k.y - p.y)),
+    sx := k.cx - p.cx, sy := k.cy - p.cy)) as lead_ord
+  from pt p join lead_pt l on p.subject_id = l.subject_id and k.ord <= p.ord
+    and greatest(abs(k.x - p.x), abs(k.y - p.y)) < 64.0
+  group by p.subject_id, p.ord)
+select subject_id, lead_ord as ord, count(*) as count from nearest group by subject_id, lead_ord"""
     return o
