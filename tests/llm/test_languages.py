@@ -70,6 +70,15 @@ def test_held_out_documents_are_told_apart(tracks_of):
     assert any(r.held_out for r in got.values()) and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_a_second_training_is_not_answered_by_the_first(tracks_of):
+    texts = {"aa": "river ridge sheep thing with the", "bb": "fluss grat schaf nicht und der"}
+    rows = [(i, texts["ab"[i % 2] * 2], "gps", "ab"[i % 2] * 2) for i in range(60)]
+    swapped = [(i, t, s, "bb" if k == "aa" else "aa") for i, t, s, k in rows]
+    for frame in (rows, swapped):
+        got = {r.track_id: r.lang_pred for r in identify_languages(tracks_of(frame)).collect()}
+        assert got == {i: k for i, _, _, k in frame}
+
+
 def test_odd_rows(odd, none, tracks_of):
     rows = identify_languages(odd).collect()
     assert len(rows) == 12 and identify_languages(none).count() == 0

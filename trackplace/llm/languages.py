@@ -10,6 +10,7 @@ values that depend on four bytes each.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -137,13 +138,14 @@ class Trees:
 
 
 @cache
-def _ready(stamp: int) -> dict:
+def _ready() -> dict:
     return {}
 
 
-def trees_of(stamp: int, shared) -> Trees:
-    """The trees of a broadcast model, built once per worker process."""
-    kept = _ready(0)
+def trees_of(stamp: str, shared) -> Trees:
+    """The trees of a broadcast model, built once per worker process. Workers
+    outlive a model, so ``stamp`` is a name that no two models share."""
+    kept = _ready()
     if kept.get("stamp") != stamp:
         kept.update(stamp=stamp, trees=Trees(*shared.value))
     return kept["trees"]
@@ -215,7 +217,7 @@ def identify_languages(
     are coded. ``held_out`` marks ids no model learns from.
     """
     model = training_counts(training if training is not None else tracks, docs_per_language)
-    stamp = hash((str(model[1]), sum(map(len, model[2])), sum(sum(c.values()) for c in model[2])))
+    stamp = uuid.uuid4().hex
     shared = tracks.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
