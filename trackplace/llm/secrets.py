@@ -1,8 +1,8 @@
 """Secret scan: spans in fixed forms, and strings that compress badly next to what they stand in.
 
-A candidate is compressed with the text around it and a list of identifiers as
-the dictionary. Words, paths and constants that occur there cost a few bytes;
-a random key costs nearly its whole length.
+The text around a candidate is compressed with it and without it, primed with a
+dictionary of identifiers and parts of words. Words, paths and constants made of
+what occurs there cost a few bytes more; a random key costs nearly its whole length.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import zstandard
@@ -33,7 +34,7 @@ SENSITIVE = re.compile(
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 48
 CONTEXT = 512
-NOVELTY = 0.85
+NOVELTY = 0.75
 # Identifiers that often stand in code and settings.
 IDENTIFIERS = (
     "abstract access address argument array assert async authorization await base64 boolean break buffer bytes"
@@ -47,6 +48,15 @@ IDENTIFIERS = (
     " your_api_key_here changeme example placeholder 0123456789abcdef ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     " abcdefghijklmnopqrstuvwxyz 00000000000000000000000000000000"
 )
+# Parts that long words are often made of.
+WORD_PARTS = (
+    "tion sion ment ness able ible ance ence ings ations ated ates ating ology ography ectively ously ality ements"
+    " ership hood ward wise fully less ism ists ization izing ized ically icals ogical ional inter trans super under"
+    " counter over anti multi auto micro electro photo micro the and for with that this from have not are you can"
+    " was one our out when what which their there about other more some time into than then them these only"
+    " application authentication authorization certificate configuration controller directory environment"
+    " international manager parameters provider project required service source template version"
+)
 OUT = (
     "track_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, novelty double"
 )
@@ -61,21 +71,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(start, end, KINDS[kind]) for start, kind, end in sorted(found)]
 
 
-def novelty(text: str, start: int, end: int, context: int = CONTEXT) -> float:
-    """Compressed bytes the candidate adds per byte, given what surrounds it."""
-    around = text[max(0, start - context):start] + "\n" + text[end:end + context]
+@cache
+def _coder() -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict(
-        (IDENTIFIERS + "\n" + around).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    coder = zstandard.ZstdCompressor(
+        f"{WORD_PARTS} {IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(
         level=19, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    candidate = text[start:end].encode("utf-8", "replace")
-    return (len(coder.compress(candidate)) - len(coder.compress(b""))) / len(candidate)
 
 
-def _mixed(candidate: str) -> bool:
-    """Digits and letters in turn, as keys have and words do not."""
-    digits = sum(c.isdigit() for c in candidate)
-    return digits * 8 >= len(candidate) and digits < len(candidate)
+def novelty(text: str, start: int, end: int, context: int = CONTEXT) -> float:
+    """Compressed bytes the candidate adds per byte to what surrounds it."""
+    before, after = text[max(0, start - context):start], text[end:end + context]
+    size = lambda t: len(_coder().compress(t.encode("utf-8", "replace")))
+    candidate = text[start:end]
+    return (size(before + candidate + after) - size(before + after)) / len(candidate.encode("utf-8", "replace"))
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], least: float) -> list[tuple[int, int, str, float]]:
@@ -90,7 +99,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]], least: float) -> li
             while end < len(text) and CANDIDATE.match(text[end] * 16):
                 end += 1  # the search window may have cut it
             done = max(done, end)
-            if any(s < end and start < e for s, e, _ in base) or not _mixed(text[start:end]):
+            if any(s < end and start < e for s, e, _ in base):
                 continue
             value = novelty(text, start, end)
             if value >= least:
