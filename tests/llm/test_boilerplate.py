@@ -7,7 +7,7 @@ from trackplace.llm.boilerplate import dedup_lines
 def brute(rows, least=3):
     lines = [(i, s or "\0", at, x.strip(" \t\n\x0b\x0c\r")) for i, (_, t, s) in enumerate(rows) if t is not None
              for at, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(re.findall(r"[^\x20\x09-\x0D]+", x[3])) >= 4]
+    lines = [x for x in lines if re.search(r"[^\x20\x09-\x0D]", x[3])]
     sites, first = {}, {}
     for i, s, at, x in lines:
         sites.setdefault(x, set()).add(s)
@@ -34,9 +34,9 @@ def test_lists_too_long_to_send_change_nothing(tracks_of, monkeypatch):
 
 
 def test_wide_spread_is_told_from_the_sketch(tracks_of):
-    rows = [(d, f"All rights reserved by us\nonly here {d} and there", f"site{d}") for d in range(500)]
+    rows = [(d, f"All rights reserved by us\nNotice\nonly here {d} and there", f"site{d}") for d in range(500)]
     out = {r.track_id: (r.document, r.n_removed) for r in dedup_lines(tracks_of(rows)).collect()}
-    assert out[0][0].startswith("All rights") and all(n == (d > 0) for d, (_, n) in out.items())
+    assert out[0][0].startswith("All rights") and all(n == 2 * (d > 0) for d, (_, n) in out.items())
 
 
 def test_threshold_is_exact(tracks_of):

@@ -14,7 +14,7 @@ from trackplace.llm.words import lines, trimmed, words
 from trackplace.session import checkpoint
 
 LEAST_SOURCES = 3
-LEAST_WORDS = 4
+LEAST_WORDS = 1
 LOG_REGISTERS = 10
 # Lines sent to every task at most, and tasks that share a line beyond that.
 BROADCAST_LINES = 200_000

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from trackplace.llm.boilerplate import LEAST_SOURCES, LEAST_WORDS
-from trackplace.llm.mix import MOST_PASSES, WEIGHTS
-from trackplace.llm.quality_rules import STOP_WORDS, SYMBOLS, WINDOW
-
+# Fixed values, written out here so that a changed constant does not change both sides.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -18,10 +15,10 @@ line as (
   select k, doc_id, digest, site, unnest(range(1, len(ls) + 1)) as pos,
     unnest(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) as bare
   from doc where text is not null),
-long_line as (select * from line where len(regexp_extract_all(bare, '{WORD}')) >= {LEAST_WORDS}),
+long_line as (select * from line where len(regexp_extract_all(bare, '{WORD}')) >= 1),
 spread as (
   select bare, count(distinct site) as sites, min(struct_pack(doc_id := doc_id, digest := digest, pos := pos)) as f
-  from long_line group by bare having count(distinct site) >= {LEAST_SOURCES}),
+  from long_line group by bare having count(distinct site) >= 3),
 gone as (
   select l.k, list(l.pos) as gone_at, count(*) as n from long_line l join spread s on l.bare = s.bare
   where not (l.doc_id is not distinct from s.f.doc_id and l.digest = s.f.digest and l.pos = s.f.pos) group by l.k)
@@ -31,7 +28,12 @@ select doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, coalesce(n, 0) a
 from doc left join gone on doc.k = gone.k
 """
 
-_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP_WORDS = (
+    "the of and to in is that for with on be by this as are was it an or from der die und in den von zu das"
+    " mit sich des auf für ist im dem nicht ein eine als de la le et les des en un du une que est pour qui dans"
+    " a par plus pas au el los y del se las por con para su al lo como o si sobre este"
+)
+_STOPS = ", ".join(f"'{w}'" for w in _STOP_WORDS.split())
 OP9 = f"""
 with doc as (
   select row_number() over () as k, doc_id, coalesce(text, '') as t,
@@ -39,16 +41,16 @@ with doc as (
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) as ls
   from documents),
 win as (
-  select k, i, w[i:i + {WINDOW - 1}] as g
-  from (select k, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from doc)),
+  select k, i, w[i:i + 4] as g
+  from (select k, w, unnest(range(1, len(w) - 3)) as i from doc)),
 rep as (select k, i from (select k, i, count(*) over (partition by k, g) as n from win) where n > 1),
 cover as (
-  select k, sum(least(coalesce(nxt - i, {WINDOW}), {WINDOW})) as n
+  select k, sum(least(coalesce(nxt - i, 5), 5)) as n
   from (select k, i, lead(i) over (partition by k order by i) as nxt from rep) group by k),
 m as (
   select doc_id, cast(len(w) as bigint) as n_words,
     cast(length(regexp_replace(t, '{SPACE}', '', 'g')) as bigint) as word_chars,
-    cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as bigint) as n_symbols,
+    cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
     length(t) - length(replace(t, '!', '')) as n_shouts,
     length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as n_upper,
     len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') in ({_STOPS}))) as n_stops,
@@ -63,7 +65,6 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-_WEIGHTS = "[" + ", ".join(map(str, WEIGHTS)) + "]"
 OP10 = f"""
 with doc as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size,
@@ -71,17 +72,17 @@ with doc as (
   from documents),
 sums as (
   select source, cast(sum(size) as bigint) as source_size,
-    {_WEIGHTS}[(row_number() over (order by encode(source) nulls last) - 1) % {len(WEIGHTS)} + 1] as w
+    [5, 2, 1][(row_number() over (order by encode(source) nulls last) - 1) % 3 + 1] as w
   from doc group by source),
 levels as (
-  select *, {MOST_PASSES} * source_size / w as lim,
-    ((sum(source_size) over ()) - coalesce(sum({MOST_PASSES} * source_size) over (
-      order by {MOST_PASSES} * source_size / w, encode(source) nulls last rows between unbounded preceding and 1 preceding), 0))
-    / sum(w) over (order by {MOST_PASSES} * source_size / w, encode(source) nulls last
+  select *, 3 * source_size / w as lim,
+    ((sum(source_size) over ()) - coalesce(sum(3 * source_size) over (
+      order by 3 * source_size / w, encode(source) nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (order by 3 * source_size / w, encode(source) nulls last
       rows between current row and unbounded following) as level
   from sums),
 goal as (
-  select source, source_size, case when lim <= level or share is null then cast({MOST_PASSES} * source_size as double)
+  select source, source_size, case when lim <= level or share is null then cast(3 * source_size as double)
     else share * w end as target
   from levels, (select min(struct_pack(lim := lim, s := encode(source), level := level)).level as share
     from levels where lim > level) x),
