@@ -2,7 +2,8 @@ import random
 
 import xxhash
 
-from trackplace.llm.near import BKTree, fingerprint, near_duplicates, similar_documents, tree_links
+from trackplace.llm.near import (
+    BKTree, distinct_documents, fingerprint, near_duplicates, similar_documents, tree_links)
 
 
 def brute_fingerprint(text):
@@ -125,3 +126,18 @@ def test_similar_odd_rows(odd, none):
     assert len(rows) == 12 and similar_documents(none).count() == 0
     by = {r.track_id: r.component_id for r in rows}
     assert {by[i] for i in (2, 3, 4)} == {2} and by[None] == 5
+
+
+def test_one_document_of_a_group_stays(spark, odd, none):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (3, text, "b"), (3, text, "a"), (3, text, "a"), (4, text.replace("w59", "x"), "a"), (3, "another text of id three", "a"),
+        (None, text, "a"), (None, "a text without an id", "a"), (None, "a text without an id", "a"), (7, None, "a"), (8, " ", "a"),
+        (9, "alone", "z"),
+    ]
+    docs = spark.createDataFrame(rows, "track_id long, document string, source string").repartition(3)
+    got = sorted(map(tuple, distinct_documents(docs).collect()), key=str)
+    assert got == sorted([rows[1], rows[4], rows[6], rows[8], rows[10]], key=str)
+    kept = distinct_documents(odd)
+    assert kept.columns == odd.columns and distinct_documents(none).count() == 0
+    assert sorted(r.track_id or 0 for r in kept.collect()) == [1, 2, 5, 6, 7, 8, 9]

@@ -4,10 +4,10 @@ import os
 
 import duckdb
 import pytest
+from test_near import brute_similar
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from trackplace.llm.near import near_duplicates
 from trackplace.llm.oracles import ORACLES
 
 SMALL = "/root/testdata/sf0.001"
@@ -42,8 +42,9 @@ def test_stages_one_by_one(spark):
     lines = corpus_pipeline.line_dedup(spark, known, SMALL)
     assert lines.columns == COLUMNS and lines.count() == known.count()
     near = corpus_pipeline.near_dedup(spark, lines, SMALL)
-    groups = near_duplicates(lines.selectExpr("doc_id as track_id", "text as document"))
-    assert near.count() == groups.select("component_id").distinct().count()
+    rows = sorted((r.doc_id, r.text or "") for r in lines.collect())
+    groups = brute_similar([text for _, text in rows])
+    assert sorted(r.doc_id for r in near.collect()) == sorted(rows[i][0] for i in set(groups))
     clean = corpus_pipeline.decontamination(spark, near, SMALL)
     texts = [r.text.lower() for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     held = [r for r in near.collect() if any(t in r.text.lower() for t in texts)]

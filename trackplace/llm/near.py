@@ -35,6 +35,7 @@ PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 _PIECE = 1 << 16
 # Groups by similarity: words of a shingle and the least Jaccard similarity.
 SET_SHINGLE = 5
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SIMILARITY = 0.8
 # Documents that share a first shingle and are compared pair by pair; where more
 # do, they are compared with one of them first.
@@ -237,11 +238,21 @@ def _grouped(rows: DataFrame, values: DataFrame, tied: DataFrame) -> DataFrame:
 
 
 def shingle_set(text: str | None, shingle: int = SET_SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles in ascending order; none for a text without words."""
+    """Hashes of the distinct shingles in ascending order; none for a text without words.
+
+    Each word is hashed once; a shingle mixes the hashes of its words in turn."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = zip(*[words[k:] for k in range(shingle)], strict=False) if len(words) >= shingle else [words] if words else []
+    if not words:
+        return np.zeros(0, np.int64)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(g), SEED) for g in grams], np.uint64).view(np.int64))
+    of_words = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    width = min(shingle, len(words))
+    n = len(words) - width + 1
+    grams = np.full(n, width, np.uint64)
+    for k in range(width):
+        grams = (grams ^ (grams >> np.uint64(29))) * MIX + of_words[k:k + n]
+    grams = (grams ^ (grams >> np.uint64(32))) * MIX
+    return np.unique((grams ^ (grams >> np.uint64(29))).view(np.int64))
 
 
 def _key(grams: np.ndarray) -> bytes:
@@ -261,15 +272,16 @@ def _sets(tracks: DataFrame, shingle: int) -> DataFrame:
 
 
 def _set_names(tracks: DataFrame, shingle: int) -> DataFrame:
-    """``track_id, fp``: the name of each document's shingle set."""
+    """``track_id, digest, fp``: 64 bits of each document and the name of its shingle set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({
-                "track_id": batch["track_id"].astype("Int64").values,
+                "track_id": batch["track_id"].astype("Int64").values, "digest": batch["digest"],
                 "fp": [_key(shingle_set(t, shingle)) for t in batch["document"]]})
 
-    return track_documents(tracks).mapInPandas(run, "track_id long, fp binary")
+    rows = tracks.select("track_id", "document", F.xxhash64("document").alias("digest"))
+    return rows.mapInPandas(run, "track_id long, digest long, fp binary")
 
 
 def _first_shingles(tracks: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -297,7 +309,7 @@ def _first_shingles(tracks: DataFrame, shingle: int, similarity: float) -> DataF
                     rows.append((_key(grams), len(grams), grams[np.lexsort((grams, rank))][:first]))
                 yield pd.DataFrame(rows, columns=["fp", "size", "first"])
 
-    firsts = track_documents(tracks).mapInPandas(run, "fp binary, size int, first array<long>")
+    firsts = checkpoint(track_documents(tracks).mapInPandas(run, "fp binary, size int, first array<long>"))
     # Most shingles stand in one document, so they are counted alone and first.
     often = firsts.select(F.explode("first").alias("gram")).groupBy("gram").agg(
         F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
@@ -415,7 +427,40 @@ def similar_documents(
     a shorter text is one shingle, and texts without words are alike. Every pair
     that similar is found and compared exactly; an empty table gives none.
     """
+    groups = _similar_groups(tracks, shingle, similarity, list_size)
+    return groups.select("track_id", F.col("component_id.track_id").alias("component_id"))
+
+
+def _similar_groups(tracks: DataFrame, shingle: int, similarity: float, list_size: int) -> DataFrame:
+    """``track_id, digest`` of each row; ``component_id`` is the first of its group:
+    ``none`` (it has no id), ``track_id`` and ``digest``."""
     rows = checkpoint(_set_names(tracks, shingle))
-    values = checkpoint(rows.groupBy("fp").agg(F.min("track_id").alias("low")))
+    place = F.struct(F.col("track_id").isNull().alias("none"), "track_id", "digest")
+    values = checkpoint(rows.groupBy("fp").agg(F.min(place).alias("low")))
     tied = connected(similar_links(tracks, shingle, similarity, list_size))
-    return _grouped(rows, values, tied).select("track_id", "component_id")
+    return _grouped(rows, values, tied).select("track_id", "digest", "component_id")
+
+
+def distinct_documents(
+    tracks: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY, list_size: int = LIST_SIZE,
+) -> DataFrame:
+    """One track document of each group that ``similar_documents`` makes.
+
+    In: ``track_id, document`` and any columns that can be ordered, all of which
+    stay. Out: of each group the row of least ``track_id`` (null last), of those
+    with one id the row of least digest, of rows with equal id and text the one
+    whose other columns come first; so repeated rows leave one. Texts without
+    words, null among them, are one group. An empty table gives none.
+    """
+    groups = _similar_groups(tracks, shingle, similarity, list_size)
+    first = F.struct(F.col("track_id").isNull().alias("none"), "track_id", "digest")
+    led = groups.filter(first == F.col("component_id")).groupBy(
+        F.col("component_id.none").alias("_none"), F.coalesce("component_id.track_id", F.lit(0)).alias("_id"),
+        F.col("component_id.digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_copies"))
+    keyed = tracks.withColumns({
+        "_none": F.col("track_id").isNull(), "_id": F.coalesce("track_id", F.lit(0)), "_digest": F.xxhash64("document")})
+    kept = keyed.join(checkpoint(led), ["_none", "_id", "_digest"])
+    alone = kept.filter("_copies = 1").select(tracks.columns)
+    repeated = kept.filter("_copies > 1").groupBy("_none", "_id", "_digest").agg(
+        F.min(F.struct(*tracks.columns)).alias("_row")).select("_row.*")
+    return alone.unionByName(repeated.select(tracks.columns))
