@@ -80,6 +80,24 @@ def with_text(entries: DataFrame) -> DataFrame:
     return _dealt(entries).mapInPandas(read, f"{schema}, text string")
 
 
+def with_size(entries: DataFrame) -> DataFrame:
+    """Adds ``size``, in bytes; a file that is not there fails."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = []
+            for path in batch["path"]:
+                system, inside = fs.FileSystem.from_uri(path)
+                info = system.get_file_info(inside)
+                if info.type != fs.FileType.File:
+                    raise FileNotFoundError(path)
+                sizes.append(info.size)
+            yield batch.assign(size=pd.Series(sizes, dtype="int64").values)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
+    return _dealt(entries).mapInPandas(look, f"{schema}, size long")
+
+
 def with_digest(entries: DataFrame) -> DataFrame:
     """Adds ``digest``, the MD5 of the content, read in pieces."""
 

@@ -1,7 +1,9 @@
 """Recorded tracks out of GPX and KML files, whole folders at a time.
 
 A file is one row from reading to its last fix: segments are cut, sorted and
-numbered in the row's own arrays, so ingest needs no shuffle.
+numbered in the row's own arrays, so ingest needs no shuffle. A file of more
+than ``WHOLE_BYTES`` is read by byte ranges instead (``ranges``), with the same
+fixes.
 """
 
 from __future__ import annotations
@@ -10,13 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackplace.functions.times import parse_track_time
-from trackplace.sources.listing import list_entries, with_text
+from trackplace.session import checkpoint
+from trackplace.sources import ranges
+from trackplace.sources.listing import list_entries, with_size, with_text
 
 # Name space of what a recorder says about its own fixes; files of other
 # recorders are read by passing theirs.
 EVIDENCE_NS = "urn:trackplace:fix-evidence:1"
 # File types read.
 TRACK_EXTENSIONS = ["gpx", "kml"]
+# Largest file that is one row.
+WHOLE_BYTES = 32 << 20
 # What may stand before the root element, and what is no element inside it.
 _PROLOG = r"^(?:\s++|<\?[\s\S]*?\?>|<!--[\s\S]*?-->)*"
 _NO_ELEMENT = r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>"
@@ -39,9 +45,30 @@ _FIX = (
 
 
 def track_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, name, type, text`` of the track files below a folder (or of one file)."""
-    found = list_entries(spark, path).select("path", *_name_and_type())
-    return with_text(found.filter(F.col("type").isin(TRACK_EXTENSIONS)))
+    """``path, name, type, size`` of the track files below a folder (or of one file)."""
+    found = list_entries(spark, path).select("path", *_name_and_type(), "size")
+    return found.filter(F.col("type").isin(TRACK_EXTENSIONS))
+
+
+def _parsed_files(
+    files: DataFrame, zone: str, evidence_ns: str, whole_bytes: int, range_bytes: int,
+) -> tuple[DataFrame, DataFrame]:
+    """``path, name, problem`` of each of ``files``, and their fixes by ``path``."""
+    files = checkpoint(files)
+    small = parse_tracks(
+        with_text(files.filter(F.col("size") <= whole_bytes).select("path", "name")), zone, evidence_ns)
+    small_fixes = fixes_of(small.filter(F.col("problem").isNull()), ["path"])
+    said = small.select("path", "name", "problem")
+    large = files.filter(F.col("size") > whole_bytes)
+    if large.isEmpty():
+        return said, small_fixes
+    begun = checkpoint(ranges.begun_ranges(large, evidence_ns, _PART, range_bytes))
+    fixes = ranges.ranged_fixes(begun, zone, _number, _coordinates)
+    some = checkpoint(fixes).select(F.col("path").alias("_path")).distinct()
+    of_large = begun.filter("range_no = 0").select("path", "problem").join(large.select("path", "name"), "path")
+    of_large = of_large.join(some, F.col("path") == F.col("_path"), "left").select("path", "name", F.coalesce(
+        "problem", F.when(F.col("_path").isNull(), "no timestamped points")).alias("problem"))
+    return said.unionByName(of_large), small_fixes.unionByName(fixes)
 
 
 def _name_and_type() -> list[Column]:
@@ -184,8 +211,30 @@ def _kml_fix(zone: str, time: Column, at: Column, i: Column) -> Column:
     )
 
 
+def _outermost_tracks(text: Column) -> Column:
+    """The contents of every Track that is in no other one, those within it included."""
+    tag = r"<\/?(?:[\w.-]+:)?Track\b"
+    whole = rf"{tag}(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    # Text from a tag of a track to the next one.
+    parts = F.regexp_extract_all(text, F.lit(rf"{whole}(?:(?!{tag})[\s\S])*+"), F.lit(0))
+
+    def step(state: Column, part: Column) -> Column:
+        tag_alone = F.regexp_extract(part, f"^{whole}", 0)
+        change = F.when(F.startswith(part, F.lit("</")), -1).when(F.endswith(tag_alone, F.lit("/>")), 0).otherwise(1)
+        depth = F.greatest(state["depth"] + change, F.lit(0))
+        ends = (state["depth"] > 0) & (depth == 0)
+        body = F.when(depth == 0, F.lit("")).otherwise(F.concat(state["body"], part))
+        return F.struct(
+            depth.alias("depth"), body.alias("body"),
+            F.when(ends, F.concat(state["done"], F.array(state["body"]))).otherwise(state["done"]).alias("done"))
+
+    begin = F.struct(
+        F.lit(0).alias("depth"), F.lit("").alias("body"), F.array().cast("array<string>").alias("done"))
+    return F.aggregate(parts, begin, step, lambda state: state["done"])
+
+
 def _kml_segments(text: Column, zone: str) -> Column:
-    """Each track is a segment, and so is each run of stamped placemarks."""
+    """Each outermost track is a segment, and so is each run of stamped placemarks."""
 
     def track(body: Column) -> Column:
         pairs = F.arrays_zip(
@@ -199,7 +248,7 @@ def _kml_segments(text: Column, zone: str) -> Column:
         at = _coordinates(F.get(_elements(point, "coordinates"), F.lit(0)), ",")
         return _kml_fix(zone, stamp, at, i)
 
-    tracks = F.transform(_elements(text, "Track"), track)
+    tracks = F.transform(_outermost_tracks(text), track)
     # Placemarks with a track in them, and tracks outside of any, end a run.
     whole = F.regexp_extract_all(text, F.lit(
         r"<(?:[\w.-]+:)?(Placemark|Track)\b(?:[^>]*?\/>|[^>]*>[\s\S]*?<\/(?:[\w.-]+:)?\1\s*>)"), F.lit(0))
@@ -233,6 +282,8 @@ def read_tracks(
     folder: str | None = None,
     zone: str = "UTC",
     evidence_ns: str = EVIDENCE_NS,
+    whole_bytes: int = WHOLE_BYTES,
+    range_bytes: int = ranges.RANGE_BYTES,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(tracks, fixes, quarantine)`` of files named one by one and of a folder.
 
@@ -241,39 +292,51 @@ def read_tracks(
     ``quarantine`` with the reason. Named files are offered first, then the
     folder's by name.
     """
-    parts = []
+    files, fixes = None, None
+    for from_, found in ((0, track_files_named(spark, list(named)) if named else None),
+                         (1, track_files(spark, folder) if folder is not None else None)):
+        if found is None:
+            continue
+        said, rows = _parsed_files(found, zone, evidence_ns, whole_bytes, range_bytes)
+        said, rows = (x.withColumn("_from", F.lit(from_)) for x in (said, rows))
+        files = said if files is None else files.unionByName(said)
+        fixes = rows if fixes is None else fixes.unionByName(rows)
+    files, fixes = (x.withColumn("track_id", F.xxhash64("_from", "path")) for x in (files, fixes))
     if named:
-        files = parse_tracks(track_files_named(spark, list(named)), zone, evidence_ns)
-        fail = F.raise_error(F.concat(F.lit("Could not use "), "path", F.lit(": "), "problem"))
-        checked = F.when(F.col("problem").isNotNull(), fail.cast(f"array<{_FIX}>")).otherwise(F.col("points"))
-        parts.append(files.withColumn("points", checked).withColumn("_from", F.lit(0)))
-    if folder is not None:
-        parts.append(parse_tracks(track_files(spark, folder), zone, evidence_ns).withColumn("_from", F.lit(1)))
-    files = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    files = files.withColumn("track_id", F.xxhash64("_from", "path"))
+        # A named file that is no track has no fixes: one row of its own fails when fixes are read.
+        fail = F.raise_error(F.concat(F.lit("Could not use "), "path", F.lit(": "), "problem")).cast("bigint")
+        bad = files.filter((F.col("_from") == 0) & F.col("problem").isNotNull())
+        fixes = fixes.unionByName(bad.select("path", "_from", fail.alias("track_id")), allowMissingColumns=True)
     good = files.filter((F.col("_from") == 0) | F.col("problem").isNull())
     tracks = good.select("track_id", "name", "path", F.struct("_from", "name", "path").alias("offer_order"))
     quarantine = files.filter((F.col("_from") == 1) & F.col("problem").isNotNull())
-    return tracks, fixes_of(good, ["track_id"]), quarantine.select("path", "problem")
+    return tracks, fixes.select("track_id", *fixes.columns[1:-2]), quarantine.select("path", "problem")
 
 
 def track_files_named(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files named one by one, whatever their extension."""
-    named = spark.createDataFrame([(p,) for p in paths], "path string")
-    return with_text(named.select("path", *_name_and_type()))
+    named = with_size(spark.createDataFrame([(p,) for p in paths], "path string"))
+    return named.select("path", *_name_and_type(), "size")
 
 
-def read_gpx(spark: SparkSession, path: str, zone: str = "UTC", evidence_ns: str = EVIDENCE_NS) -> DataFrame:
-    """Fixes of all readable GPX files below ``path``."""
-    return _fixes_by_type(spark, path, "gpx", zone, evidence_ns)
+def read_gpx(
+    spark: SparkSession, path: str, zone: str = "UTC", evidence_ns: str = EVIDENCE_NS,
+    whole_bytes: int = WHOLE_BYTES, range_bytes: int = ranges.RANGE_BYTES,
+) -> DataFrame:
+    """Fixes of all readable GPX files below ``path``. Files of more than
+    ``whole_bytes`` are read by ranges of ``range_bytes``."""
+    return _fixes_by_type(spark, path, "gpx", zone, evidence_ns, whole_bytes, range_bytes)
 
 
-def read_kml(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
+def read_kml(
+    spark: SparkSession, path: str, zone: str = "UTC",
+    whole_bytes: int = WHOLE_BYTES, range_bytes: int = ranges.RANGE_BYTES,
+) -> DataFrame:
     """Fixes of all readable KML files below ``path``."""
-    return _fixes_by_type(spark, path, "kml", zone, EVIDENCE_NS)
+    return _fixes_by_type(spark, path, "kml", zone, EVIDENCE_NS, whole_bytes, range_bytes)
 
 
-def _fixes_by_type(spark, path, file_type, zone, evidence_ns) -> DataFrame:
+def _fixes_by_type(spark, path, file_type, zone, evidence_ns, whole_bytes, range_bytes) -> DataFrame:
     files = track_files(spark, path).filter(F.col("type") == file_type)
-    parsed = parse_tracks(files, zone, evidence_ns).withColumn("track_id", F.xxhash64("path"))
-    return fixes_of(parsed.filter(F.col("problem").isNull()), ["track_id"])
+    _, fixes = _parsed_files(files, zone, evidence_ns, whole_bytes, range_bytes)
+    return fixes.select(F.xxhash64("path").alias("track_id"), *fixes.columns[1:])
