@@ -98,8 +98,8 @@ def test_written_tracks_read_back(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     out = str(tmp_path / "out")
     documents.write_gpx(df, out, spark.createDataFrame([(7, "x & y")], "track_id long, name string"))
-    texts = spark.read.text(out, wholetext=True).select("value").collect()
-    assert len(texts) == 1 and "<name>x &amp; y</name>" in texts[0].value
+    texts = [(p.name, p.read_text()) for p in (tmp_path / "out").iterdir()]
+    assert len(texts) == 1 and texts[0][0] == "x & y.gpx" and "<name>x &amp; y</name>" in texts[0][1]
     parts = documents.gpx_documents(df, part_rows=3).orderBy("part_no").collect()
     assert [p.part_no for p in parts] == [0, 1, 2] and all(p.document.endswith("</gpx>\n") for p in parts)
     whole = documents.gpx_documents(df).selectExpr("track_id", "document as text", "'gpx' as type")
@@ -180,3 +180,44 @@ def test_photo_state_and_settings_tables(spark, tmp_path):
         "make string, model string, serial string, last_file string, import_no string, imported_at string, device string")
     kept = files.usable_import_state(states).collect()
     assert sorted((k.camera_key or "", k.import_no) for k in kept) == [("", 1), ("F_X", 7)]
+
+
+def test_a_folder_of_tracks_is_read_back(spark, tmp_path):
+    rows = [(t, i // 3, i + 1, i * 1_500_000, 46.0 + i / 1000, -7.25, 500.5, 4.5, None, None, "gps")
+            for t in (7, 8, 9, 10) for i in range(8)]
+    df = spark.createDataFrame(rows, "track_id long, segment_no long, seq long, t_us long, lat double, lon double, ele double,"
+                               " accuracy double, ele_accuracy double, speed double, source string")
+    names = spark.createDataFrame([(7, "a/b"), (8, "a_b"), (9, ".x"), (10, None)], "track_id long, name string")
+    for size in (None, 3):
+        out = str(tmp_path / f"out{size}")
+        documents.write_gpx(df, out, names, part_rows=size)
+        found, back, bad = tracks.read_tracks(spark, folder=out)
+        assert sorted(r.name for r in found.collect()) == ["10", "_x", "a_b", "a_b (2)"] and bad.count() == 0
+        by_name = back.join(found.select("track_id", "name"), "track_id").select("name", *df.columns[1:]).collect()
+        stems = {7: "a_b", 8: "a_b (2)", 9: "_x", 10: "10"}
+        assert sorted(map(tuple, by_name)) == sorted((stems[t], *r) for t, *r in rows)
+        assert sorted(map(tuple, tracks.read_gpx(spark, out).select(*df.columns[1:]).collect())) == sorted(r[1:] for r in rows)
+        files = sorted(p.name for p in (tmp_path / f"out{size}").iterdir())
+        assert len(files) == (4 if size is None else 12) and all(f.endswith(".gpx") for f in files)
+
+
+def test_no_attempt_is_seen_before_or_twice(spark, tmp_path):
+    from trackplace.sinks.folder import _FolderWriter, write_files
+
+    out = tmp_path / "out"
+    writer = _FolderWriter(str(out), True)
+    row = lambda f, d: type("R", (), {"file": f, "document": d})()
+    lost, kept = writer.write(iter([row("a.gpx", "1")])), writer.write(iter([row("a.gpx", "2"), row("b.gpx", None)]))
+    assert [p.name for p in out.iterdir() if not p.name.startswith(".")] == []
+    writer.commit([kept, None])
+    assert {p.name: p.read_text() for p in out.iterdir()} == {"a.gpx": "2", "b.gpx": ""} and lost.folder != kept.folder
+    writer = _FolderWriter(str(out), True)
+    writer.abort([writer.write(iter([row("a.gpx", "3")]))])
+    assert {p.name: p.read_text() for p in out.iterdir()} == {"a.gpx": "2", "b.gpx": ""}
+    files = spark.createDataFrame([("a.gpx", "4"), ("c.gpx", "5")], "file string, document string")
+    with pytest.raises(PySparkException):
+        write_files(files, str(out), replace=False)
+    write_files(files, str(out))
+    assert {p.name: p.read_text() for p in out.iterdir()} == {"a.gpx": "4", "b.gpx": "", "c.gpx": "5"}
+    with pytest.raises(PySparkException):
+        write_files(spark.createDataFrame([("../a.gpx", "4")], files.schema), str(out))

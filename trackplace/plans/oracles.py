@@ -549,7 +549,7 @@ from placed where placed is not null"""
         " ele_accuracy, speed from fixes")
 
     file_us = "(least(created_us, modified_us) // 1000) * 1000"
-    o["gpx_parts"] = o["gpx_roundtrip"]
+    o["gpx_parts"] = o["gpx_files"] = o["gpx_ranges"] = o["gpx_roundtrip"]
     o["gpx_waypoints"] = _with(fixes, """marks as (select *, seq % 4 = 0 as loose, seq % 10 = 1 as middle from fixes
     where seq % 4 = 0 or seq % 10 = 1)""", """placed as (select *, case when middle then 0
     when seq <= quantile_disc(seq, 0.5) over (partition by track_id) then 1 else 2 end as place from marks)""") + """

@@ -15,7 +15,8 @@ from trackplace.plans import placement
 from trackplace.plans.fixtures import ORIGIN_US, fixes, table, view
 from trackplace.sinks import documents
 from trackplace.sources import files
-from trackplace.sources.tracks import fixes_of, parse_tracks
+from trackplace.session import shared_folder
+from trackplace.sources.tracks import fixes_of, parse_tracks, read_tracks
 from trackplace.streaming import recorder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +386,28 @@ def gpx_parts(spark, sf):
     return fixes_of(parse_tracks(files), ["track_id"]).drop("source")
 
 
+def _filed_tracks(spark, sf, **sizes):
+    """The fixes written to files and read back, with the track number out of the file name."""
+    folder = shared_folder(spark, "tracks")
+    documents.write_gpx(fixes(spark, sf), folder, part_rows=sizes.pop("part_rows", None))
+    tracks, back, _ = read_tracks(spark, folder=folder, **sizes)
+    numbers = tracks.select("track_id", F.col("name").cast("long").alias("_number"))
+    back = back.join(numbers, "track_id").withColumn("track_id", F.col("_number"))
+    return back.drop("source", "_number")
+
+
+@query
+def gpx_files(spark, sf):
+    """A file per 30 fixes of a track, listed and read as tracks again."""
+    return _filed_tracks(spark, sf, part_rows=30)
+
+
+@query
+def gpx_ranges(spark, sf):
+    """A file per track, read by ranges of 4,000 bytes that know nothing of each other."""
+    return _filed_tracks(spark, sf, whole_bytes=0, range_bytes=4000)
+
+
 def _marks(spark, sf):
     """Every fourth fix of a track is loose; each track has one more segment of
     its fixes whose number ends in 1, written between the loose ones."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +28,9 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK_CONF, str(DEFAULT_ROWS_PER_TASK)))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+def _set_checkpoint_folder(spark: SparkSession) -> None:
+    """The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,4 +39,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="trackplace-checkpoint-")
         context.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, not made yet, that every executor can reach."""
+    _set_checkpoint_folder(spark)
+    base = re.sub(r"^file:/(?!/)", "file:///", spark.sparkContext.getCheckpointDir())
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it from there."""
+    _set_checkpoint_folder(df.sparkSession)
     return df.checkpoint()

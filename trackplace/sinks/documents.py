@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackplace.functions import tags
 from trackplace.functions.names import stem
+from trackplace.operators.manifest import free_names
 from trackplace.operators.ordered import Keyed, Prev, Sum, row_count
 from trackplace.operators.stats import SEGMENT, by_segment
+from trackplace.session import checkpoint
+from trackplace.sinks.folder import write_files
 from trackplace.sources.tracks import EVIDENCE_NS
 
+
 def _escaped(text: Column) -> Column:
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(plain), F.lit(entity))
@@ -109,12 +113,37 @@ def gpx_documents(
     return documents.select("track_id", "part_no", document.alias("document"))
 
 
-def write_gpx(fixes: DataFrame, folder: str, names: DataFrame | None = None) -> None:
-    """One text file per document, in a folder per track and part."""
-    documents = gpx_documents(fixes, names)
-    documents.write.mode("overwrite").partitionBy("track_id", "part_no").option(
-        "lineSep", "\n"
-    ).text(folder)
+def write_gpx(
+    fixes: DataFrame, folder: str, names: DataFrame | None = None, part_rows: int | None = None, replace: bool = True,
+) -> None:
+    """One file ``<name>.gpx`` per track in ``folder``, which ``read_gpx`` and
+    ``read_tracks`` read back.
+
+    Names are those of ``names``, else track numbers; what a file name cannot
+    hold becomes ``_``, and tracks of one name get ``name (2)`` and so on. With
+    ``part_rows``, a longer track is ``<name>.part00000.gpx`` and following,
+    which the readers take for one track again. No file is seen before all are
+    written; ``replace`` says whether files of the same name are replaced.
+    """
+    documents = gpx_documents(fixes, names, part_rows)
+    tracks = fixes.select("track_id").distinct()
+    if names is not None:
+        tracks = tracks.join(names.select("track_id", "name"), "track_id", "left")
+        named = F.coalesce("name", F.col("track_id").cast("string"))
+    else:
+        named = F.col("track_id").cast("string")
+    safe = F.regexp_replace(F.regexp_replace(named, r"[\\/:*?\"<>|\x00-\x1F]", "_"), r"^\.", "_")
+    tracks = checkpoint(tracks.select(
+        "track_id", F.when(F.trim(safe) == "", "_").otherwise(safe).alias("name"), F.lit(0).alias("folder_id")))
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("track_id"))
+    turned = tracks.withColumn("_turn", turn)
+    first, more = turned.filter("_turn = 1").drop("_turn"), turned.filter("_turn > 1").drop("_turn")
+    more = free_names(more, first, ["folder_id"], ["track_id"], whole=True)
+    stems = first.select("track_id", F.col("name").alias("stem")).unionByName(
+        more.select("track_id", F.col("free_name").alias("stem")))
+    part = F.lit("") if part_rows is None else F.format_string(".part%05d", "part_no")
+    files = documents.join(stems, "track_id").select(F.concat("stem", part, F.lit(".gpx")).alias("file"), "document")
+    write_files(files, folder, replace)
 
 
 def sidecar_documents(plan: DataFrame) -> DataFrame:

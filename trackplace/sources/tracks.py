@@ -50,10 +50,16 @@ def track_files(spark: SparkSession, path: str) -> DataFrame:
     return found.filter(F.col("type").isin(TRACK_EXTENSIONS))
 
 
+def _track_path(path: Column) -> Column:
+    """The file a part belongs to, as ``write_gpx`` names parts."""
+    return F.regexp_replace(path, r"\.part\d{5,}(\.[^./]*)$", "$1")
+
+
 def _parsed_files(
     files: DataFrame, zone: str, evidence_ns: str, whole_bytes: int, range_bytes: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """``path, name, problem`` of each of ``files``, and their fixes by ``path``."""
+    """``path, name, problem`` of each of ``files``, and their fixes by ``path``,
+    which is the same for all parts of a track."""
     files = checkpoint(files)
     small = parse_tracks(
         with_text(files.filter(F.col("size") <= whole_bytes).select("path", "name")), zone, evidence_ns)
@@ -61,14 +67,15 @@ def _parsed_files(
     said = small.select("path", "name", "problem")
     large = files.filter(F.col("size") > whole_bytes)
     if large.isEmpty():
-        return said, small_fixes
+        return said, small_fixes.withColumn("path", _track_path(F.col("path")))
     begun = checkpoint(ranges.begun_ranges(large, evidence_ns, _PART, range_bytes))
     fixes = ranges.ranged_fixes(begun, zone, _number, _coordinates)
     some = checkpoint(fixes).select(F.col("path").alias("_path")).distinct()
     of_large = begun.filter("range_no = 0").select("path", "problem").join(large.select("path", "name"), "path")
     of_large = of_large.join(some, F.col("path") == F.col("_path"), "left").select("path", "name", F.coalesce(
         "problem", F.when(F.col("_path").isNull(), "no timestamped points")).alias("problem"))
-    return said.unionByName(of_large), small_fixes.unionByName(fixes)
+    fixes = small_fixes.unionByName(fixes)
+    return said.unionByName(of_large), fixes.withColumn("path", _track_path(F.col("path")))
 
 
 def _name_and_type() -> list[Column]:
@@ -301,14 +308,18 @@ def read_tracks(
         said, rows = (x.withColumn("_from", F.lit(from_)) for x in (said, rows))
         files = said if files is None else files.unionByName(said)
         fixes = rows if fixes is None else fixes.unionByName(rows)
-    files, fixes = (x.withColumn("track_id", F.xxhash64("_from", "path")) for x in (files, fixes))
+    files = files.withColumn("track_id", F.xxhash64("_from", _track_path(F.col("path"))))
+    fixes = fixes.withColumn("track_id", F.xxhash64("_from", "path"))
     if named:
         # A named file that is no track has no fixes: one row of its own fails when fixes are read.
         fail = F.raise_error(F.concat(F.lit("Could not use "), "path", F.lit(": "), "problem")).cast("bigint")
         bad = files.filter((F.col("_from") == 0) & F.col("problem").isNotNull())
         fixes = fixes.unionByName(bad.select("path", "_from", fail.alias("track_id")), allowMissingColumns=True)
     good = files.filter((F.col("_from") == 0) | F.col("problem").isNull())
-    tracks = good.select("track_id", "name", "path", F.struct("_from", "name", "path").alias("offer_order"))
+    # All parts of a track are one offer, that of the first.
+    stem = F.regexp_replace("name", r"\.part\d{5,}$", "")
+    tracks = good.select("track_id", stem.alias("name"), "path", F.struct("_from", "name", "path").alias("offer_order"))
+    tracks = tracks.groupBy("track_id", "name").agg(F.min("path").alias("path"), F.min("offer_order").alias("offer_order"))
     quarantine = files.filter((F.col("_from") == 1) & F.col("problem").isNotNull())
     return tracks, fixes.select("track_id", *fixes.columns[1:-2]), quarantine.select("path", "problem")
 
