@@ -8,6 +8,7 @@ from test_near import brute_similar
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from trackplace.llm.mix import mixed_documents
 from trackplace.llm.oracles import ORACLES
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,7 +52,12 @@ def test_stages_one_by_one(spark):
     left = {r.doc_id for r in clean.collect()}
     assert held and not left & {r.doc_id for r in held}
     mixed = corpus_pipeline.source_mix(spark, clean, SMALL)
-    assert mixed.count() == clean.count()
+    of = {(r.doc_id, r.source): r.text for r in clean.collect()}
+    pieces = mixed.collect()
+    assert {"slot", "doc_id", "source", "text"} <= set(mixed.columns) and len(pieces) > 50
+    assert all(p.text.strip(" \t\n\x0b\x0c\r") in of[p.doc_id, p.source] for p in pieces)
+    taken = mixed_documents(clean.selectExpr("doc_id as track_id", "text as document", "source"))
+    assert sum(p.words for p in pieces) == taken.agg({"taken": "sum"}).first()[0]
 
 
 def test_run(spark):

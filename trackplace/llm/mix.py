@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackplace.llm.words import track_documents, word_count
+from trackplace.llm.words import SPACE_CLASS, settled, track_documents, trimmed, word_count
 from trackplace.session import checkpoint
 
 # The lattice, and the weights sources take in turn.
@@ -86,8 +86,10 @@ def _slots(plans: DataFrame, block: int) -> DataFrame:
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("source")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(F.lit(0))
-    share = F.sum("target").over(by_name) / F.nullif(F.sum("target").over(every), F.lit(0.0)) * POINTS
-    spans = plans.withColumn("high", F.floor(share))
+    # Whole numbers of more than 64 bits: no rounding moves a border between sources.
+    words = F.floor("target").cast("decimal(20,0)")
+    spans = plans.withColumn("_to", F.sum(words).over(by_name)).withColumn("_all", F.sum(words).over(every))
+    spans = spans.withColumn("high", F.when(F.col("_all") > 0, F.expr(f"(_to * {POINTS}) div _all")))
     spans = spans.withColumn("low", F.coalesce(F.lag("high").over(
         Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("source"))), F.lit(0)))
     spans = spans.filter(F.col("high") > F.col("low"))
@@ -119,10 +121,11 @@ def mix_sources(
     """The schedule of a mix, and its targets, as ``(pieces, sizes)``.
 
     In: ``track_id, document, source``. ``pieces`` says for each slot which
-    words of which track document it takes: ``slot, source, track_id, row,
-    first, words``. ``sizes`` has ``row, track_id, source, size, source_size,
-    target`` for each row in, ``row`` being its place in the source's shuffled
-    words and unique together with the source and size.
+    words of which track document it takes: ``slot, source, track_id, digest,
+    row, first, words``. ``sizes`` has ``row, track_id, digest, source, size,
+    source_size, target`` for each row in, ``row`` being its place in the
+    source's shuffled words and unique together with the source and size;
+    ``digest`` are 64 bits of the document.
 
     A source's documents are shuffled by digest, its words cut into blocks of
     ``block_words``, and its target is taken block by block, in as many passes
@@ -131,10 +134,10 @@ def mix_sources(
     time, and an empty table gives an empty mix.
     """
     rows = track_documents(tracks, "source").select(
-        "track_id", "source", word_count(F.col("document")).alias("size"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("track_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.withColumn("digest", digest).withColumn(
-        "part", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
+        "track_id", "source", F.xxhash64("document").alias("digest"), word_count(F.col("document")).alias("size"))
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("track_id").cast("string"), F.lit(""))).cast("binary"))
+    rows = rows.withColumn("place", place).withColumn(
+        "part", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
     rows = checkpoint(rows)
     targets = source_targets(rows, weights, passes)
     whole = F.col("source_size")
@@ -146,10 +149,10 @@ def mix_sources(
         "needed", F.col("full") * F.col("blocks") + F.ceil(F.greatest("rest", F.lit(0)) / block_words))
     plans = checkpoint(plans)
     placed = _running(
-        rows, ["source"], "part", [F.col("digest"), F.asc_nulls_last("track_id"), F.col("size")],
+        rows, ["source"], "part", [F.col("place"), F.asc_nulls_last("track_id"), F.col("size"), F.col("digest")],
         F.col("size"), "row")
     known = plans.select(F.col("source").alias("_source"), "source_size", "target", "full", "rest", "blocks")
-    placed = placed.join(known, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "digest", "part")
+    placed = placed.join(known, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "place", "part")
     sizes = checkpoint(placed)
     docs = sizes.filter(F.col("size") > 0).withColumn("block", F.explode(F.sequence(
         F.expr(f"row div {block_words}"), F.expr(f"(row + size - 1) div {block_words}"))))
@@ -165,17 +168,19 @@ def mix_sources(
     first = F.greatest("row", F.col("block") * block_words)
     last = F.least(F.col("row") + F.col("size"), (F.col("block") + 1) * block_words, end)
     pieces = joined.select(
-        "slot", "source", "track_id", "row", "size", (first - F.col("row")).alias("first"),
+        "slot", "source", "track_id", "digest", "row", "size", (first - F.col("row")).alias("first"),
         (last - first).alias("words"),
     ).filter(F.col("words") > 0)
-    return pieces, sizes.select("track_id", "source", "row", "size", "source_size", "target")
+    return pieces, sizes.select("track_id", "digest", "source", "row", "size", "source_size", "target")
 
 
 def mixed_documents(tracks: DataFrame, **options) -> DataFrame:
-    """Per row in: ``track_id, source, size, source_size, target, taken``, where
-    ``taken`` adds up the words its pieces of the schedule take."""
+    """Per row in: ``track_id, source, size, source_size, target, taken,
+    first_slot``: the words its pieces of the schedule take, and the first slot
+    that takes any (null if none does)."""
     pieces, sizes = mix_sources(tracks, **options)
-    took = pieces.groupBy("source", "row", "size", "track_id").agg(F.sum("words").alias("taken"))
+    took = pieces.groupBy("source", "row", "size", "track_id").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     took = took.select(*[F.col(c).alias(f"_{c}") for c in took.columns])
     on = (
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("row") == F.col("_row"))
@@ -184,4 +189,41 @@ def mixed_documents(tracks: DataFrame, **options) -> DataFrame:
     joined = sizes.join(took, on, "left")
     return joined.select(
         "track_id", "source", "size", "source_size", "target",
-        F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+        F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.col("_first_slot").alias("first_slot"))
+
+
+def mixed_texts(tracks: DataFrame, **options) -> DataFrame:
+    """The mix itself: ``slot, source, track_id, row, first, words, document``,
+    a row for each piece of a slot.
+
+    In: ``track_id, document, source``, as for ``mix_sources``. ``document`` is
+    the stretch of the text from the first to the last of the piece's words, or
+    the text as it is where the piece has all its words. Pieces of a slot follow
+    one another by ``row``; slots in order make the schedule, and those after
+    the last one share its number. Each text is cut once for all its pieces.
+    """
+    pieces, _ = mix_sources(tracks, **options)
+    key = lambda rows: rows.withColumns({
+        "_none": F.col("track_id").isNull(), "_id": F.coalesce("track_id", F.lit(0)),
+        "_source": F.coalesce("source", F.lit("\x00")), "_digest": F.col("digest")})
+    keys = ["_none", "_id", "_source", "_digest"]
+    # A document has as many pieces as blocks and passes: few, for its length.
+    listed = key(pieces).groupBy(*keys).agg(
+        F.collect_list(F.struct("slot", "row", "first", "words", "size")).alias("_pieces"),
+        F.countDistinct("row").alias("_copies"))
+    texts = key(track_documents(tracks, "source").withColumn("digest", F.xxhash64("document")))
+    joined = texts.join(listed, keys)
+    # Where a word ends: each part is a word with the spaces before it.
+    ends = f"(?<=[^\\x20\\x09-\\x0D])(?={SPACE_CLASS})"
+    cut = settled(
+        joined, "track_id", "source", "document", "_pieces", "_copies",
+        _parts=F.when(F.exists("_pieces", lambda p: p["words"] < p["size"]), F.split(trimmed(F.col("document")), ends)))
+    each = cut.select("track_id", "source", "document", "_parts", "_copies", F.explode("_pieces").alias("p"))
+    piece = F.array_join(F.slice("_parts", F.col("p.first").cast("int") + 1, F.col("p.words").cast("int")), "")
+    each = each.select(
+        "_copies", "p.slot", "source", "track_id", "p.row", "p.first", "p.words",
+        F.when(F.col("p.words") == F.col("p.size"), F.col("document")).otherwise(trimmed(piece)).alias("document"))
+    # Each of several equal rows has met the pieces of all of them.
+    out = each.filter("_copies = 1").unionByName(each.filter("_copies > 1").dropDuplicates(
+        ["slot", "source", "track_id", "row", "first"]))
+    return out.drop("_copies")

@@ -86,14 +86,32 @@ goal as (
     else share * w end as target
   from levels, (select min(struct_pack(lim := lim, s := encode(source), level := level)).level as share
     from levels where lim > level) x),
+plan as (
+  select *, 512 as block, cast(ceil(source_size / 512) as bigint) as blocks,
+    coalesce(cast(floor(target / nullif(source_size, 0)) as bigint), 0) as passes,
+    sum(cast(floor(target) as hugeint)) over (order by encode(source) nulls last
+      rows between unbounded preceding and current row) as upto, sum(cast(floor(target) as hugeint)) over () as whole
+  from goal),
+need as (
+  select *, passes * blocks + cast(ceil(greatest(floor(target) - passes * source_size, 0) / 512) as bigint) as needed,
+    cast((upto * 2147483648) // nullif(whole, 0) as bigint) as high from plan),
+span as (select *, coalesce(lag(high) over (order by encode(source) nulls last), 0) as low from need),
+total as (select cast(sum(needed) as bigint) as n from need),
+hit as (
+  select source, slot, needed, row_number() over (partition by source order by slot) - 1 as rank
+  from (select unnest(range(n)) as slot from total), span
+  where (slot % 2147483648) * 1327217885 % 2147483648 >= low and (slot % 2147483648) * 1327217885 % 2147483648 < high),
 placed as (
-  select doc_id, size, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0) as passes,
+  select doc_id, size, d.source, source_size, target, passes,
     coalesce(sum(size) over (partition by d.source order by digest, doc_id, size
       rows between unbounded preceding and 1 preceding), 0) as pos
-  from doc d join goal g on d.source is not distinct from g.source)
-select doc_id, size, source_size, target, cast(passes * size + greatest(
-  0, least(pos + size, floor(target) - passes * source_size) - pos) as bigint) as taken
-from placed
+  from doc d join plan g on d.source is not distinct from g.source),
+took as (
+  select *, cast(passes * size + greatest(
+    0, least(pos + size, floor(target) - passes * source_size) - pos) as bigint) as taken from placed)
+select doc_id, size, source_size, target, taken,
+  case when taken > 0 then coalesce(h.slot, (select n from total)) end as first_slot
+from took t left join hit h on t.source is not distinct from h.source and h.rank = pos // 512 and h.rank < h.needed
 """
 
 OP11 = """

@@ -84,7 +84,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _back(mixed_documents(_tracks(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
+    return _back(mixed_documents(_tracks(spark, sf_dir))).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
