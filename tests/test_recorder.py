@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from trackplace.streaming import recorder
+from trackplace.operators.stats import track_distance, track_stats
+from trackplace.streaming import live, recorder
 
 SCHEMA = ("device long, run long, delivery_id long, now_us long, provider string, accuracy double, age_ms long")
 
@@ -89,31 +91,59 @@ def test_status_and_fixes(spark):
     assert (got[0].ele, got[0].ele_accuracy, got[1].ele, got[1].ele_accuracy) == (500.0, 3.0, None, None)
 
 
-def test_live_statistics_follow_touched_tracks(spark, tmp_path):
-    schema = "track_id long, segment_no long, seq long, t_us long, lat double, lon double"
-    source, fixes, stats = (str(tmp_path / n) for n in ("in", "fixes", "stats"))
+FIXES = "track_id long, segment_no long, seq long, t_us long, lat double, lon double"
+
+
+def growing(seed=3, n=400):
+    """Fixes of three tracks in no order, some of them several times."""
+    rng = random.Random(seed)
+    rows = [(t, i // 70, i, i // 3 * 1_000_000, 46 + rng.random() / 100, 7 + rng.random() / 100)
+            for t in (1, 2, 3) for i in range(n // t)]
+    parts = [[] for _ in range(4)]
+    for row in rows:
+        for k in {rng.randrange(4) for _ in range(rng.choice([1, 1, 2]))}:
+            parts[k].append(row)
+    for part in parts:
+        rng.shuffle(part)
+    return rows, parts
+
+
+def test_late_and_repeated_fixes_give_the_statistics_of_the_table(spark, tmp_path):
+    rows, parts = growing()
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
     (tmp_path / "in").mkdir()
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    for part in ([(1, 0, 1, 0, 46.0, 7.0), (2, 0, 1, 0, 46.0, 7.0)], [(1, 0, 2, 1_000_000, 46.1, 7.0)]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
-        run(recorder.live_track_stats(stream, fixes, stats), tmp_path)
-    latest = {r.track_id: (r.fixes, round(r.metres)) for r in recorder.latest_stats(spark.read.parquet(stats)).collect()}
-    assert latest == {1: (2, 11119), 2: (1, 0)}
-    assert spark.read.parquet(stats).filter("track_id = 2").count() == 1
-
-
-def test_a_batch_reads_no_fixes_of_other_buckets(spark, tmp_path):
-    schema = "track_id long, segment_no long, seq long, t_us long, lat double, lon double"
-    source, fixes, stats = (str(tmp_path / n) for n in ("source", "fixes", "stats"))
-    spark.createDataFrame([(t, 0, 1, 0, 46.0, 7.0) for t in range(1, 9)], schema).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run(recorder.live_track_stats(stream, fixes, stats), tmp_path)
-    hold = spark.sql(f"select pmod(hash(1L), {recorder.BUCKETS})").first()[0]
-    for folder in (tmp_path / "fixes" / "batch=0").glob("bucket=*"):
-        if folder.name != f"bucket={hold}":
-            for file in folder.glob("part-*"):
-                file.write_bytes(b"no parquet")
-    spark.createDataFrame([(1, 0, 2, 1_000_000, 46.1, 7.0)], schema).coalesce(1).write.mode("append").parquet(source)
-    run(recorder.live_track_stats(stream, fixes, stats), tmp_path)
-    latest = {r.track_id: r.fixes for r in recorder.latest_stats(spark.read.parquet(stats)).collect()}
-    assert latest[1] == 2 and len(latest) == 8
+    stream = live.live_track_stats(spark.readStream.schema(FIXES).parquet(source), interval_fixes=8)
+    for part in parts:
+        spark.createDataFrame(part, FIXES).write.mode("append").parquet(source)
+        run(stream.writeStream.format("parquet").option("path", out), tmp_path)
+    got = live.latest_stats(spark.read.parquet(out)).collect()
+    table = spark.createDataFrame(rows, FIXES)
+    want = track_stats(table).join(track_distance(table), "track_id").collect()
+    assert sorted((*r[:-1], round(r.metres, 3)) for r in got) == sorted((*r[:-1], round(r.metres, 3)) for r in want)
+    assert spark.read.parquet(out).agg({"version": "max"}).first()[0] == 4
+
+
+def test_a_fix_opens_one_interval_only():
+    class Map(dict):
+        opened = 0
+
+        def getValue(self, key):
+            self.opened += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    state = live._Growing(16)
+    state.stored, intervals, next_ = Map(), [], 0
+    whole = np.array([(i * 10, i, 46.0, 7 + i / 1000) for i in range(2000)], live._FIX)
+    next_ = state._add(intervals, 0, whole, next_)
+    assert len(intervals) == 125 and state.stored.opened == 0
+    late = np.array([(4005, 9999, 46.5, 7.4)], live._FIX)
+    at = max(k for k, (s, _) in enumerate(intervals) if s.first[:2] <= (4005, 9999))
+    state._add(intervals, at, late, next_)
+    assert state.stored.opened == 1
+    merged = live.reduce(live.Interval.merge, (s for s, _ in intervals))
+    alone = live.Interval.of(np.sort(np.concatenate([whole, late]), order=["t_us", "seq"]))
+    assert (merged.first, merged.last, merged.fixes) == (alone.first, alone.last, alone.fixes)
+    assert merged.metres == pytest.approx(alone.metres)

@@ -425,6 +425,9 @@ def build() -> dict[str, str]:
   end_us, duration_us, start_us is not null as timed from known left join s using (track_id)"""
     o["track_distance"] = _with(fixes, STEPPED) + (
         "select track_id, round(coalesce(sum(step_m), 0.0), 3) as metres from stepped group by 1")
+    o["live_track_stats"] = _with(fixes, STEPPED, f"s as ({listing})") + (
+        "select s.*, metres from s join (select track_id, round(coalesce(sum(step_m), 0.0), 3) as metres"
+        " from stepped group by 1) d using (track_id)")
     o["steps"] = _with(fixes, STEPPED) + (
         f"select track_id, segment_no, seq, round(step_m, 3) as step_m,"
         f" round({_speed('p_us', 't_us', 'step_m')}, 3) as speed_mps from stepped")
@@ -765,6 +768,7 @@ from numbered k join free f on f.name = k.name and f.k = k.k"""
 
     o["admit_fixes"] = _with(_view("deliveries"), ADMITTED.replace("{silence}", "90000")) + (
         "select device, run, delivery_id, outcome from admitted")
+    o["admit_stream"] = o["admit_fixes"]
     o["recording_status"] = _with(_view("deliveries"), ADMITTED.replace("{silence}", "180000")) + (
         "select device, run, count(*) filter (where outcome = 'written') as written,"
         " count(*) filter (where outcome = 'dropped') as dropped from admitted group by 1, 2")

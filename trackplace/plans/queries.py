@@ -17,7 +17,7 @@ from trackplace.sinks import documents
 from trackplace.sources import files
 from trackplace.session import shared_folder
 from trackplace.sources.tracks import fixes_of, parse_tracks, read_tracks
-from trackplace.streaming import recorder
+from trackplace.streaming import live, recorder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -923,6 +923,57 @@ def recording_status(spark, sf):
     return recorder.recording_status(recorder.admit_fixes(view(spark, sf, "deliveries")))
 
 
+def _drained(stream, folder, name):
+    """Works off what has arrived, then ends."""
+    running = stream.option("checkpointLocation", f"{folder}/{name}-progress").trigger(availableNow=True).start()
+    running.awaitTermination()
+
+
+def _in_stretches(rows, clock, parts):
+    """The rows in stretches of time, as a feed brings them."""
+    low, high = rows.agg(F.min(clock), F.max(clock)).first()
+    for k in range(parts):
+        begin = low + (high - low + 1) * k // parts
+        end = low + (high - low + 1) * (k + 1) // parts
+        yield rows.filter((F.col(clock) >= begin) & (F.col(clock) < end))
+
+
+@query
+def admit_stream(spark, sf):
+    """The deliveries as files of a folder, in three stretches of time, drained
+    by the stream each time one has arrived."""
+    folder, d = shared_folder(spark, "deliveries"), view(spark, sf, "deliveries")
+    if d.isEmpty():
+        return recorder.admit_fixes(d, 30_000).select("device", "run", "delivery_id", "outcome")
+    d.limit(0).write.parquet(f"{folder}/in")
+    feed = spark.readStream.schema(d.schema).parquet(f"{folder}/in")
+    admitted = recorder.admit_stream(feed, 30_000, idle_ms=None)
+    for stretch in _in_stretches(d, "now_us", 3):
+        stretch.write.mode("append").parquet(f"{folder}/in")
+        _drained(admitted.writeStream.format("parquet").option("path", f"{folder}/out"), folder, "out")
+    return spark.read.parquet(f"{folder}/out").select("device", "run", "delivery_id", "outcome")
+
+
+@query
+def live_track_stats(spark, sf):
+    """Fixes in three stretches of time, every seventh of a stretch coming with
+    the next one and every eleventh coming again."""
+    folder, f = shared_folder(spark, "growing"), fixes(spark, sf).select(
+        "track_id", "segment_no", "seq", "t_us", "lat", "lon")
+    if f.isEmpty():
+        return rounded(stats.track_stats(f).join(stats.track_distance(f), "track_id"), 3, "metres")
+    f.limit(0).write.parquet(f"{folder}/in")
+    grown = live.live_track_stats(spark.readStream.schema(f.schema).parquet(f"{folder}/in"), interval_fixes=16)
+    late = f.limit(0)
+    for k, stretch in enumerate(_in_stretches(f, "t_us", 3)):
+        held = (F.col("seq") % 7 == 0) if k < 2 else F.lit(False)
+        arrived = stretch.filter(~held).unionByName(late)
+        arrived.unionByName(stretch.filter(~held & (F.col("seq") % 11 == 0))).write.mode("append").parquet(f"{folder}/in")
+        late = stretch.filter(held).unionByName(stretch.filter(~held & (F.col("seq") % 11 == 1)))
+        _drained(grown.writeStream.format("parquet").option("path", f"{folder}/out"), folder, "out")
+    return rounded(live.latest_stats(spark.read.parquet(f"{folder}/out")), 3, "metres")
+
+
 @query
 def recorded_elapsed(spark, sf):
     d = view(spark, sf, "deliveries")

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from trackplace.operators.ordered import Keyed, Last
-from trackplace.operators.stats import track_distance, track_stats
 
 # Metres beyond which a fix is no fix; floors in milliseconds.
 MAX_ACCURACY_M = 200.0
@@ -31,7 +31,8 @@ ADMITTED = (
     "device long, run long, delivery_id long, now_us long, provider string, accuracy double,"
     " age_ms long, outcome string"
 )
-_MEMORY = "gps_us long, fused_us long, written_us long, clock_us long, clock_id long"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROWS = 20_000
 
 
 def limits(interval_ms: int) -> tuple[int, int, int]:
@@ -69,53 +70,99 @@ def _usable(gps: Column, silence: int, max_age: int) -> Column:
     )
 
 
+class _Admission(StatefulProcessor):
+    """What a run remembers: a value per clock. A timer forgets idle runs.
+
+    The deliveries of a micro-batch come in pieces and in any order. Of each piece
+    only five numbers a row are kept until all are in; they are put in order of
+    time and judged together, and come out in pieces again.
+    """
+
+    def __init__(self, interval_ms: int, idle_ms: int | None):
+        self.limits, self.idle_ms = limits(interval_ms), idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.clocks = {name: handle.getValueState(name, "at_us long") for name in ("gps", "fused", "written")}
+        self.latest = handle.getValueState("latest", "at_us long, delivery_id long")
+
+    def _last(self, name: str) -> float:
+        clock = self.clocks[name]
+        return float(clock.get()[0]) if clock.exists() else np.nan
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts, names = [], {}
+        for piece in rows:
+            codes = np.array([names.setdefault(p, len(names)) for p in piece["provider"]], np.int32)
+            accuracy = pd.to_numeric(piece["accuracy"]).to_numpy(float, na_value=np.nan)
+            age = pd.to_numeric(piece["age_ms"]).to_numpy(float, na_value=np.nan)
+            parts.append((piece["now_us"].to_numpy(np.int64), piece["delivery_id"].to_numpy(np.int64), codes, accuracy, age))
+        now, ids, codes, accuracy, age = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((ids, now))
+        now, ids, codes, accuracy, age = (c[order] for c in (now, ids, codes, accuracy, age))
+        live = np.append(True, (now[1:] != now[:-1]) | (ids[1:] != ids[:-1]))
+        if self.latest.exists():
+            at, last_id = self.latest.get()
+            live &= (now > at) | ((now == at) & (ids > last_id))
+        outcome = np.full(len(now), "late", object)
+        outcome[live] = self._judge(now[live], (codes == names.get("gps", -1))[live], accuracy[live], age[live])
+        if live.any():
+            end = np.flatnonzero(live)[-1]
+            self.latest.update((int(now[end]), int(ids[end])))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        said = np.array(list(names), object)
+        for start in range(0, len(now), _ROWS):
+            part = slice(start, start + _ROWS)
+            yield pd.DataFrame({
+                "device": key[0], "run": key[1], "delivery_id": ids[part], "now_us": now[part],
+                "provider": said[codes[part]], "accuracy": accuracy[part],
+                "age_ms": pd.array(age[part], "Float64").astype("Int64"), "outcome": outcome[part]})
+
+    def _judge(self, now, gps, accuracy, age) -> np.ndarray:
+        silence, max_age, grace = self.limits
+        last = np.empty(len(now))
+        for name, mine in (("gps", gps), ("fused", ~gps)):
+            heard = now[mine]
+            last[mine] = np.append(self._last(name), heard[:-1].astype(float))[:len(heard)]
+            if len(heard):
+                self.clocks[name].update((int(heard[-1]),))
+        with np.errstate(invalid="ignore"):
+            quiet = np.isnan(last) | (now - last > silence * 1000)
+            usable = (accuracy <= MAX_ACCURACY_M) & ~(quiet & (age > max_age))
+            # The latest gps fix written before each delivery.
+            places = np.where(gps & usable, np.arange(len(now)), -1)
+            before = np.append(-1, np.maximum.accumulate(places))[:len(now)]
+            written = np.where(before >= 0, now[before].astype(float), self._last("written"))
+            beside = ~gps & (now - written < grace * 1000)
+        if len(now) and places.max() >= 0:
+            self.clocks["written"].update((int(now[places.max()]),))
+        return np.where(beside, "ignored", np.where(usable, "written", "dropped"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (*self.clocks.values(), self.latest):
+            state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def admit_stream(
     deliveries: DataFrame, interval_ms: int = DEFAULT_INTERVAL_MS, idle_ms: int | None = 6 * 3_600_000
 ) -> DataFrame:
-    """The same on a stream, with one small memory per run. A delivery older than
-    what its run has already seen comes out as ``late`` and changes nothing; a
+    """The same on a stream, with a value per clock for each run. A delivery older
+    than what its run has already seen comes out as ``late`` and changes nothing; a
     run not heard from for ``idle_ms`` is forgotten. Watching for idle runs keeps
     batches coming, so a stream that is to end when its input does (an
-    ``availableNow`` trigger) passes None.
+    ``availableNow`` trigger) passes None. State is kept in RocksDB, which this
+    sets for the session.
     """
-    silence, max_age, grace = limits(interval_ms)
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        memory = list(state.get) if state.exists else [None] * 5
-        rows = pd.concat(list(batches)).sort_values(["now_us", "delivery_id"], ignore_index=True)
-        seen = rows.duplicated(["now_us", "delivery_id"])
-        if memory[3] is not None:
-            seen |= (rows["now_us"] < memory[3]) | (
-                (rows["now_us"] == memory[3]) & (rows["delivery_id"] <= memory[4]))
-        live = rows[~seen]
-        now, gps = live["now_us"], live["provider"] == "gps"
-        # What was heard last from the same provider, and of gps written before.
-        before = gps.map({True: memory[0], False: memory[1]}).astype(float)
-        last = now.groupby(gps).shift().fillna(before)
-        quiet = last.isna() | (now - last > silence * 1000)
-        usable = (live["accuracy"] <= MAX_ACCURACY_M) & ~(quiet & (live["age_ms"] > max_age))
-        written = now.where(gps & usable).shift().ffill()
-        if memory[2] is not None:
-            written = written.fillna(memory[2])
-        beside = ~gps & (now - written < grace * 1000)
-        rows["outcome"] = "late"
-        rows.loc[live.index, "outcome"] = usable.map({True: "written", False: "dropped"}).mask(beside, "ignored")
-        latest = lambda times, known: known if times.empty else int(times.iloc[-1])
-        memory = [
-            latest(now[gps], memory[0]), latest(now[~gps], memory[1]), latest(now[gps & usable], memory[2]),
-            latest(now, memory[3]), latest(live["delivery_id"], memory[4])]
-        state.update(tuple(memory))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield rows[["device", "run", "delivery_id", "now_us", "provider", "accuracy", "age_ms", "outcome"]]
-
-    forgets = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return deliveries.groupBy(*KEYS).applyInPandasWithState(step, ADMITTED, _MEMORY, "append", forgets)
+    deliveries.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return deliveries.groupBy(*KEYS).transformWithStateInPandas(
+        _Admission(interval_ms, idle_ms), ADMITTED, "append", "None" if idle_ms is None else "ProcessingTime")
 
 
 def recording_status(admitted: DataFrame) -> DataFrame:
@@ -138,41 +185,3 @@ def to_fix(deliveries: DataFrame) -> DataFrame:
         F.col("speed").cast("double").alias("speed"),
         F.col("provider").alias("source"),
     )
-
-
-# Folders the stored fixes of growing tracks are dealt to.
-BUCKETS = 256
-
-
-def live_track_stats(written: DataFrame, fixes_path: str, stats_path: str):
-    """Starts keeping statistics of growing tracks: each micro-batch appends its
-    fixes and recomputes the tracks it touched, and only those.
-
-    Fixes are stored by track bucket, and only the buckets of touched tracks are
-    read again, so fixes may come in any order. Replayed batches are harmless: a
-    batch's fixes go to a folder of its own, and statistics are a function of
-    what is stored.
-    """
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        dealt = batch.withColumn("bucket", F.pmod(F.hash("track_id"), F.lit(BUCKETS)))
-        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{fixes_path}/batch={batch_id}")
-        # At most BUCKETS numbers come to the driver; they prune the scan.
-        buckets = [r[0] for r in dealt.select("bucket").distinct().collect()]
-        touched = batch.select("track_id").distinct()
-        stored = spark.read.schema(batch.schema).parquet(fixes_path).filter(F.col("bucket").isin(buckets)).drop("batch", "bucket")
-        growing = stored.join(touched, "track_id", "left_semi")
-        stats = track_stats(growing).join(track_distance(growing), "track_id")
-        stats.write.mode("overwrite").parquet(f"{stats_path}/batch={batch_id}")
-
-    return written.writeStream.foreachBatch(refresh)
-
-
-def latest_stats(stats: DataFrame) -> DataFrame:
-    """The newest statistics of each track out of all batches'."""
-    columns = [c for c in stats.columns if c not in ("track_id", "batch")]
-    return stats.groupBy("track_id").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select(
-        "track_id", "s.*"
-    )
