@@ -1,6 +1,7 @@
 """Cards and imports: order round the counter, resuming, cameras, shared state."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,41 @@ def test_types_and_folders(spark):
     states = spark.createDataFrame([(1, 9)], "p long, import_no long")
     got = {r.p: r.next_no for r in catalog.next_import_no(folders, states, ["p"]).collect()}
     assert got == {1: 10, 2: 1}
+
+
+def test_many_devices_are_one_fold_in_order(spark):
+    rng = random.Random(12)
+    fields = ["camera_key", "last_file", "import_no", "at_us", "device"]
+    schema = "camera_key string, last_file string, import_no int, at_us long, device string"
+    rows = [(rng.choice(["A", "B", None]), rng.choice(["DSCF%04d.RAF", "dscf%04d.raf", "X%05d.JPG"]) % rng.randrange(0, 10000, 700),
+             rng.randrange(50), rng.randrange(9), f"d{k}") for k in range(1000)] + [("C", "no number", 1, 1, "d")]
+    every = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], schema + ", turn int").repartition(5)
+    whole = {r.camera_key: tuple(r) for r in catalog.fold_states(every).select(fields).collect()}
+    want = {}
+    for row in rows:
+        want[row[0]] = row if row[0] not in want else later_of(want[row[0]], row)
+    assert whole == want
+    for size in (7, 100):
+        cut = catalog.fold_states(every, fold_rows=size).select(fields).collect()
+        assert {r.camera_key: tuple(r) for r in cut} == want
+    a, b, c = [r for r in rows if r[0] == "A"][:3]
+    merged = catalog.merge_all_states([spark.createDataFrame([r], schema) for r in (a, b, c)]).select(fields)
+    assert [tuple(r) for r in merged.collect()] == [later_of(later_of(a, b), c)]
+
+
+def later_of(a, b):
+    """The pairwise rule on two states, one number at a time."""
+    def number(name):
+        digits = re.findall(r"\d+", name.rsplit(".", 1)[0])
+        return (int(digits[-1]), len(digits[-1])) if digits else None
+
+    x, y = number(b[1]), number(a[1])
+    if a[1].lower() == b[1].lower():
+        wins = b[3] > a[3]
+    elif x is None or y is None:
+        wins = False
+    else:
+        d, size = x[0] - y[0], 10 ** max(x[1], y[1])
+        wins = b[1].lower() >= a[1].lower() if d == 0 else 2 * d < size if d > 0 else 2 * d <= -size
+    last = b if wins else a
+    return (a[0], last[1], max(a[2], b[2]), last[3], last[4])

@@ -13,6 +13,8 @@ from trackplace.operators.ordered import Keyed, Prev, row_count
 from trackplace.session import checkpoint
 
 CAMERA_SAMPLE = 10
+# States of one camera that a task folds at a time.
+FOLD_ROWS = 100_000
 
 
 # --- order of a card ---------------------------------------------------------
@@ -170,15 +172,73 @@ def merge_import_state(a: DataFrame, b: DataFrame, key: str | list[str] = "camer
     )
 
 
-def merge_all_states(states: list[DataFrame], key: str = "camera_key") -> DataFrame:
-    """Several devices' states, merged in the order given: which file is later is
-    not transitive round a counter, so the order is part of the result."""
-    merged = states[0]
-    for state in states[1:]:
-        merged = merge_import_state(merged, state, key)
+def fold_states(
+    states: DataFrame, key: str | list[str] = "camera_key", order: str = "turn", fold_rows: int = FOLD_ROWS,
+) -> DataFrame:
+    """Any number of devices' states merged in one go, along ``order`` (unique per
+    camera): which file is later is not transitive round a counter, so each state
+    meets what all before it have come to.
+
+    A camera's states are brought together in one shuffle and folded in its
+    task. Of a camera with more than ``fold_rows``, so many are folded at a time,
+    and what they come to is the first state of the next fold.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    fields = ["last_file", "import_no", "at_us", "device"]
+    # The unknown camera's key is null, which no join meets: as text it is a key like others.
+    rows = states.select(
+        *keys, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key"),
+        F.struct(order).alias("_turn"), F.struct(*fields).alias("s"))
+    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most <= fold_rows:
+        return _folded(rows, keys, fields)
+    placed = Keyed(rows, ["_key"], fold_rows).running(["_turn"], _at=row_count()).rows()
+    placed = checkpoint(placed.withColumn("_fold", F.floor((F.col("_at") - 1) / fold_rows)).drop("_at"))
+    merged = checkpoint(_folded(placed.filter("_fold = 0"), keys, fields))
+    nothing = F.lit(None).cast(rows.schema["_turn"].dataType)
+    for fold in range(1, -(-most // fold_rows)):
+        now = placed.filter(F.col("_fold") == fold)
+        # A state without a turn comes first.
+        before = merged.select(*keys, nothing.alias("_turn"), F.struct(*fields).alias("s"))
+        merged = checkpoint(_folded(now.select(*keys, "_turn", "s").unionByName(before), keys, fields))
     return merged
 
 
+def _folded(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    queue = F.array_sort(F.collect_list(F.struct(
+        F.col("_turn").isNotNull().alias("later"), F.col("_turn").alias("turn"), F.col("s").alias("s"))))
+    listed = rows.groupBy(*keys).agg(queue.alias("q"))
+
+    def meet(a: Column, item: Column) -> Column:
+        b = item["s"]
+        same_file = F.lower(a["last_file"]) == F.lower(b["last_file"])
+        wins = F.coalesce(F.when(same_file, b["at_us"] > a["at_us"]).otherwise(
+            is_later(b["last_file"], a["last_file"])), F.lit(False))
+        either = {f: F.when(wins, b[f]).otherwise(a[f]) for f in fields}
+        either["import_no"] = F.greatest(a["import_no"], b["import_no"])
+        return F.struct(*[either[f].alias(f) for f in fields])
+
+    state = F.aggregate(F.slice("q", 2, F.size("q")), F.get("q", F.lit(0))["s"], meet)
+    return listed.select(*keys, state.alias("s")).select(*keys, "s.*")
+
+
+def merge_all_states(states: list[DataFrame], key: str = "camera_key") -> DataFrame:
+    """Several devices' states, merged in the order given, in one go."""
+    every = None
+    for turn, state in enumerate(states):
+        state = state.withColumn("turn", F.lit(turn))
+        every = state if every is None else every.unionByName(state)
+    return fold_states(every, key)
+
+
+def merge_all_settings(settings: DataFrame, keys: list[str], order: str = "turn") -> DataFrame:
+    """Each setting at its latest change on any device; of several at the same
+    time the one that is first along ``order``."""
+    newest = F.max_by(F.struct("svalue", "changed_us"), F.struct("changed_us", -F.col(order)))
+    return settings.groupBy(*keys).agg(newest.alias("s")).select(*keys, "s.svalue", "s.changed_us")
+
+
 def ordered_state(states: DataFrame, key: str = "camera_key") -> DataFrame:
     """The unknown camera first, then cameras by key: same state, same rows."""
     return states.orderBy(F.col(key).asc_nulls_first())

@@ -595,6 +595,28 @@ select track_id, cast(place as bigint) as segment_no,
   greatest(a.import_no, b.import_no) as import_no, case when {second} then b.at_us else a.at_us end as at_us,
   case when {second} then b.device else a.device end as device
 from a full outer join b on a.camera_id = b.camera_id"""
+    wins = ("coalesce(case when lower(w.last_file) = lower(s.last_file) then s.at_us > w.at_us"
+            f" else {_later('s.last_file', 'w.last_file')} end, false)")
+    o["merge_device_states"] = f"""with recursive s as (
+  select case when o_custkey % 50 <> 0 then o_custkey end as camera_id,
+    'DSCF' || lpad(cast((o_orderkey * 7919) % 10000 as varchar), 4, '0') || '.RAF' as last_file,
+    o_orderkey % 40 as import_no, epoch_us(o_orderdate) as at_us, o_orderkey as device,
+    row_number() over (partition by case when o_custkey % 50 <> 0 then o_custkey end order by o_orderkey) as turn
+  from orders),
+walk as (
+  select camera_id, turn, last_file, import_no, at_us, device from s where turn = 1
+  union all
+  select s.camera_id, s.turn, case when {wins} then s.last_file else w.last_file end,
+    greatest(w.import_no, s.import_no), case when {wins} then s.at_us else w.at_us end,
+    case when {wins} then s.device else w.device end
+  from walk w join s on s.camera_id is not distinct from w.camera_id and s.turn = w.turn + 1)
+select camera_id, last_file, import_no, at_us, device from walk
+qualify row_number() over (partition by camera_id order by turn desc) = 1"""
+    o["merge_device_settings"] = """
+select user_id as subject_id, event_type as skey,
+  arg_max(event_id, struct_pack(d := epoch_us(ts) // 86400000000, e := -event_id)) as svalue,
+  max(epoch_us(ts) // 86400000000) as changed_us
+from events group by 1, 2"""
     by_name = """points as (select card_id, arg_min(lower(name), file_id) filter (where file_id % 5 = 0
     and name like 'DSCF%' and card_id % 7 <> 0) as after_name from card_files group by 1),
 hits as (select o.card_id, min(rank) as hit from ordered o join points p using (card_id)

@@ -536,6 +536,27 @@ def merge_import_state(spark, sf):
     return catalog.merge_import_state(*_two_states(spark, sf), key="camera_id")
 
 
+@query
+def merge_device_states(spark, sf):
+    """Every order is the state some device has of its customer's camera."""
+    o = table(spark, sf, "orders")
+    return catalog.fold_states(o.select(
+        F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey")).alias("camera_id"),
+        F.concat(F.lit("DSCF"), F.lpad(((F.col("o_orderkey") * 7919) % 10000).cast("string"), 4, "0"), F.lit(".RAF")).alias("last_file"),
+        (F.col("o_orderkey") % 40).alias("import_no"), (F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("at_us"),
+        F.col("o_orderkey").alias("device"), F.col("o_orderkey").alias("turn")), key="camera_id")
+
+
+@query
+def merge_device_settings(spark, sf):
+    """Every event is a change that some device made to a setting of its user."""
+    e = table(spark, sf, "events")
+    days = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    return catalog.merge_all_settings(e.select(
+        F.col("user_id").alias("subject_id"), F.col("event_type").alias("skey"), F.col("event_id").alias("svalue"),
+        days.alias("changed_us"), F.col("event_id").alias("turn")), ["subject_id", "skey"])
+
+
 def _name_points(files):
     hit = (F.col("file_id") % 5 == 0) & F.col("name").startswith("DSCF") & (F.col("card_id") % 7 != 0)
     return files.groupBy("card_id").agg(
