@@ -1,28 +1,30 @@
 """URL filter: rules first, then naive Bayes over segmented host names and path words.
 
-The project has no records with addresses, so the operator is general.
+The dictionary are the words of all pages, with their counts. A name can only be
+split into words that it contains, so each name is met with the counts of its own
+substrings, and neither the dictionary nor the classifier has to fit anywhere as
+a whole. The project has no records with addresses, so the operator is general.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackplace.llm.words import ascii_lower, most_frequent
+from trackplace.llm.words import ascii_lower
 from trackplace.session import checkpoint
 
-# Most words of the dictionary and of the classifier: both models are bounded.
-DICTIONARY_WORDS = 50_000
-CLASS_WORDS = 50_000
 LONGEST_WORD = 24
-_TOKEN = re.compile(r"[^\W\d_]+")
+# Weights are added up as whole numbers of this fraction, in any order alike.
+UNIT = 2.0**-32
+# Rows of a table that go to every task at most, and tasks that share a key beyond that.
+BROADCAST_ROWS = 500_000
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -57,51 +59,98 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
     return name, verdict
 
 
-class Segmenter:
+def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
     """Most probable split of a name into words under unigram counts (Viterbi).
 
-    A stretch no word covers costs more the longer it is, so known words win.
+    A stretch no word covers costs more the longer it is, so known words win; of
+    equal splits the one whose last words begin first is taken.
     """
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self._bits = {w: -math.log2(n / total) for w, n in counts.items()}
-        self._unknown = math.log2(total) + 4
-        self.split = lru_cache(100_000)(self._split)
-
-    def _split(self, name: str) -> tuple[str, ...]:
-        best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
-        for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
-                word = name[start:end]
-                cost = best[start] + self._bits.get(word, self._unknown + 2.0 * len(word))
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
-        words, end = [], len(name)
-        while end:
-            words.append(name[back[end]:end])
-            end = back[end]
-        return tuple(reversed(words))
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of host labels (``h:``) and of the path (``p:``)."""
-        found = ["h:" + w for name in _TOKEN.findall(host) for w in self.split(name)]
-        return found + ["p:" + w for name in _TOKEN.findall(path.lower()) for w in self.split(name)]
-
-
-def dictionary(pages: DataFrame, words: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of all pages' texts, markup left out."""
+    unknown = math.log2(total + 1) + 4
+    bits = {w: -math.log2(n / (total + 1)) for w, n in counts.items()}
+    best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+    for end in range(1, len(name) + 1):
+        for start in range(max(0, end - LONGEST_WORD), end):
+            word = name[start:end]
+            cost = best[start] + bits.get(word, unknown + 2.0 * len(word))
+            if cost < best[end]:
+                best[end], back[end] = cost, start
+    words, end = [], len(name)
+    while end:
+        words.append(name[back[end]:end])
+        end = back[end]
+    return words[::-1]
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """``word, n``: how often each word stands in all pages' texts, markup left out."""
     bare = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " "))
     word = F.explode(F.split(bare, r"[^\p{L}]+")).alias("word")
-    counts = pages.select(word).filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(
+    return pages.select(word).filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"))
-    return {r[0]: r[1] for r in most_frequent(checkpoint(counts), words).collect()}
 
 
-def filter_urls(
-    pages: DataFrame, rules: list[Rule], dictionary_words: int = DICTIONARY_WORDS,
-    class_words: int = CLASS_WORDS, default: str = "allow",
-) -> DataFrame:
+def _names(host: Column, path: Column) -> Column:
+    """The names of an address: runs of letters, of the host (``h``) and of the path (``p``)."""
+    of = lambda text, part: F.transform(
+        F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), lambda x: F.struct(F.lit(part).alias("part"), x.alias("name")))
+    return F.concat(of(host, "h"), of(F.lower(path), "p"))
+
+
+def _substrings(name: Column) -> Column:
+    """All substrings of two to ``LONGEST_WORD`` letters."""
+    size = F.length(name)
+    none = F.array().cast("array<string>")
+    from_ = lambda at: F.transform(
+        F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), size - at + 1)), lambda n: F.substr(name, at, n))
+    return F.when(size < 2, none).otherwise(
+        F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size - 1), from_))))
+
+
+def _meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with what is listed for their key, once per key. The list goes to
+    every task while it is counted to be short; else a key's rows are dealt to
+    ``SALTS`` tasks."""
+    if listed.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(listed), on, how)
+    salted = rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    copies = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """``name, words`` for distinct names, under the counts of all words."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = names.select("name", F.explode(_substrings(F.col("name"))).alias("word"))
+    known = checkpoint(counts.join(parts.select("word").distinct(), "word", "left_semi"))
+    own = _meet(parts, known, ["word"]).groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [
+                split_name(name, {} if found is None else {f["word"]: f["n"] for f in found}, total)
+                for name, found in zip(batch["name"], batch["known"], strict=True)]
+            yield pd.DataFrame({"name": batch["name"], "words": words})
+
+    return names.join(own, "name", "left").mapInPandas(split, "name string, words array<string>")
+
+
+def _weights(tokens: DataFrame, decided: DataFrame) -> tuple[DataFrame, int]:
+    """Log odds of ``block`` per token and of the classes, in ``UNIT``; with a
+    class that has no address, no token counts and the other class is likelier."""
+    sizes = decided.agg(
+        *[F.coalesce(F.sum(F.when(F.col("decided") == word, F.col("times"))), F.lit(0)).alias(word)
+          for word in ("block", "allow")]).first()
+    if not min(sizes):
+        return tokens.select("part", "word", F.lit(0).cast("long").alias("weight")), round(
+            ((sizes["block"] > 0) - (sizes["allow"] > 0)) / UNIT)
+    sums = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    odds = (F.log((F.col("block") + 1) / F.lit(float((sums["block"] or 0) + sums["n"])))
+            - F.log((F.col("allow") + 1) / F.lit(float((sums["allow"] or 0) + sums["n"]))))
+    return tokens.select("part", "word", F.round(odds / UNIT).cast("long").alias("weight")), round(
+        math.log(sizes["block"] / sizes["allow"]) / UNIT)
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
     """Verdict on each address.
 
     In: ``page_id, url, html``. Out, one row for each row in: ``page_id, host,
@@ -109,58 +158,33 @@ def filter_urls(
     null where none fits, and the class with the higher naive Bayes score
     (``score``: log odds of ``block``) decides instead, ``default`` on a tie or
     when rules decided no address to learn from. The classes learn from what the
-    rules decide, with add-one counts over the ``class_words`` most frequent
-    tokens. A null address, or one without ``://``, has empty parts and no rule.
-    An empty table gives none.
+    rules decide, with add-one counts over all tokens of decided addresses; other
+    tokens say nothing. A null address, or one without ``://``, has empty parts
+    and no rule. Repeated rows and null ids count and come out each time; a long
+    address is split name by name. An empty table gives none.
     """
-    spark = pages.sparkSession
     host, path = address_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "decided": verdict})
-    words = spark.sparkContext.broadcast(dictionary(pages.select("html"), dictionary_words))
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segmenter = Segmenter(words.value)
-        for batch in batches:
-            lists = [segmenter.tokens(h, p) for h, p in zip(batch["host"], batch["path"], strict=True)]
-            yield pd.DataFrame({"decided": batch["decided"], "tokens": lists})
-
-    learned = rows.filter(F.col("decided").isNotNull()).select("host", "path", "decided").mapInPandas(
-        tokens, "decided string, tokens array<string>")
-    blocked = F.sum((F.col("decided") == "block").cast("long")).alias("block")
-    allowed = F.sum((F.col("decided") == "allow").cast("long")).alias("allow")
-    # The token '' stands for an address: its counts are the class sizes.
-    counted = learned.select("decided", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token"))
-    counted = checkpoint(counted.groupBy("token").agg(blocked, allowed, F.count(F.lit(1)).alias("n")))
-    top = most_frequent(counted.filter(F.col("token") != ""), class_words).unionByName(
-        counted.filter(F.col("token") == "")).collect()
-    counts = {r["token"]: (r["block"], r["allow"]) for r in top}
-    odds = spark.sparkContext.broadcast(log_odds(counts))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segmenter, weights = Segmenter(words.value), odds.value
-        for batch in batches:
-            scores = [
-                sum((weights.get(t, 0.0) for t in segmenter.tokens(h, p)), weights.get("", 0.0))
-                for h, p in zip(batch["host"], batch["path"], strict=True)
-            ]
-            batch["score"] = pd.Series(scores, dtype=float)
-            batch["page_id"] = batch["page_id"].astype("Int64")
-            yield batch
-
-    scored = rows.mapInPandas(
-        score, "page_id long, host string, path string, rule string, decided string, score double")
+    # Addresses of equal parts have one rule and one score.
+    addresses = checkpoint(rows.groupBy("host", "path", "decided").agg(F.count(F.lit(1)).alias("times")))
+    found = addresses.select(
+        "host", "path", "decided", "times", F.explode(_names(F.col("host"), F.col("path"))).alias("x")).select(
+        "host", "path", "decided", "times", "x.part", "x.name")
+    names = found.select("name").distinct()
+    words = checkpoint(split_names(names, checkpoint(word_counts(pages.select("html")))))
+    times = lambda word: F.sum(F.when(F.col("decided") == word, F.col("times")).otherwise(0)).alias(word)
+    learned = found.filter(F.col("decided").isNotNull()).groupBy("part", "name").agg(times("block"), times("allow"))
+    tokens = learned.join(words, "name").select("part", F.explode("words").alias("word"), "block", "allow")
+    tokens = checkpoint(tokens.groupBy("part", "word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")))
+    weights, prior = _weights(tokens, addresses)
+    parts = found.select("part", "name").distinct().join(words, "name").select("part", "name", F.explode("words").alias("word"))
+    of_name = checkpoint(_meet(parts, checkpoint(weights), ["part", "word"]).groupBy("part", "name").agg(
+        F.sum("weight").alias("weight")))
+    of_address = _meet(found.select("host", "path", "part", "name"), of_name, ["part", "name"]).groupBy("host", "path").agg(
+        F.sum("weight").alias("weight"))
+    scored = rows.join(of_address, ["host", "path"], "left").withColumn(
+        "score", (F.coalesce("weight", F.lit(0)) + F.lit(prior)) * F.lit(UNIT))
     chosen = F.when(F.col("score") > 0, "block").when(F.col("score") < 0, "allow").otherwise(default)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("decided", chosen).alias("verdict"), "score")
-
-
-def log_odds(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log odds of ``block`` per token, and at '' those of the classes."""
-    tokens = {t: n for t, n in counts.items() if t}
-    classes = counts.get("", (0, 0))
-    if not min(classes):
-        return {"": float((classes[0] > 0) - (classes[1] > 0))}
-    block, allow = (sum(n[k] for n in tokens.values()) + len(tokens) for k in (0, 1))
-    weights = {t: math.log((b + 1) / block) - math.log((a + 1) / allow) for t, (b, a) in tokens.items()}
-    return weights | {"": math.log(classes[0] / classes[1])}
