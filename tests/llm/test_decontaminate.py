@@ -6,17 +6,17 @@ from trackplace.llm.decontaminate import FORMS, MASKS, SPAN, WINDOW, clean_track
 
 
 def brute(docs, items):
-    """Pairs with a hit of some mask and a good window on the same alignment."""
+    """Pairs with a good window on some alignment; all of an item too short for the masks."""
     cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     found = set()
     for (d, text), (i, item) in itertools.product(docs, items):
         a, b = cut(text), cut(item)
         for shift in range(-len(b) + 1, len(a)):
             same = [a[x] == b[x - shift] for x in range(max(0, shift), min(len(a), shift + len(b)))]
-            hit = any(all(same[s + p] for p in m) for m in MASKS for s in range(len(same) - SPAN + 1))
             n = min(WINDOW, len(b))
-            good = any(sum(same[s:s + n]) >= 0.8 * n - 1e-9 for s in range(len(same) - n + 1))
-            if hit and good:
+            least = n if n < SPAN else 0.8 * n - 1e-9
+            good = any(sum(same[s:s + n]) >= least for s in range(len(same) - n + 1))
+            if good:
                 found.add((d, i))
     return found
 
@@ -49,6 +49,13 @@ def test_pairs_are_those_of_brute_force(spark):
     assert all(r.same <= r.overlap for r in rows)
 
 
+def test_items_of_few_tokens_can_be_left_out(spark):
+    docs = spark.createDataFrame([(1, "the way to the hut"), (2, "a lake")], "track_id long, document string")
+    items = spark.createDataFrame([(7, "the"), (8, "to the hut")], "item_id long, text string")
+    pairs = lambda n: {(r.track_id, r.item_id) for r in contaminated(docs, items, least_tokens=n).collect()}
+    assert pairs(1) == {(1, 7), (1, 8)} and pairs(2) == {(1, 8)} and pairs(4) == set()
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame(
         [(1, "and CAME to the river, with the sun still low the rider left the town at dawn"),

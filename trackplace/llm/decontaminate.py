@@ -61,7 +61,7 @@ def _small(rows: DataFrame, n: int) -> DataFrame:
 
 
 def contaminated(
-    tracks: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY,
+    tracks: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, least_tokens: int = 1,
 ) -> DataFrame:
     """Overlaps of track documents with test items.
 
@@ -72,13 +72,15 @@ def contaminated(
     hits and, on its alignment, ``window`` tokens in a row (the whole item, if
     it is shorter) have ``similarity`` of them equal. With the given window and
     similarity no such pair is without a seed. Items of fewer than eleven tokens
-    count only where all their tokens stand in a row; null and empty
+    count only where all their tokens stand in a row, and items of fewer than
+    ``least_tokens`` not at all (a word alone says little); null and empty
     texts match nothing; repeated rows count once, a null id is an id of its
     own; an empty table gives none. Every token of every document is looked at.
     """
     docs = tracks.select("track_id", "document", F.xxhash64("document").alias("digest"))
     items = checkpoint(benchmark.select(
-        "item_id", F.xxhash64("text").alias("item_digest"), tokens(F.col("text")).alias("_h")).distinct())
+        "item_id", F.xxhash64("text").alias("item_digest"), tokens(F.col("text")).alias("_h")).distinct().filter(
+            F.size("_h") >= least_tokens))
     few = items.select(F.size("_h").alias("n")).filter(F.col("n").between(1, SPAN - 1)).distinct()
     short = sorted(r.n for r in few.collect())
     seeds = checkpoint(_seeds(items, ["item_id", "item_digest"], short, whole=True).withColumnRenamed("at", "item_at"))
