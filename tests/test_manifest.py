@@ -1,5 +1,6 @@
 """Sync planning against the rules taken one name at a time."""
 
+import hashlib
 import random
 
 import pytest
@@ -110,3 +111,21 @@ def test_free_names_for_one_hot_name(spark):
     for limit in (None, 10):
         got = manifest.free_names(asked, names, ["f"], ["o"], limit=limit).orderBy("o").collect()
         assert [r.free_name for r in got] == [f"n ({i}).x" for i in want]
+
+
+def test_the_same_state_is_the_same_bytes(spark):
+    from trackplace.sinks import states
+
+    rows = [(1, None, "DSCF0001.RAF", 3, 1_500_000, "a\tb"), (1, "F_X", "x\\y.JPG", 12, 0, None), (1, "A_B", "n\n", 0, 7, ""), (2, None, "z", 1, 0, "d")]
+    schema = "file long, camera_key string, last_file string, import_no int, at_us long, device string"
+    want = {
+        1: "\\N\tDSCF0001.RAF\t3\t1970-01-01T00:00:01.500Z\ta\\tb\nA_B\tn\\n\t0\t1970-01-01T00:00:00.000007Z\t\n"
+           "F_X\tx\\\\y.JPG\t12\t1970-01-01T00:00:00Z\t\\N\n",
+        2: "\\N\tz\t1\t1970-01-01T00:00:00Z\td\n"}
+    for order in (rows, rows[::-1]):
+        got = states.state_documents(spark.createDataFrame(order, schema).repartition(3), ["file"]).collect()
+        assert {r.file: r.document for r in got} == want
+        assert {r.digest for r in got} == {hashlib.md5(t.encode()).hexdigest() for t in want.values()}
+    settings = spark.createDataFrame([("f", "b", 2, 0), ("f", "a", None, 1)], "file string, skey string, svalue long, changed_us long")
+    assert states.setting_documents(settings, ["file"]).first().document == (
+        "a\t\\N\t1970-01-01T00:00:00.000001Z\nb\t2\t1970-01-01T00:00:00Z\n")

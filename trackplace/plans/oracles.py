@@ -768,6 +768,18 @@ select subject_id, concat(skey, '_', device) as skey, cast(svalue as varchar) as
 select concat('p', k, '.gpx') as name, case when i = 1 then 'F_X' end as camera_key,
   case when second then fb else fa end as last_file, greatest(k % 40, k % 37) as import_no,
   case when second then k % 4 else k % 5 end as at_us, case when second then 'r' else 'l' end as device from judged"""
+    o["sync_again"] = f"""with sides as (
+  select p_partkey as k, i, {shot('p_partkey * 7 + i')} as fa, {shot('p_partkey * 7 + i + p_partkey % 3 - 1')} as fb
+  from part, (values (0), (1)) v(i)),
+judged as (select *, coalesce(case when fa = fb then false else {_later('fb', 'fa')} end, false) as second from sides),
+lines as (
+  select k, case when i = 1 then 1 else 0 end as nth, case when i = 1 then 'F_X' else '\\N' end || chr(9)
+    || case when second then fb else fa end || chr(9) || greatest(k % 40, k % 37) || chr(9) || '1970-01-01T00:00:00'
+    || case when k % 5 = 0 then '' else '.00000' || (k % 5) end || 'Z' || chr(9)
+    || case when second then 'r' else 'l\\t' end || chr(10) as line
+  from judged)
+select concat('p', k, '.gpx') as name, md5(string_agg(line, '' order by nth)) as digest, cast(0 as bigint) as "left"
+from lines group by k"""
     o["sync_report"] = _sync("keep_both", "false") + """select folder_id,
   count(*) filter (where action in ('upload', 'update', 'merge')) as uploads,
   count(*) filter (where action in ('download', 'merge')) as downloads,

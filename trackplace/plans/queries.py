@@ -13,9 +13,9 @@ from trackplace.operators import catalog, cleanup, declutter, manifest, select,
 from trackplace.operators.locate import locate
 from trackplace.plans import placement
 from trackplace.plans.fixtures import ORIGIN_US, fixes, table, view
-from trackplace.sinks import documents
+from trackplace.sinks import documents, states
 from trackplace.sources import files
-from trackplace.session import shared_folder
+from trackplace.session import checkpoint, shared_folder
 from trackplace.sources.tracks import fixes_of, parse_tracks, read_tracks
 from trackplace.streaming import live, recorder
 
@@ -882,6 +882,35 @@ def sync_merged_states(spark, sf):
     return merged.drop("folder_id")
 
 
+@query
+def sync_again(spark, sf):
+    """State files of both sides as written, synced and merged; what a second sync
+    of the merged files would still do (nothing), with their digests."""
+    def columns(local):
+        at = F.col("k") * 7 + F.col("i") + (0 if local else 1) * (F.col("k") % 3 - 1)
+        return [
+            F.when(F.col("i") == 1, "F_X").alias("camera_key"),
+            F.concat(F.lit("DSCF"), F.lpad((at % 10000).cast("string"), 4, "0"), F.lit(".RAF")).alias("last_file"),
+            (F.col("k") % (40 if local else 37)).alias("import_no"),
+            (F.col("k") % 5).alias("at_us"), F.lit("l\t" if local else "r").alias("device")]
+
+    by = ["folder_id", "name"]
+    here, there = (_contents(spark, sf, local, columns) for local in (True, False))
+    written = lambda rows: checkpoint(states.state_documents(rows, by))
+    remote_of = lambda rows: rows.select(
+        *by, F.xxhash64("name").alias("remote_id"), "digest", F.lit(0).cast("long").alias("created"))
+    local, remote = written(here), remote_of(written(there))
+    none = remote.limit(0)
+    plan = manifest.sync_plan(local.select(*by, "digest"), remote, none, none.select(*by), ["folder_id"], manifest.MERGE)
+    merged = written(manifest.merge_files(
+        plan, here, there, ["folder_id"], lambda a, b, keys: catalog.merge_import_state(a, b, [*keys, "camera_key"])))
+    after = remote_of(merged)
+    again = manifest.sync_plan(
+        merged.select(*by, "digest"), after, after, none.select(*by), ["folder_id"], manifest.MERGE)
+    left = again.groupBy(*by).agg(F.count(F.lit(1)).alias("left"))
+    return merged.join(left, by, "left").select("name", "digest", F.coalesce("left", F.lit(0)).alias("left"))
+
+
 def _plan_columns(plan):
     return plan.select(
         "folder_id", "phase", "name", "action_no", "action", "target", "remote_id", "digest"
