@@ -448,6 +448,7 @@ def build() -> dict[str, str]:
     o["in_view_wrapped"] = _with(fixes) + (
         "select track_id, segment_no, seq, lat, lon from fixes"
         " where lat between 46.95 and 46.97 and (lon >= 7.6 or lon <= 7.5)")
+    o["view_by_place"], o["view_by_place_wrapped"] = o["in_view"], o["in_view_wrapped"]
     o["as_one_segment"] = _with(fixes) + (
         "select track_id, cast(0 as bigint) as segment_no, row_number() over (partition by track_id"
         " order by t_us, segment_no, seq) as seq, t_us, lat, lon from fixes")

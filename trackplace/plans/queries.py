@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackplace.functions import names, times
 from trackplace.functions.geo import in_box, step_speed
-from trackplace.operators import catalog, cleanup, declutter, manifest, select, stats
+from trackplace.operators import catalog, cleanup, declutter, manifest, select, stats, views
 from trackplace.operators.locate import locate
 from trackplace.plans import placement
 from trackplace.plans.fixtures import ORIGIN_US, fixes, table, view
@@ -99,6 +99,23 @@ def in_view_wrapped(spark, sf):
     return seen.select("track_id", "segment_no", "seq", "lat", "lon")
 
 
+def _stored_view(spark, sf, *box):
+    folder = shared_folder(spark, "by_place")
+    views.write_by_place(fixes(spark, sf), folder)
+    return views.fixes_in_view(spark, folder, *box).select("track_id", "segment_no", "seq", "lat", "lon")
+
+
+@query
+def view_by_place(spark, sf):
+    """``in_view`` from fixes stored along a space-filling curve."""
+    return _stored_view(spark, sf, 46.95, 7.5, 46.97, 8.5)
+
+
+@query
+def view_by_place_wrapped(spark, sf):
+    return _stored_view(spark, sf, 46.95, 7.6, 46.97, 7.5)
+
+
 @query
 def as_one_segment(spark, sf):
     joined = stats.as_one_segment(fixes(spark, sf))
