@@ -717,6 +717,9 @@ select device, run, delivery_id, now_us - age_ms * 1000 as t_us,
   case when delivery_id % 2 = 0 then cast(1.5 as double) end as speed, provider as source from deliveries"""
     o["plan_flips"] = _with(*LOCATED) + f"""select photo_id, {TYPE} as type, {TYPE} not in ('jpg', 'raf') as selected,
   {TYPE} not in ('jpg', 'raf') and coalesce(gap_m, 0) >= 500 as wide_gap from placed"""
+    hand = f"case when photo_id % 11 = 0 then photo_id % 2 = 0 else {TYPE} <> 'mov' end"
+    o["plan_file_flips"] = _with(*LOCATED) + f"""select photo_id, {TYPE} as type, {hand} as selected,
+  {hand} and coalesce(gap_m, 0) >= 500 as wide_gap from placed"""
     card = """card as (select photo_id, photo_id as file_id, subject_id, name,
     t_us + 1704067200000000 as at_us, cast(case photo_id % 4 when 0 then 7200 when 1 then -19800 else 0 end as bigint) as o from photos)"""
     read = """timed as (select *, case when subject_id % 3 <> 0 then (subject_id % 16 + 1) * 60000 else 1800000 end as tolerance_ms,

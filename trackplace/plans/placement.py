@@ -137,6 +137,13 @@ def with_file(plan: DataFrame, photo_id: int, selected: bool) -> DataFrame:
     return _picked(plan, F.col("photo_id") == photo_id, selected)
 
 
+def with_files(plan: DataFrame, picks: DataFrame) -> DataFrame:
+    """Files picked or left out one by one: ``picks(photo_id, selected)``, a row per file."""
+    chosen = picks.select("photo_id", F.col("selected").alias("_pick"))
+    joined = plan.join(chosen, "photo_id", "left").withColumn("selected", F.coalesce("_pick", "selected"))
+    return joined.drop("_pick").withColumn("wide_gap", wide_gap(F.col("selected")))
+
+
 def _picked(plan: DataFrame, which: Column, selected: bool) -> DataFrame:
     flag = F.when(which, F.lit(selected)).otherwise(F.col("selected"))
     return plan.withColumn("selected", flag).withColumn("wide_gap", wide_gap(F.col("selected")))

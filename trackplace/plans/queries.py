@@ -803,6 +803,15 @@ def plan_flips(spark, sf):
     return _flip(placed).select("photo_id", "type", "selected", "wide_gap")
 
 
+@query
+def plan_file_flips(spark, sf):
+    """Every eleventh file picked or left out by hand, whatever its type."""
+    shots = _shots(spark, sf)
+    placed = placement.finish_plan(locate(shots, fixes(spark, sf), PLACE_MS), ["mov"])
+    picks = shots.filter("photo_id % 11 = 0").select("photo_id", (F.col("photo_id") % 2 == 0).alias("selected"))
+    return placement.with_files(placed, picks).select("photo_id", "type", "selected", "wide_gap")
+
+
 def _raw_states(spark, sf):
     """Resume states as text, with fields missing, empty or unreadable."""
     o = table(spark, sf, "orders")
