@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackplace.llm.words import most_frequent, track_documents
@@ -38,14 +38,16 @@ SET_SHINGLE = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIMILARITY = 0.8
 # Documents that share a first shingle and are compared pair by pair; where more
-# do, they are compared with one of them first.
+# do, they are compared with a few of them first.
 LIST_SIZE = 64
+CENTRES = 8
 # The order of shingles is learned from one document in so many, and has so many
 # places for frequent ones. Any order gives the same groups; it only saves time.
 ORDER_SHARE = 16
 ORDER_SHINGLES = 100_000
 # Bits that stand for a set before whole sets are compared; a power of two.
 MARKS = 2048
+FEW_MARKS = 1024
 BROADCAST_ROWS = 1_000_000
 
 
@@ -284,9 +286,10 @@ def _set_names(tracks: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInPandas(run, "track_id long, digest long, fp binary")
 
 
-def _first_shingles(tracks: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _first_shingles(tracks: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``gram, fp, size, at``: of each set the shingles, rare ones first, of which
-    a set that similar must have one; those only that two documents have."""
+    a set that similar must have one; those only that two documents have. And
+    ``fp, marks``: which of ``FEW_MARKS`` places the shingles of each set fall on."""
     some = tracks.filter(F.pmod(F.xxhash64("document"), F.lit(ORDER_SHARE)) == 0)
     counts = _sets(some, shingle).select(F.explode("grams").alias("gram")).groupBy("gram").agg(
         F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -306,17 +309,20 @@ def _first_shingles(tracks: DataFrame, shingle: int, similarity: float) -> DataF
                         place = np.minimum(np.searchsorted(listed, grams), len(listed) - 1)
                         rank = np.where(listed[place] == grams, often[place], 0)
                     first = len(grams) - _least_common(len(grams), similarity) + 1
-                    rows.append((_key(grams), len(grams), grams[np.lexsort((grams, rank))][:first]))
-                yield pd.DataFrame(rows, columns=["fp", "size", "first"])
+                    marks = np.frombuffer(_marks(grams, FEW_MARKS), np.int64)
+                    rows.append((_key(grams), len(grams), grams[np.lexsort((grams, rank))][:first], marks))
+                yield pd.DataFrame(rows, columns=["fp", "size", "first", "marks"])
 
-    firsts = checkpoint(track_documents(tracks).mapInPandas(run, "fp binary, size int, first array<long>"))
+    firsts = checkpoint(track_documents(tracks).mapInPandas(
+        run, "fp binary, size int, first array<long>, marks array<long>"))
     # Most shingles stand in one document, so they are counted alone and first.
     often = firsts.select(F.explode("first").alias("gram")).groupBy("gram").agg(
         F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     often = checkpoint(often)
     n = often.count()
     places = firsts.select("fp", "size", F.posexplode("first").alias("at", "gram"))
-    return places.join(F.broadcast(often) if n <= BROADCAST_ROWS else often, "gram").distinct()
+    places = places.join(F.broadcast(often) if n <= BROADCAST_ROWS else often, "gram").distinct()
+    return places, firsts.select("fp", "marks")
 
 
 def _least_common(size: int, similarity: float) -> int:
@@ -330,13 +336,24 @@ def _may_reach(similarity: float):
     return left * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
 
 
-def _marks(grams: np.ndarray) -> bytes:
-    """The places of a set's shingles among ``MARKS``, a bit each."""
-    bits = np.zeros(MARKS, np.uint8)
-    bits[grams & (MARKS - 1)] = 1
+def _marks(grams: np.ndarray, marks: int = MARKS) -> bytes:
+    """The places of a set's shingles among ``marks``, a bit each."""
+    bits = np.zeros(marks, np.uint8)
+    bits[grams & (marks - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _may_share(similarity: float):
+    """Whether sets ``x`` and ``y`` can be similar by their marks: a mark the other
+    set lacks is a shingle at least that it lacks."""
+    lacks = lambda a, b: F.aggregate(
+        F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+    most = F.least(
+        F.col("x.size") - lacks(F.col("x.marks"), F.col("y.marks")),
+        F.col("y.size") - lacks(F.col("y.marks"), F.col("x.marks")))
+    return most * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
+
+
 def _possible(similarity: float):
     """Pairs without those whose marks show that too few shingles can be common:
     a mark the other set lacks is a shingle at least that it lacks."""
@@ -396,22 +413,29 @@ def _similar(pairs: DataFrame, tracks: DataFrame, shingle: int, similarity: floa
 def similar_links(tracks: DataFrame, shingle: int, similarity: float, list_size: int = LIST_SIZE) -> DataFrame:
     """``a, b``: links between names of shingle sets that connect all that are
     ``similarity`` or more alike."""
-    lists = checkpoint(_first_shingles(tracks, shingle, similarity))
-    sizes = lists.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "size", "at")).alias("y")).filter("n > 1")
+    lists, marks = _first_shingles(tracks, shingle, similarity)
+    lists = checkpoint(lists)
+    sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = checkpoint(lists.join(sizes, "gram"))
     few, many = shared.filter(F.col("n") <= list_size), shared.filter(F.col("n") > list_size)
-    side = lambda rows, name, *more: rows.select("gram", *more, F.struct("fp", "size", "at").alias(name))
+    fields = ["fp", "size", "at"]
+    side = lambda rows, name, *more: rows.select("gram", *more, F.struct(*fields).alias(name))
     ends = [F.col("x.fp").alias("a"), F.col("y.fp").alias("b")]
     pairs = side(few, "x").join(side(few, "y"), "gram").filter(F.col("x.fp") > F.col("y.fp"))
-    stars = side(many, "x", "y").filter(F.col("x.fp") > F.col("y.fp"))
+    turn = F.row_number().over(Window.partitionBy("gram").orderBy("fp"))
+    centres = many.withColumn("_k", turn).filter(F.col("_k") <= CENTRES)
+    stars = side(many, "x").join(side(centres, "y"), "gram").filter(F.col("x.fp") > F.col("y.fp"))
     met = [p.filter(_may_reach(similarity)).select(ends) for p in (pairs, stars)]
     links = _similar(met[0].unionByName(met[1]), tracks, shingle, similarity)
-    # In long lists, whatever is not in one group by now is compared as well.
+    # In long lists, whatever is not in one group by now is compared as well, if
+    # the marks of the two sets allow it.
+    fields.append("marks")
+    many = many.join(marks.join(many.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "fp")
     tied = connected(links)
-    placed = many.drop("y").join(tied, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = many.join(tied, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     rest = side(placed, "x", F.col("root").alias("p")).join(side(placed, "y", F.col("root").alias("q")), "gram")
     rest = rest.filter((F.col("p") != F.col("q")) & (F.col("x.fp") > F.col("y.fp")) & _may_reach(similarity))
+    rest = rest.filter(_may_share(similarity))
     return links.unionByName(_similar(rest.select(ends), tracks, shingle, similarity)).distinct()
 
 
