@@ -22,9 +22,8 @@ from trackplace.session import checkpoint
 LONGEST_WORD = 24
 # Weights are added up as whole numbers of this fraction, in any order alike.
 UNIT = 2.0**-32
-# Rows of a table that go to every task at most, and tasks that share a key beyond that.
-BROADCAST_ROWS = 500_000
-SALTS = 32
+# Rows of a table that go to every task at most.
+BROADCAST_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -108,21 +107,17 @@ def _substrings(name: Column) -> Column:
 
 def _meet(rows: DataFrame, listed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with what is listed for their key, once per key. The list goes to
-    every task while it is counted to be short; else a key's rows are dealt to
-    ``SALTS`` tasks."""
-    if listed.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(listed), on, how)
-    salted = rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
-    copies = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    every task only while it is counted to be short; else both are shuffled, and
+    what many rows have is split by the adaptive skew join."""
+    return rows.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, on, how)
 
 
 def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """``name, words`` for distinct names, under the counts of all words."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = names.select("name", F.explode(_substrings(F.col("name"))).alias("word"))
-    known = checkpoint(counts.join(parts.select("word").distinct(), "word", "left_semi"))
-    own = _meet(parts, known, ["word"]).groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    # Few substrings are words, so what is left after the join is short.
+    own = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
